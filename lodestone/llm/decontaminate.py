@@ -6,14 +6,15 @@ its ``k``-word grams is kept as its fingerprint.  The same rule over a document
 gives the fingerprint of each of its word windows, so equal windows always have
 equal fingerprints: any shared span of ``n`` words is found, wherever it starts.
 
-Documents' distinct fingerprints are exploded and joined with the windows'
-fingerprints in one generated-code stage; only matches carry words on.  A match is
-then extended: at every document position with that fingerprint the whole window
-is compared word by word, so a hash can't make a false hit.
+Documents' fingerprints are exploded with their places and joined with the windows'
+in one generated-code stage.  A match is extended there: the words of the whole
+window are compared one by one, so a hash can't make a false hit, and only true
+hits leave the stage.
 
 The benchmark side is broadcast only if its counted windows are within
-``BROADCAST_ROWS``; otherwise Spark joins by shuffle.  A sentinel fingerprint a
-document keeps every document in the result without a second scan.
+``broadcast_windows``; otherwise Spark joins by shuffle, and each place carries its
+own few words.  A sentinel fingerprint a document keeps every document in the
+result without a second scan.
 
 Defined results: null or wordless text has no words and no hit; null or wordless
 items have no window; equal windows of many items are compared once and count for
@@ -26,11 +27,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import hex_sha256, lower_ascii, maybe_broadcast, table
+from lodestone.llm.common import bounded, hex_sha256, lower_ascii, table
 
 WINDOW = 8
 GRAM = 5
 MIN_ITEMS = 2
+#: Most benchmark windows (about 200 bytes each) that are broadcast.
+BROADCAST_WINDOWS = 300_000
 #: What separates words once A-Z are lower-cased: [\x00-\x2F\x3A-\x60\x7B-\x7F].
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -82,14 +85,14 @@ def item_windows(items: DataFrame, *, item_id: str, text: str, window: int, gram
     parts = []
     for n in lengths:
         one = cut.filter(F.col("length") == n).withColumn("hashes", F.transform("window", lambda x: F.xxhash64(x)))
-        parts.append(winnowed(one, n, gram, "fps").select("length", F.xxhash64(F.lit(n), F.col("fps")[0]).alias("fp"), "window", "item_ids"))
+        parts.append(winnowed(one, n, gram, "fps").select("length", F.col("fps")[0].alias("fp"), "window", "item_ids"))
     out = None
     for p in parts:
         out = p if out is None else out.unionByName(p)
     return out, lengths
 
 
-def contamination(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, gram: int = GRAM, min_items: int = MIN_ITEMS) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, gram: int = GRAM, min_items: int = MIN_ITEMS, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """One row per input row: doc_id, n_words, n_hit (words inside a hit window),
     n_items, item_ids (sorted as strings), contaminated (n_items >= min_items)."""
     windows, lengths = item_windows(items, item_id=item_id, text=item_text, window=window, gram=gram)
@@ -99,29 +102,45 @@ def contamination(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
     df = base.withColumn("hashes", F.transform("w", lambda x: F.xxhash64(x)))
     for n in lengths:
         df = winnowed(df, n, gram, f"fp{n}")
-    # Distinct fingerprints tagged by window length, and the sentinel 0.
-    tagged = [F.expr(f"transform(array_distinct(fp{n}), x -> xxhash64({n}, x))") for n in lengths]
-    df = df.withColumn("fps", F.concat(F.array(F.lit(0).cast("long")), *tagged)).drop("hashes")
+    # All fingerprints side by side behind the sentinel; a place tells length and start.
+    df = df.withColumn("fps", F.concat(F.array(F.lit(0).cast("long")), *[F.col(f"fp{n}") for n in lengths]))
+    before = F.lit(1)
+    for n in lengths:
+        df = df.withColumn(f"to{n}", before + F.size(f"fp{n}"))
+        before = F.col(f"to{n}")
+    length, start = F.lit(lengths[-1]), F.col("place") - (F.col(f"to{lengths[-2]}") if len(lengths) > 1 else F.lit(1))
+    for i in range(len(lengths) - 2, -1, -1):
+        own = F.col("place") < F.col(f"to{lengths[i]}")
+        length = F.when(own, F.lit(lengths[i])).otherwise(length)
+        start = F.when(own, F.col("place") - (F.col(f"to{lengths[i - 1]}") if i else F.lit(1))).otherwise(start)
+    length = F.when(F.col("place") == 0, F.lit(0)).otherwise(length)
+    df = df.drop("hashes", *[f"fp{n}" for n in lengths])
     # Never empty; the outer form keeps Spark from testing size(fps) in a filter
     # below, which would compute all the arrays twice.
-    rows = df.select("*", F.explode_outer("fps").alias("fp")).drop("fps")
+    rows = df.select("rid", "doc_id", "w", *[f"to{n}" for n in lengths], F.posexplode_outer("fps").alias("place", "fp"))
+    rows = rows.select("rid", "doc_id", "w", "fp", length.alias("length"), start.alias("start"))
     spark = docs.sparkSession
     sentinel = spark.range(1).select(F.lit(0).alias("length"), F.lit(0).cast("long").alias("fp"), F.array().cast("array<string>").alias("window"), F.array().cast("array<string>").alias("item_ids"))
-    side = maybe_broadcast(sentinel.unionByName(windows))
-    hits = rows.join(side, "fp")
-    # Extension: every position with this fingerprint whose window is equal, word by word.
-    starts = F.array().cast("array<int>")
-    for n in lengths:
-        starts = F.when(F.col("length") == n, F.expr(f"filter(transform(fp{n}, (x, i) -> if(xxhash64({n}, x) = fp and slice(w, i + 1, {n}) = window, i, -1)), i -> i >= 0)")).otherwise(starts)
-    hits = hits.select("rid", "doc_id", F.size("w").cast("long").alias("n_words"), "length", "item_ids", starts.alias("starts")).filter("length = 0 or size(starts) > 0")
-    covered = F.flatten(F.transform("starts", lambda s: F.sequence(s, s + F.col("length") - 1)))
-    hits = hits.select("rid", "doc_id", "n_words", "item_ids", F.when(F.col("length") > 0, covered).otherwise(F.array().cast("array<int>")).alias("covered"))
+    side = sentinel.unionByName(windows)
+    words_here = F.slice(F.col("w"), F.col("start") + 1, F.col("length"))
+    size = F.size("w").cast("long")
+    if bounded(side, broadcast_windows):
+        # One generated-code stage from explode to comparison: only hits leave it.
+        hits = rows.join(F.broadcast(side), ["fp", "length"])
+        hits = hits.filter((F.col("length") == 0) | (words_here == F.col("window"))).select("rid", "doc_id", size.alias("n_words"), "length", "start", "item_ids")
+    else:
+        # Each place takes its own few words along, not the document's.
+        rows = rows.select("rid", "doc_id", size.alias("n_words"), "fp", "length", "start", F.when(F.col("length") > 0, words_here).alias("own"))
+        hits = rows.join(side, ["fp", "length"]).filter("length = 0 OR own = window").select("rid", "doc_id", "n_words", "length", "start", "item_ids")
+    spot = F.when(F.col("length") > 0, F.struct("start", "length"))
     per_doc = hits.groupBy("rid").agg(
         F.first("doc_id").alias("doc_id"),
         F.first("n_words").alias("n_words"),
-        F.size(F.array_distinct(F.flatten(F.collect_set("covered")))).cast("long").alias("n_hit"),
+        F.collect_set(spot).alias("spots"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("item_ids"),
     )
+    covered = F.transform("spots", lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1))
+    per_doc = per_doc.withColumn("n_hit", F.size(F.array_distinct(F.flatten(covered))).cast("long"))
     return per_doc.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), "item_ids", (F.size("item_ids") >= min_items).alias("contaminated"))
 
 
