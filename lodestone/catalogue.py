@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from lodestone.plans import building, corpus, vectors
+
+QUERIES = vectors.QUERIES | corpus.QUERIES | building.QUERIES
+SQL = vectors.SQL | corpus.SQL | building.SQL
