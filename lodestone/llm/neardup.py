@@ -5,11 +5,12 @@
    here on, represented by its smallest id (a minimum, combined before the shuffle),
    so thousands of copies cost one row.
 2. Each tree sorts the representatives by its own stretch of the signature.  A row's
-   candidates are its longest-common-prefix neighbours: the next ``window`` rows, and
-   all rows of its region up to ``region`` rows, where a region's depth adapts: the
+   candidates are its longest-common-prefix neighbours: all rows of its region, and
+   the likeliest of the ``window`` rows beside it.  A region's depth adapts: it is the
    least depth at which no more than ``region`` rows share the prefix.  A sketch that
-   travels with the row drops candidates far from similar.  Trees are cut into
-   ranges over (values, id), so many equal signatures spread over tasks.
+   travels with the row drops candidates far from similar and ranks the others.
+   Trees are cut into ranges over (values, id), so many equal signatures spread over
+   tasks.
 3. Links are confirmed on full sets, computed again from the whole texts of the
    documents that have a candidate.  First each document's likeliest candidate is
    confirmed, then the likeliest between components so far, then every candidate
@@ -40,8 +41,10 @@ from lodestone.llm.components import components
 TREES = 12
 DEPTH = 8
 SKETCH = 64
-WINDOW = 16
+WINDOW = 48
 REGION = 48
+#: Of a row's neighbours beyond its region, on each side, the likeliest so many.
+NEAREST = 4
 #: Sketch agreement of a pair at the threshold lies this many deviations above the cut.
 MARGIN = 4.5
 SHINGLE = 5
@@ -112,20 +115,26 @@ def _neighbours(depth: int, window: int, region: int, least: float, ratio: float
             end = np.repeat(first + count, count)
             fits = np.repeat(count <= region, count)
             reach = np.where(fits, end - 1 - np.arange(m), reach)
-        reach = np.maximum(reach, window)
         found = []
-        for step in range(1, min(int(reach.max(initial=0)), m - 1) + 1):
-            i = np.flatnonzero((reach[: m - step] >= step) & (np.arange(step, m) >= old))
+        for step in range(1, min(max(int(reach.max(initial=0)), window), m - 1) + 1):
+            i = np.flatnonzero(((reach[: m - step] >= step) | (step <= window)) & (np.arange(step, m) >= old))
             j = i + step
             i, j = i[tree[i] == tree[j]], j[tree[i] == tree[j]]
             sizes = np.minimum(n[i], n[j]) >= ratio * np.maximum(n[i], n[j])
             i, j = i[sizes], j[sizes]
             agree = (sketch[i] == sketch[j]).mean(axis=1, dtype=np.float32)
             good = (agree >= least) & (ids[i] != ids[j])
-            found.append((np.minimum(ids[i[good]], ids[j[good]]), np.maximum(ids[i[good]], ids[j[good]]), agree[good]))
+            found.append((i[good], j[good], agree[good], reach[i[good]] >= step))
         if not found:
             return None
-        a, b, s = (np.concatenate(x) for x in zip(*found, strict=True))
+        i, j, s, whole = (np.concatenate(x) for x in zip(*found, strict=True))
+        for side in (i, j):
+            order = np.lexsort((-s, side))
+            first = np.flatnonzero(np.concatenate([[True], np.diff(side[order]) != 0])) if len(order) else np.zeros(0, np.int64)
+            place = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+            whole[order[place < NEAREST]] = True
+        i, j, s = i[whole], j[whole], s[whole]
+        a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s, pa.float32())], names=["a", "b", "likely"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,33 +210,34 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         some = some.select("a", "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
         return materialize(some.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(shingle, similarity), "a long, b long"), "neardup-links")
 
-    def between(some: DataFrame, found: DataFrame) -> DataFrame:
-        """Candidates of different components, with these as ca and cb."""
-        for side in ("a", "b"):
-            some = some.join(found.select(F.col("node").alias(side), F.col("component").alias(f"c{side}_")), side, "left").withColumn(f"c{side}", F.coalesce(f"c{side}_", side)).drop(f"c{side}_")
-        return some.filter("ca <> cb")
+    def relabel(rows: DataFrame, column: str, found: DataFrame) -> DataFrame:
+        """Replace a node by its component, where it has one."""
+        return rows.join(found.withColumnRenamed("node", column), column, "left").withColumn(column, F.coalesce("component", column)).drop("component")
 
     # A document's likeliest candidate: a maximum, combined before the shuffle.
     best = pairs.select(F.col("a").alias("x"), "a", "b", "likely").unionByName(pairs.select(F.col("b").alias("x"), "a", "b", "likely"))
     best = best.groupBy("x").agg(F.max(F.struct("likely", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
     best = materialize(best, "neardup-round")
-    links = confirm(best)
-    found = components(links)
-    tried = best
+    merges = [components(confirm(best))]
+    # What lies between components is carried on, under their labels; the rest is
+    # settled.  Each later step works on the graph contracted so far.
+    left = pairs.join(best, ["a", "b"], "left_anti").withColumns({"ca": F.col("a"), "cb": F.col("b")})
     for last in (False, True):
-        left = between(pairs.join(tried, ["a", "b"], "left_anti"), found)
-        if not last:
-            pick = left.groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(F.max(F.struct("likely", "a", "b")).alias("p"))
-            left = pick.select("p.a", "p.b")
-        left = materialize(left.select("a", "b"), "neardup-round")
+        left = materialize(relabel(relabel(left, "ca", merges[-1]), "cb", merges[-1]).filter("ca <> cb"), "neardup-left")
         if left.isEmpty():
             break
-        links = links.unionByName(confirm(left))
-        tried = tried.unionByName(left)
-        found = components(links)
+        some = left
+        if not last:
+            pick = left.groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(F.max(F.struct("likely", "a", "b", "ca", "cb")).alias("p"))
+            some = materialize(pick.select("p.a", "p.b", "p.ca", "p.cb"), "neardup-round")
+            left = left.join(some.select("a", "b"), ["a", "b"], "left_anti")
+        merges.append(components(confirm(some).join(some.select("a", "b", "ca", "cb"), ["a", "b"]), "ca", "cb"))
 
     # Members of a class share its component; ids that belong to several classes join them.
-    of_class = classes.select("n", "hi", "lo", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("n", "hi", "lo", F.coalesce("component", "id").alias("component"))
+    of_class = classes.select("n", "hi", "lo", F.col("id").alias("own"))
+    for found in merges:
+        of_class = relabel(of_class, "own", found)
+    of_class = of_class.withColumnRenamed("own", "component")
     empty = sketched.filter("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     linked = own.join(of_class, ["n", "hi", "lo"]).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
     out = linked.unionByName(empty)
