@@ -223,7 +223,11 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     # settled.  Each later step works on the graph contracted so far.
     left = pairs.join(best, ["a", "b"], "left_anti").withColumns({"ca": F.col("a"), "cb": F.col("b")})
     for last in (False, True):
-        left = materialize(relabel(relabel(left, "ca", merges[-1]), "cb", merges[-1]).filter("ca <> cb"), "neardup-left")
+        # Many candidates lie between two components: labels move once a pair of these.
+        moved = left.select("ca", "cb", F.col("ca").alias("x"), F.col("cb").alias("y")).distinct()
+        moved = relabel(relabel(moved, "x", merges[-1]), "y", merges[-1]).filter("x <> y")
+        left = left.join(moved, ["ca", "cb"]).select("a", "b", "likely", F.col("x").alias("ca"), F.col("y").alias("cb"))
+        left = materialize(left, "neardup-left")
         if left.isEmpty():
             break
         some = left
