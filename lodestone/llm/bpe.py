@@ -32,9 +32,9 @@ from lodestone.llm.common import table
 
 LONG_PIECE = 48
 #: Bytes of text whose pieces are encoded together.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 2 << 20
 #: Pieces that a task remembers; it forgets all when full (speed only).
-CACHE_PIECES = 400_000
+CACHE_PIECES = 150_000
 NONE = np.int32(2**31 - 1)
 
 
@@ -58,7 +58,7 @@ class PairTable:
                     ids.append(rank)
         keys = np.array(lefts, np.int64) << 32 | np.array(rights, np.int64)
         values = np.array(ids, np.int32)
-        self.bits = max(10, (len(keys) * 8).bit_length())
+        self.bits = max(10, (len(keys) * 4).bit_length())
         self.keys = np.full(1 << self.bits, -1, np.int64)
         self.values = np.full(1 << self.bits, NONE, np.int32)
         self.reach, slot = 0, self._slot(keys)
