@@ -250,7 +250,8 @@ def hybrid_search(spark, d):
 @query()
 def hash_embed_topk(spark, d):
     """Nearest documents by hashed word vectors (64 slots, signs from the hash)."""
-    tokens = F.explode(X.tokens(F.substring(F.coalesce("text", F.lit("")), 1, 2000)))
+    folded = F.replace(F.lower(F.coalesce("text", F.lit(""))), F.lit("ß"), F.lit("ss"))
+    tokens = F.explode(F.array_remove(F.split(folded, r"[^\p{L}\p{N}_-]+"), ""))
     h = F.xxhash64("t")
     slots = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", tokens.alias("t")).groupBy("doc_id", F.pmod(h, F.lit(64)).alias("slot")).agg(F.sum(F.when(F.shiftrightunsigned(h, 63) == 1, 1).otherwise(-1)).alias("x"))
     vec = slots.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("slot", "x"))).alias("m"))
