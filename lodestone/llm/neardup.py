@@ -12,9 +12,11 @@
    Trees are cut into ranges over (values, id), so many equal signatures spread over
    tasks.
 3. Links are confirmed on full sets, computed again from the whole texts of the
-   documents that have a candidate.  First each document's likeliest candidate is
-   confirmed, then the likeliest between components so far, then every candidate
-   between different components: a pair already in one component adds nothing.
+   documents that have a candidate.  A pair already in one component adds nothing,
+   so the forest is read three times: over all rows, for each document's likeliest
+   candidate; then over the rows that had one, now with their components, for the
+   likeliest pair between any two components; then for every candidate that still
+   lies between two.
 4. Components come from star steps over the confirmed links.
 
 Defined results: null or wordless text has an empty set, links with nothing and is
@@ -99,10 +101,11 @@ def _sketch(shingle: int, trees: int, depth: int):
     return run
 
 
-def _neighbours(depth: int, window: int, region: int, least: float, ratio: float):
-    """Task function over rows sorted by (tree, values, id): candidate pairs."""
+def _neighbours(depth: int, window: int, region: int, least: float, ratio: float, every: bool):
+    """Task function over rows sorted by (tree, values, id): candidate pairs between
+    different components that were not tried; ``every``, or each row's likeliest."""
 
-    def some(tree: np.ndarray, values: np.ndarray, ids: np.ndarray, n: np.ndarray, sketch: np.ndarray, old: int):
+    def some(tree: np.ndarray, values: np.ndarray, ids: np.ndarray, n: np.ndarray, sketch: np.ndarray, label: np.ndarray, tried: np.ndarray, old: int):
         m = len(ids)
         # Common prefix with the next row, in values; 0 across trees.
         same = (values[1:] == values[:-1]) & (tree[1:] == tree[:-1])[:, None]
@@ -120,11 +123,11 @@ def _neighbours(depth: int, window: int, region: int, least: float, ratio: float
             i = np.flatnonzero(((reach[: m - step] >= step) | (step <= window)) & (np.arange(step, m) >= old))
             j = i + step
             i, j = i[tree[i] == tree[j]], j[tree[i] == tree[j]]
-            sizes = np.minimum(n[i], n[j]) >= ratio * np.maximum(n[i], n[j])
-            i, j = i[sizes], j[sizes]
+            new = (np.minimum(n[i], n[j]) >= ratio * np.maximum(n[i], n[j])) & (label[i] != label[j]) & (tried[i] != ids[j]) & (tried[j] != ids[i])
+            i, j = i[new], j[new]
             agree = (sketch[i] == sketch[j]).mean(axis=1, dtype=np.float32)
             good = (agree >= least) & (ids[i] != ids[j])
-            found.append((i[good], j[good], agree[good], reach[i[good]] >= step))
+            found.append((i[good], j[good], agree[good], (reach[i[good]] >= step) & every))
         if not found:
             return None
         i, j, s, whole = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -132,10 +135,10 @@ def _neighbours(depth: int, window: int, region: int, least: float, ratio: float
             order = np.lexsort((-s, side))
             first = np.flatnonzero(np.concatenate([[True], np.diff(side[order]) != 0])) if len(order) else np.zeros(0, np.int64)
             place = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
-            whole[order[place < NEAREST]] = True
+            whole[order[place < (NEAREST if every else 1)]] = True
         i, j, s = i[whole], j[whole], s[whole]
-        a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s, pa.float32())], names=["a", "b", "likely"])
+        i, j = np.where(ids[i] < ids[j], i, j), np.where(ids[i] < ids[j], j, i)
+        return pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j]), pa.array(s, pa.float32()), pa.array(label[i]), pa.array(label[j])], names=["a", "b", "likely", "ca", "cb"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = None  # the last rows of the batch before, whose windows reach on
@@ -148,6 +151,9 @@ def _neighbours(depth: int, window: int, region: int, least: float, ratio: float
                 batch.column("n").to_numpy(),
                 np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH),
             ]
+            named = batch.schema.names
+            now.append(batch.column("label").to_numpy() if "label" in named else now[2])
+            now.append(batch.column("tried").to_numpy() if "tried" in named else np.full(batch.num_rows, -1, np.int64))
             if tail is not None:
                 now = [np.concatenate([x, y]) for x, y in zip(tail, now, strict=True)]
             old = 0 if tail is None else len(tail[0])
@@ -193,17 +199,25 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
     width = 2 * depth
     per_tree = F.posexplode(F.array(*[F.substring("tree", 1 + t * width, width) for t in range(trees)]))
-    rows = classes.select("id", "n", "sketch", per_tree.alias("tree", "values"))
     j = float(similarity)
     share = j + (1 - j) / 256  # agreement of 8-bit values at the threshold
     least = share - MARGIN * (share * (1 - share) / SKETCH) ** 0.5
-    rows = rows.repartitionByRange("tree", "values", "id").sortWithinPartitions("tree", "values", "id").select("tree", "values", "id", "n", "sketch")
-    pairs = rows.mapInArrow(_neighbours(depth, window, region, least, j), "a long, b long, likely float")
-    pairs = materialize(pairs.groupBy("a", "b").agg(F.max("likely").alias("likely")), "neardup-pairs")
+
+    def candidates(of: DataFrame, every: bool, *more: str) -> DataFrame:
+        """One reading of the forest over ``of``: a, b, likely, and their components."""
+        rows = of.select("id", "n", "sketch", *more, per_tree.alias("tree", "values"))
+        rows = rows.repartitionByRange("tree", "values", "id").sortWithinPartitions("tree", "values", "id").select("tree", "values", "id", "n", "sketch", *more)
+        pairs = rows.mapInArrow(_neighbours(depth, window, region, least, j, every), "a long, b long, likely float, ca long, cb long")
+        return pairs.groupBy("a", "b").agg(F.max("likely").alias("likely"), F.first("ca").alias("ca"), F.first("cb").alias("cb"))
+
+    # A document's likeliest candidate: a maximum, combined before the shuffle.
+    first = candidates(classes, False)
+    first = first.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e"), "likely")
+    best = materialize(first.groupBy("e.x").agg(F.max(F.struct("likely", "e.y")).getField("y").alias("y")), "neardup-best")
 
     # Whole texts of the documents that have a candidate, one row a document and set.
-    needed = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = source.join(maybe_broadcast(materialize(needed, "neardup-needed")), "doc_id", "left_semi").groupBy("doc_id").agg(F.first("text").alias("text"))
+    needed = best.select(F.col("x").alias("id"), F.col("y").alias("tried"))
+    texts = source.join(maybe_broadcast(needed.select(F.col("id").alias("doc_id"))), "doc_id", "left_semi").groupBy("doc_id").agg(F.first("text").alias("text"))
     texts = materialize(texts, "neardup-texts")
 
     def confirm(some: DataFrame) -> DataFrame:
@@ -214,28 +228,18 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         """Replace a node by its component, where it has one."""
         return rows.join(found.withColumnRenamed("node", column), column, "left").withColumn(column, F.coalesce("component", column)).drop("component")
 
-    # A document's likeliest candidate: a maximum, combined before the shuffle.
-    best = pairs.select(F.col("a").alias("x"), "a", "b", "likely").unionByName(pairs.select(F.col("b").alias("x"), "a", "b", "likely"))
-    best = best.groupBy("x").agg(F.max(F.struct("likely", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-    best = materialize(best, "neardup-round")
-    merges = [components(confirm(best))]
-    # What lies between components is carried on, under their labels; the rest is
-    # settled.  Each later step works on the graph contracted so far.
-    left = pairs.join(best, ["a", "b"], "left_anti").withColumns({"ca": F.col("a"), "cb": F.col("b")})
-    for last in (False, True):
-        # Many candidates lie between two components: labels move once a pair of these.
-        moved = left.select("ca", "cb", F.col("ca").alias("x"), F.col("cb").alias("y")).distinct()
-        moved = relabel(relabel(moved, "x", merges[-1]), "y", merges[-1]).filter("x <> y")
-        left = left.join(moved, ["ca", "cb"]).select("a", "b", "likely", F.col("x").alias("ca"), F.col("y").alias("cb"))
-        left = materialize(left, "neardup-left")
-        if left.isEmpty():
-            break
-        some = left
-        if not last:
-            pick = left.groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(F.max(F.struct("likely", "a", "b", "ca", "cb")).alias("p"))
-            some = materialize(pick.select("p.a", "p.b", "p.ca", "p.cb"), "neardup-round")
-            left = left.join(some.select("a", "b"), ["a", "b"], "left_anti")
-        merges.append(components(confirm(some).join(some.select("a", "b", "ca", "cb"), ["a", "b"]), "ca", "cb"))
+    merges = [components(confirm(best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()))]
+    # Documents that had a candidate, each with its component and the partner it tried.
+    nodes = classes.join(maybe_broadcast(needed), "id").withColumn("label", F.col("id"))
+    nodes = materialize(relabel(nodes, "label", merges[-1]), "neardup-nodes")
+    # The likeliest pair between two components.
+    pick = candidates(nodes, True, "label", "tried").groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(F.max(F.struct("likely", "a", "b", "ca", "cb")).alias("p"))
+    pick = materialize(pick.select("p.a", "p.b", "p.ca", "p.cb"), "neardup-pick")
+    merges.append(components(confirm(pick).join(pick, ["a", "b"]), "ca", "cb"))
+    # Every candidate that still lies between two components.
+    left = candidates(relabel(nodes, "label", merges[-1]), True, "label", "tried").join(pick.select("a", "b"), ["a", "b"], "left_anti")
+    left = materialize(left.select("a", "b", "ca", "cb"), "neardup-left")
+    merges.append(components(confirm(left).join(left, ["a", "b"]), "ca", "cb"))
 
     # Members of a class share its component; ids that belong to several classes join them.
     of_class = classes.select("n", "hi", "lo", F.col("id").alias("own"))
