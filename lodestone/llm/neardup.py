@@ -6,9 +6,11 @@
    so thousands of copies cost one row.
 2. Each tree sorts the representatives by its own stretch of the signature.  A row's
    candidates are its longest-common-prefix neighbours: all rows of its region, and
-   the likeliest of the ``window`` rows beside it.  A region's depth adapts: it is the
-   least depth at which no more than ``region`` rows share the prefix.  A sketch that
-   travels with the row drops candidates far from similar and ranks the others.
+   the ``window`` rows beside it.  A region's depth adapts: it is the least depth at
+   which no more than ``region`` rows share the prefix.  A sketch that travels with
+   the row drops candidates far from similar.  Where more than ``region`` rows share
+   all values, the forest cannot part them: such rows, the crowd, are also joined
+   exactly.
    Trees are cut into ranges over (values, id), so many equal signatures spread over
    tasks.
 3. Links are confirmed on full sets, computed again from the whole texts of the
@@ -17,7 +19,10 @@
    candidate; then over the rows that had one, now with their components, for the
    likeliest pair between any two components; then for every candidate that still
    lies between two.
-4. Components come from star steps over the confirmed links.
+4. The crowd's pairs between different components come from a prefix filter: with
+   the shingles in one order, rarest first, two sets alike enough share one of the
+   first ``n - ceil(similarity * n) + 1`` of each.  No pair that far alike is left out.
+5. Components come from star steps over the confirmed links.
 
 Defined results: null or wordless text has an empty set, links with nothing and is
 kept; fewer words than a shingle make the whole sequence its one shingle; rows with
@@ -33,7 +38,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm import kernels as K
@@ -45,8 +50,6 @@ DEPTH = 8
 SKETCH = 64
 WINDOW = 48
 REGION = 48
-#: Of a row's neighbours beyond its region, on each side, the likeliest so many.
-NEAREST = 4
 #: Sketch agreement of a pair at the threshold lies this many deviations above the cut.
 MARGIN = 4.5
 SHINGLE = 5
@@ -127,16 +130,16 @@ def _neighbours(depth: int, window: int, region: int, least: float, ratio: float
             i, j = i[new], j[new]
             agree = (sketch[i] == sketch[j]).mean(axis=1, dtype=np.float32)
             good = (agree >= least) & (ids[i] != ids[j])
-            found.append((i[good], j[good], agree[good], (reach[i[good]] >= step) & every))
+            found.append((i[good], j[good], agree[good]))
         if not found:
             return None
-        i, j, s, whole = (np.concatenate(x) for x in zip(*found, strict=True))
-        for side in (i, j):
-            order = np.lexsort((-s, side))
-            first = np.flatnonzero(np.concatenate([[True], np.diff(side[order]) != 0])) if len(order) else np.zeros(0, np.int64)
-            place = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
-            whole[order[place < (NEAREST if every else 1)]] = True
-        i, j, s = i[whole], j[whole], s[whole]
+        i, j, s = (np.concatenate(x) for x in zip(*found, strict=True))
+        if not every:
+            whole = np.zeros(len(i), bool)
+            for side in (i, j):
+                order = np.lexsort((-s, side))
+                whole[order[np.concatenate([[True], np.diff(side[order]) != 0])] if len(order) else order] = True
+            i, j, s = i[whole], j[whole], s[whole]
         i, j = np.where(ids[i] < ids[j], i, j), np.where(ids[i] < ids[j], j, i)
         return pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j]), pa.array(s, pa.float32()), pa.array(label[i]), pa.array(label[j])], names=["a", "b", "likely", "ca", "cb"])
 
@@ -165,15 +168,89 @@ def _neighbours(depth: int, window: int, region: int, least: float, ratio: float
     return run
 
 
+def _sets(data: np.ndarray, off: np.ndarray, shingle: int) -> list[np.ndarray]:
+    lowered = K.LOWER[data]
+    starts, ends, word_off = K.word_spans(lowered, off, K.SPACE)
+    return K.distinct_sets(*K.shingle_hashes(K.word_hashes(lowered, starts, ends), word_off, shingle))
+
+
+def _shingles(shingle: int):
+    """Task function: one row per document and distinct shingle, with the set's size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, off in K.chunks(batch):
+                own = _sets(data, off, shingle)
+                n = np.array([len(x) for x in own], np.int64)
+                ids = np.repeat(part.column("doc_id").to_numpy(), n)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.repeat(n, n)), pa.array(np.concatenate(own).view(np.int64))], names=["id", "n", "shingle"])
+
+    return run
+
+
+def _meetings(similarity: Fraction, most: int = 1 << 20):
+    """Task function over prefix rows sorted by (shingle, label): pairs of different
+    labels that meet there and may be similar enough by their sizes and places."""
+    up, down = similarity.numerator, similarity.denominator
+
+    def pairs(at, label, ids, n, place) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        cut = np.flatnonzero(np.diff(at)) + 1
+        group = np.repeat(np.append(cut, len(at)), np.diff(np.concatenate([[0], cut, [len(at)]])))
+        turn = np.flatnonzero((np.diff(at) != 0) | (np.diff(label) != 0)) + 1
+        past = np.repeat(np.append(turn, len(at)), np.diff(np.concatenate([[0], turn, [len(at)]])))
+        for i in np.flatnonzero(past < group):
+            j = slice(past[i], group[i])
+            left = 1 + np.minimum(n[i] - place[i], n[j] - place[j])
+            good = left * (up + down) >= up * (n[i] + n[j])
+            good &= down * np.minimum(n[i], n[j]) >= up * np.maximum(n[i], n[j])
+            other = ids[j][good]
+            if len(other):
+                yield np.minimum(ids[i], other), np.maximum(ids[i], other)
+
+    def flush(found: list) -> pa.RecordBatch:
+        both = np.unique(np.stack([np.concatenate(x) for x in zip(*found, strict=True)]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest, found, held = [], [], 0
+
+        def blocks():
+            nonlocal rest
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                now = [batch.column(c).to_numpy() for c in ("shingle", "label", "id", "n", "place")]
+                # The last shingle may go on in the next batch.
+                cut = int(np.searchsorted(now[0], now[0][-1]))
+                if cut:
+                    yield [np.concatenate(x) for x in zip(*rest, [y[:cut] for y in now], strict=True)]
+                    rest = []
+                elif rest and rest[-1][0][-1] != now[0][-1]:
+                    yield [np.concatenate(x) for x in zip(*rest, strict=True)]
+                    rest = []
+                rest.append([y[cut:] for y in now])
+            if rest:
+                yield [np.concatenate(x) for x in zip(*rest, strict=True)]
+
+        for block in blocks():
+            for pair in pairs(*block):
+                found.append(pair)
+                held += len(pair[0])
+                if held >= most:
+                    yield flush(found)
+                    found, held = [], 0
+        if found:
+            yield flush(found)
+
+    return run
+
+
 def _confirm(shingle: int, similarity: Fraction):
     """Task function: the pairs whose full sets are similar enough."""
     up, down = similarity.numerator, similarity.denominator
 
     def sets(column: pa.Array) -> list[np.ndarray]:
-        data, off = K.text_bytes(column)
-        lowered = K.LOWER[data]
-        starts, ends, word_off = K.word_spans(lowered, off, K.SPACE)
-        return K.distinct_sets(*K.shingle_hashes(K.word_hashes(lowered, starts, ends), word_off, shingle))
+        return _sets(*K.text_bytes(column), shingle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,9 +292,15 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     first = first.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e"), "likely")
     best = materialize(first.groupBy("e.x").agg(F.max(F.struct("likely", "e.y")).getField("y").alias("y")), "neardup-best")
 
+    # Rows that share all values of a tree with more rows than a region holds.
+    deep = classes.select("id", per_tree.alias("tree", "values"))
+    full = materialize(deep.groupBy("tree", "values").count().filter(F.col("count") > region).select("tree", "values"), "neardup-full")
+    crowd = materialize(deep.join(maybe_broadcast(full), ["tree", "values"], "left_semi").select("id").distinct(), "neardup-crowd")
+
     # Whole texts of the documents that have a candidate, one row a document and set.
     needed = best.select(F.col("x").alias("id"), F.col("y").alias("tried"))
-    texts = source.join(maybe_broadcast(needed.select(F.col("id").alias("doc_id"))), "doc_id", "left_semi").groupBy("doc_id").agg(F.first("text").alias("text"))
+    read = needed.select(F.col("id").alias("doc_id")).union(crowd).distinct()
+    texts = source.join(maybe_broadcast(read), "doc_id", "left_semi").groupBy("doc_id").agg(F.first("text").alias("text"))
     texts = materialize(texts, "neardup-texts")
 
     def confirm(some: DataFrame) -> DataFrame:
@@ -241,6 +324,23 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     left = materialize(left.select("a", "b", "ca", "cb"), "neardup-left")
     merges.append(components(confirm(left).join(left, ["a", "b"]), "ca", "cb"))
 
+    # The crowd, exactly: its shingles, rarest first, and the pairs that meet in them.
+    marked = crowd.withColumn("label", F.col("id"))
+    for found in merges:
+        marked = relabel(marked, "label", found)
+    marked = materialize(marked, "neardup-marked")
+    shingles = texts.join(maybe_broadcast(crowd.withColumnRenamed("id", "doc_id")), "doc_id", "left_semi").mapInArrow(_shingles(shingle), "id long, n long, shingle long")
+    shingles = materialize(shingles, "neardup-shingles")
+    common = shingles.groupBy("shingle").agg(F.count("*").alias("rows")).filter("rows > 1")
+    rarest = Window.partitionBy("id").orderBy(F.coalesce("rows", F.lit(1)), "shingle")
+    placed = shingles.join(common, "shingle", "left").withColumn("place", F.row_number().over(rarest).cast("long"))
+    prefix = placed.filter(F.expr(f"rows > 1 AND place <= n * {similarity.denominator - similarity.numerator} div {similarity.denominator} + 1")).join(marked, "id")
+    meet = prefix.repartition("shingle").sortWithinPartitions("shingle", "label").select("shingle", "label", "id", "n", "place")
+    met = meet.mapInArrow(_meetings(similarity), "a long, b long").distinct()
+    side = lambda c: marked.select(F.col("id").alias(c), F.col("label").alias(f"c{c}"))
+    met = materialize(met.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ca", "cb"), "neardup-met")
+    merges.append(components(confirm(met).join(met, ["a", "b"]), "ca", "cb"))
+
     # Members of a class share its component; ids that belong to several classes join them.
     of_class = classes.select("n", "hi", "lo", F.col("id").alias("own"))
     for found in merges:

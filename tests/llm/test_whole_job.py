@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from lodestone.llm import passages
+from lodestone.llm import neardup, passages
 
 DOCS = "doc_id long, text string"
 
@@ -29,3 +29,17 @@ def test_passages_go_on_behind_a_gap(spark, one, gap, two):
         assert _covered(own, one + gap, one + gap + two) > 0.9
         assert one < 50 or _covered(own, 0, one) > 0.9
         assert all(r["identity"] >= 0.8 and r["end"] - r["start"] >= 50 for r in own)
+
+
+def test_neardup_links_inside_a_crowd(spark):
+    """800 texts share 175 of 200 words (0.78 alike); row i and row i + 400 of the
+    first 20 share 3 more (0.802)."""
+    rng = np.random.default_rng(4)
+    common, texts, want = _words(rng, 175), {}, {}
+    for i in range(400):
+        more = _words(rng, 3) if i < 20 else []
+        for j in (i, i + 400):
+            texts[j] = " ".join(common + more + _words(rng, 25 - len(more)))
+            want[j] = i if i < 20 else j
+    out = neardup.near_duplicates(spark.createDataFrame(list(texts.items()), DOCS), shingle=1)
+    assert {r["doc_id"]: r["component_id"] for r in out.collect()} == want
