@@ -31,6 +31,25 @@ def test_passages_go_on_behind_a_gap(spark, one, gap, two):
         assert all(r["identity"] >= 0.8 and r["end"] - r["start"] >= 50 for r in own)
 
 
+@pytest.mark.parametrize("parts", [[20, 20, 20], [40] * 4, [20] * 6])
+def test_passages_made_of_phrases_seen_before(spark, parts):
+    """Two documents share a passage whose every phrase stands alone in an earlier
+    document, and in one between the two."""
+    rng = np.random.default_rng(len(parts))
+    texts = {}
+    for trial in range(20):
+        phrases = [_words(rng, n) for n in parts]
+        for i, phrase in enumerate(phrases):
+            for doc in (i, 11 + i):
+                texts[100 * trial + doc] = " ".join(_words(rng, 40) + phrase + _words(rng, 40))
+        for doc in (10, 20):
+            texts[100 * trial + doc] = " ".join(_words(rng, 40) + sum(phrases, []) + _words(rng, 40))
+    got = passages.repeated_passages(spark.createDataFrame(list(texts.items()), DOCS)).collect()
+    whole = sum(parts)
+    found = {t for t in range(20) if _covered([r for r in got if (r["doc_id"], r["other_id"]) == (100 * t + 20, 100 * t + 10)], 40, 40 + whole) > 0.9}
+    assert len(found) == 20
+
+
 def test_neardup_links_inside_a_crowd(spark):
     """800 texts share 175 of 200 words (0.78 alike); row i and row i + 400 of the
     first 20 share 3 more (0.802)."""
