@@ -232,10 +232,13 @@ def _works(rows):
 
 @query()
 def dedupe_same_work(spark, d):
-    rows = P.papers(spark, d).withColumn("query_id", F.lit(0).cast("long"))
-    head = rows.orderBy("normalized_title", "row_id").limit(40)
-    ordered = head.withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy("normalized_title", "row_id")))
-    return R.collapse(_works(ordered))
+    """All papers, one query a title: repeats of a work are dropped at any place."""
+    of_title = Window.partitionBy("normalized_title")
+    rows = P.papers(spark, d).withColumn("query_id", F.xxhash64("normalized_title"))
+    rows = rows.withColumns({"pos": F.row_number().over(of_title.orderBy("row_id")), "same": F.count("*").over(of_title)})
+    alone = rows.filter("same = 1").select("query_id", "pos", "row_id")
+    # A title's kept rows lie in different years, so no window is needed to bound them.
+    return R.collapse(_works(rows.filter("same > 1").drop("same")), window=2**31 - 1).unionByName(alone)
 
 
 @query()
