@@ -7,9 +7,13 @@ lineage are written as Parquet under the folder the session names in
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,14 +30,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for lineage cuts; a temporary one only if none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder for lineage cuts.  Where none is set, a local session (a
+    test) makes one; a cluster is told to name one."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        current = spark.sparkContext.getCheckpointDir()
-        if not current:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
-            current = spark.sparkContext.getCheckpointDir()
-        root = current
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
+        root = spark.sparkContext.getCheckpointDir()
     return root
 
 
@@ -49,6 +53,24 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fit_in_task(rows: DataFrame, fit: Callable[[pa.Table | None], Any]) -> Any:
+    """``fit`` over all of a bounded frame, in one executor task, which a lost executor
+    only repeats; its result comes back to the driver, the rows do not."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = [b for b in batches if b.num_rows]
+        made = fit(pa.Table.from_batches(own) if own else None)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(made, protocol=5)], pa.binary())], names=["made"])
+
+    found = rows.repartition(1).mapInArrow(run, "made binary").collect()  # one row
+    return pickle.loads(bytes(found[0]["made"])) if found else fit(None)
+
+
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` without input columns that an operator is about to make."""
+    return df.drop(*[c for c in df.columns if c.lower() in {n.lower() for n in names}])
+
+
 def bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     """True if ``df`` has at most ``limit`` rows (stops counting beyond)."""
     return df.limit(limit + 1).count() <= limit

@@ -14,7 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text handled at once; one longer text makes a chunk of its own.
+#: Bytes of text handled at once; one longer text makes a chunk of its own, whose
+#: words are found and hashed a stretch at a time (``words_of``).
 CHUNK_BYTES = 2 << 20
 
 U64 = np.uint64
@@ -116,6 +117,26 @@ def word_hashes(lowered: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
         return mix(body + (ends - starts).astype(U64) * U64(0xD1B54A32D192ED03))
 
 
+def words_of(data: np.ndarray, off: np.ndarray, separator: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word hashes, word offsets by document) of texts, A-Z lower-cased.  Work arrays
+    cover CHUNK_BYTES: a longer chunk is cut behind separators, which no word crosses."""
+    hashes, begun, at, total = [], [], 0, len(data)
+    while at < total:
+        end = min(at + CHUNK_BYTES, total)
+        while end < total and not separator[LOWER[data[end - 1]]]:
+            ahead = separator[LOWER[data[end : end + 4096]]]
+            end += int(ahead.argmax()) + 1 if ahead.any() else len(ahead)
+        lowered = LOWER[data[at:end]]
+        inner = off[np.searchsorted(off, at, "right") : np.searchsorted(off, end, "left")] - at
+        starts, ends, _ = word_spans(lowered, np.concatenate([[0], inner, [end - at]]), separator)
+        hashes.append(word_hashes(lowered, starts, ends))
+        begun.append(starts + at)
+        at = end
+    if not hashes:
+        return np.zeros(0, U64), np.zeros(len(off), np.int64)
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(begun), off)
+
+
 def shingle_hashes(words: np.ndarray, word_off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, offsets by document) of all k-word shingles in order; a document
     of fewer words, but not none, has its whole sequence as its one shingle."""
