@@ -5,9 +5,9 @@ together.  Pieces go into padded matrices by length bucket: one row a piece, one
 column a token, and a second matrix of the ranks of neighbouring pairs.  Each
 round every row merges its leftmost pair of minimum rank (argmin gives the
 leftmost), pair ranks being looked up in an open-addressing hash table in numpy
-arrays, and rows that have nothing left to merge are compacted away.  Pieces over
-``LONG_PIECE`` bytes take the same merges from a heap, as a matrix would need one
-round for each of their merges.
+arrays, and rows that have nothing left to merge are compacted away.  Matrices of pieces over
+``WIDE`` bytes also keep the minimum of each block of about sqrt(width) pairs and
+links over merged places, so that a round reads two blocks of a row.
 
 Ranks are read by the driver once, from a path that is a parameter, and broadcast
 (about 50,000 tokens: a fixed size).
@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +29,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm.common import table
 
-LONG_PIECE = 48
+#: Bytes from which a piece's matrix keeps block minima.
+WIDE = 48
+#: Cells of a matrix, about.
+CELLS = 1 << 20
 #: Bytes of text whose pieces are encoded together.
 GROUP_BYTES = 2 << 20
 #: Pieces that a task remembers; it forgets all when full (speed only).
@@ -160,34 +162,54 @@ class Encoder:
                 pair = np.zeros((n, 0), np.int32)
         return out
 
-    def _heap(self, piece: bytes) -> np.ndarray:
-        """The same merges for one long piece, in n log n."""
-        ids = self.byte_ids[np.frombuffer(piece, np.uint8)].tolist()
-        n = len(ids)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        ranks, tokens = self.ranks, [piece[i : i + 1] for i in range(n)]
-        heap = []
-
-        def offer(i: int) -> None:
-            j = after[i]
-            if j < n and (rank := ranks.get(tokens[i] + tokens[j])) is not None:
-                heapq.heappush(heap, (rank, i, tokens[i], tokens[j]))
-
-        for i in range(n - 1):
-            offer(i)
-        while heap:
-            rank, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if tokens[i] is not a or j >= n or tokens[j] is not b:
-                continue
-            tokens[i], tokens[j], ids[i] = a + b, None, rank
-            after[i] = after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            offer(i)
-            if before[i] >= 0:
-                offer(before[i])
-        return np.array([ids[i] for i in range(n) if tokens[i] is not None], np.int32)
+    def _wide(self, pieces: list[bytes]) -> list[np.ndarray]:
+        """Ids of long pieces of about one length.  A row's pairs stand in blocks with
+        their minima, so that a round reads one block of a row and not the row, and
+        merged places are skipped by links instead of moving what follows."""
+        lengths = np.array([len(p) for p in pieces])
+        width = int(lengths.max())
+        side = int(np.ceil(np.sqrt(width)))
+        size = side * side
+        n = len(pieces)
+        ids = np.full((n, size), -1, np.int32)
+        ids[np.arange(size) < lengths[:, None]] = self.byte_ids[np.frombuffer(b"".join(pieces), np.uint8)]
+        pair = np.full((n, size), NONE, np.int32)
+        pair[:, :-1] = self.pairs.find(ids[:, :-1], ids[:, 1:])
+        least = pair.reshape(n, side, side).min(axis=2)
+        after = np.tile(np.arange(1, size + 1), (n, 1))
+        before = np.tile(np.arange(-1, size - 1), (n, 1))
+        out: list[np.ndarray] = [None] * n
+        rows = np.arange(n)
+        while len(rows):
+            r = np.arange(len(rows))
+            block = least.argmin(axis=1)
+            merged = least[r, block]
+            done = merged == NONE
+            if done.any():  # compaction
+                for row, i in zip(rows[done], np.flatnonzero(done), strict=True):
+                    out[row] = ids[i][ids[i] >= 0]
+                go = ~done
+                rows, ids, pair, least, after, before = rows[go], ids[go], pair[go], least[go], after[go], before[go]
+                if not len(rows):
+                    break
+                r, block, merged = np.arange(len(rows)), block[go], merged[go]
+            blocks = pair.reshape(len(rows), side, side)
+            at = block * side + blocks[r, block].argmin(axis=1)
+            gone = after[r, at]
+            then = after[r, gone]
+            ids[r, at], ids[r, gone] = merged, -1
+            after[r, at] = then
+            inside = then < size
+            before[r[inside], then[inside]] = at[inside]
+            pair[r, gone] = NONE
+            right = np.where(inside, ids[r, np.minimum(then, size - 1)], -1)
+            pair[r, at] = self.pairs.find(merged, right)
+            prior = before[r, at]
+            has = prior >= 0
+            pair[r[has], prior[has]] = self.pairs.find(ids[r[has], prior[has]], merged[has])
+            for place in (at, gone, np.where(has, prior, at)):
+                least[r, place // side] = blocks[r, place // side].min(axis=1)
+        return out
 
     def encode_pieces(self, pieces: list[str]) -> None:
         """Fill the cache for pieces."""
@@ -197,14 +219,15 @@ class Encoder:
             whole = self.ranks.get(raw)
             if whole is not None:
                 self._cache[p] = np.array([whole], np.int32)
-            elif len(raw) > LONG_PIECE:
-                self._cache[p] = self._heap(raw)
             else:
-                buckets.setdefault((len(raw) + 3) // 4, []).append(p)
-        for bucket in buckets.values():
-            for i in range(0, len(bucket), 50_000):
-                part = bucket[i : i + 50_000]
-                for p, ids in zip(part, self._matrix([p.encode() for p in part]), strict=True):
+                # Long pieces share a matrix within a quarter of a power of two.
+                size = (len(raw) + 3) // 4
+                buckets.setdefault(size if len(raw) <= WIDE else -(len(raw) >> (len(raw).bit_length() - 3) << (len(raw).bit_length() - 3)), []).append(p)
+        for size, bucket in buckets.items():
+            most = max(1, CELLS // (4 * size if size > 0 else -2 * size))
+            for i in range(0, len(bucket), most):
+                part = bucket[i : i + most]
+                for p, ids in zip(part, (self._matrix if size > 0 else self._wide)([p.encode() for p in part]), strict=True):
                     self._cache[p] = ids
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
