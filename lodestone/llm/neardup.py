@@ -2,8 +2,9 @@
 
 1. One scan hashes every text's word shingles: the set's size, a 128-bit key of the
    set, and ``trees * depth`` 16-bit MinHash values.  Equal sets are one class from
-   here on, represented by its smallest id (a minimum, combined before the shuffle),
-   so thousands of copies cost one row.
+   here on (an aggregate, combined before the shuffle), so thousands of copies cost
+   one row.  A class has a number of its own: two texts under one doc_id are two
+   classes.
 2. Each tree sorts the representatives by its own stretch of the signature.  A row's
    candidates are its longest-common-prefix neighbours: all rows of its region, and
    the ``window`` rows beside it.  A region's depth adapts: it is the least depth at
@@ -13,8 +14,8 @@
    exactly.
    Trees are cut into ranges over (values, id), so many equal signatures spread over
    tasks.
-3. Links are confirmed on full sets, computed again from the whole texts of the
-   documents that have a candidate.  A pair already in one component adds nothing,
+3. Links are confirmed on full sets (sorted hashes of all shingles), which are made
+   once from the whole text of each class that has a candidate.  A pair already in one component adds nothing,
    so the forest is read three times: over all rows, for each document's likeliest
    candidate; then over the rows that had one, now with their components, for the
    likeliest pair between any two components; then for every candidate that still
@@ -27,8 +28,9 @@
 Defined results: null or wordless text has an empty set, links with nothing and is
 kept; fewer words than a shingle make the whole sequence its one shingle; rows with
 a null doc_id take no part: component null, kept true; rows that repeat a doc_id
-are copies of one document if their sets are equal, else the document links both;
-an empty table gives an empty result.  Other columns pass through near_dedup.
+are copies of one document if their sets are equal, else the document links both
+sets, whatever their likeness; an empty table gives an empty result.  Columns other
+than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -80,20 +82,15 @@ def _sketch(shingle: int, trees: int, depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, off in K.chunks(batch):
-                lowered = K.LOWER[data]
-                starts, ends, word_off = K.word_spans(lowered, off, K.SPACE)
-                sh, sh_off = K.shingle_hashes(K.word_hashes(lowered, starts, ends), word_off, shingle)
+                sh, sh_off = K.shingle_hashes(*K.words_of(data, off, K.SPACE), shingle)
                 full = np.flatnonzero(np.diff(sh_off) > 0)
                 n, hi, lo = (np.zeros(part.num_rows, np.int64) for _ in range(3))
                 values = [None] * part.num_rows
                 sketch = [None] * part.num_rows
                 if len(full):
-                    with np.errstate(over="ignore"):
-                        for i in full:
-                            own = np.unique(sh[sh_off[i] : sh_off[i + 1]])
-                            n[i] = len(own)
-                            hi[i] = np.sum(K.mix(own ^ K.U64(0x5851F42D4C957F2D))).view(np.int64)
-                            lo[i] = np.sum(K.mix(own + K.U64(0x14057B7EF767814F))).view(np.int64)
+                    own = [np.unique(sh[sh_off[i] : sh_off[i + 1]]) for i in full]
+                    n[full] = [len(x) for x in own]
+                    hi[full], lo[full] = _keys(own)
                     sig = signatures(sh, np.append(sh_off[full], sh_off[-1]), total)
                     tree = (sig[:, : trees * depth] & 0xFFFF).astype(">u2")
                     low = (sig[:, :SKETCH] >> 16).astype(np.uint8)
@@ -169,25 +166,44 @@ def _neighbours(depth: int, window: int, region: int, least: float, ratio: float
 
 
 def _sets(data: np.ndarray, off: np.ndarray, shingle: int) -> list[np.ndarray]:
-    lowered = K.LOWER[data]
-    starts, ends, word_off = K.word_spans(lowered, off, K.SPACE)
-    return K.distinct_sets(*K.shingle_hashes(K.word_hashes(lowered, starts, ends), word_off, shingle))
+    return K.distinct_sets(*K.shingle_hashes(*K.words_of(data, off, K.SPACE), shingle))
 
 
-def _shingles(shingle: int):
-    """Task function: one row per document and distinct shingle, with the set's size."""
+def _keys(own: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each set, in two halves: sums of mixed hashes."""
+    hi, lo = (np.zeros(len(own), np.int64) for _ in range(2))
+    with np.errstate(over="ignore"):
+        for i, x in enumerate(own):
+            hi[i] = np.sum(K.mix(x ^ K.U64(0x5851F42D4C957F2D))).view(np.int64)
+            lo[i] = np.sum(K.mix(x + K.U64(0x14057B7EF767814F))).view(np.int64)
+    return hi, lo
+
+
+def _full_sets(shingle: int):
+    """Task function: id and set of the texts whose set is the one of their class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, off in K.chunks(batch):
                 own = _sets(data, off, shingle)
-                n = np.array([len(x) for x in own], np.int64)
-                ids = np.repeat(part.column("doc_id").to_numpy(), n)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.repeat(n, n)), pa.array(np.concatenate(own).view(np.int64))], names=["id", "n", "shingle"])
+                hi, lo = _keys(own)
+                right = (hi == part.column("hi").to_numpy()) & (lo == part.column("lo").to_numpy())
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([x.tobytes() for x in own], pa.large_binary()).cast(pa.binary())], names=["id", "set"]).filter(pa.array(right))
 
     return run
 
 
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task function: one row per class and distinct shingle, with the set's size."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, 200):
+            part = batch.slice(i, 200)
+            own = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column("set")]
+            n = np.array([len(x) for x in own], np.int64)
+            ids = np.repeat(part.column("id").to_numpy(), n)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.repeat(n, n)), pa.array(np.concatenate(own))], names=["id", "n", "shingle"])
+
+
 def _meetings(similarity: Fraction, most: int = 1 << 20):
     """Task function over prefix rows sorted by (shingle, label): pairs of different
     labels that meet there and may be similar enough by their sizes and places."""
@@ -245,23 +261,18 @@ def _meetings(similarity: Fraction, most: int = 1 << 20):
     return run
 
 
-def _confirm(shingle: int, similarity: Fraction):
+def _confirm(similarity: Fraction):
     """Task function: the pairs whose full sets are similar enough."""
     up, down = similarity.numerator, similarity.denominator
 
-    def sets(column: pa.Array) -> list[np.ndarray]:
-        return _sets(*K.text_bytes(column), shingle)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 200):
-                part = batch.slice(i, 200)
-                left, right = sets(part.column("text_a")), sets(part.column("text_b"))
-                good = []
-                for x, y in zip(left, right, strict=True):
-                    both = K.common(x, y)
-                    good.append(both > 0 and down * both >= up * (len(x) + len(y) - both))
-                yield part.select(["a", "b"]).filter(pa.array(good))
+            good = []
+            for left, right in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
+                x, y = np.frombuffer(left.as_buffer(), np.uint64), np.frombuffer(right.as_buffer(), np.uint64)
+                both = K.common(x, y)
+                good.append(both > 0 and down * both >= up * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return run
 
@@ -272,7 +283,8 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     sketched = materialize(source.mapInArrow(_sketch(shingle, trees, depth), "doc_id long, n long, hi long, lo long, tree binary, sketch binary"), "neardup-sketch")
     # Classes of equal sets; the values are a function of the set.
     own = sketched.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = materialize(own.groupBy("n", "hi", "lo").agg(F.min("doc_id").alias("id"), F.first("tree").alias("tree"), F.first("sketch").alias("sketch")), "neardup-classes")
+    classes = own.groupBy("n", "hi", "lo").agg(F.min("doc_id").alias("doc_id"), F.first("tree").alias("tree"), F.first("sketch").alias("sketch"))
+    classes = materialize(classes.withColumn("id", F.monotonically_increasing_id()), "neardup-classes")
 
     width = 2 * depth
     per_tree = F.posexplode(F.array(*[F.substring("tree", 1 + t * width, width) for t in range(trees)]))
@@ -297,21 +309,30 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     full = materialize(deep.groupBy("tree", "values").count().filter(F.col("count") > region).select("tree", "values"), "neardup-full")
     crowd = materialize(deep.join(maybe_broadcast(full), ["tree", "values"], "left_semi").select("id").distinct(), "neardup-crowd")
 
-    # Whole texts of the documents that have a candidate, one row a document and set.
+    # Full sets of the classes that have a candidate.
     needed = best.select(F.col("x").alias("id"), F.col("y").alias("tried"))
-    read = needed.select(F.col("id").alias("doc_id")).union(crowd).distinct()
-    texts = source.join(maybe_broadcast(read), "doc_id", "left_semi").groupBy("doc_id").agg(F.first("text").alias("text"))
-    texts = materialize(texts, "neardup-texts")
+    read = materialize(needed.select("id").union(crowd).distinct(), "neardup-read")
+    of = materialize(classes.join(maybe_broadcast(read), "id").select("id", "doc_id", "hi", "lo"), "neardup-of")
+    sets = source.join(maybe_broadcast(of), "doc_id").select("id", "hi", "lo", "text").mapInArrow(_full_sets(shingle), "id long, set binary")
+    sets = materialize(sets.groupBy("id").agg(F.first("set").alias("set")), "neardup-sets")
 
     def confirm(some: DataFrame) -> DataFrame:
-        some = some.select("a", "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-        return materialize(some.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(shingle, similarity), "a long, b long"), "neardup-links")
+        some = some.select("a", "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
+        return materialize(some.select("a", "b", "set_a", "set_b").mapInArrow(_confirm(similarity), "a long, b long"), "neardup-links")
 
     def relabel(rows: DataFrame, column: str, found: DataFrame) -> DataFrame:
         """Replace a node by its component, where it has one."""
         return rows.join(found.withColumnRenamed("node", column), column, "left").withColumn(column, F.coalesce("component", column)).drop("component")
 
-    merges = [components(confirm(best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()))]
+    links = confirm(best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    # A doc_id with several sets links their classes.
+    key = F.struct("n", "hi", "lo")
+    several = materialize(own.groupBy("doc_id").agg(F.min(key).alias("x"), F.max(key).alias("y")).filter("x <> y").select("doc_id"), "neardup-several")
+    if not several.isEmpty():
+        held = own.join(maybe_broadcast(several), "doc_id").join(classes.select("n", "hi", "lo", "id"), ["n", "hi", "lo"]).select("doc_id", "id").distinct()
+        least_of = held.groupBy("doc_id").agg(F.min("id").alias("a"))
+        links = links.unionByName(held.join(least_of, "doc_id").filter("a <> id").select("a", F.col("id").alias("b")))
+    merges = [components(links)]
     # Documents that had a candidate, each with its component and the partner it tried.
     nodes = classes.join(maybe_broadcast(needed), "id").withColumn("label", F.col("id"))
     nodes = materialize(relabel(nodes, "label", merges[-1]), "neardup-nodes")
@@ -329,7 +350,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     for found in merges:
         marked = relabel(marked, "label", found)
     marked = materialize(marked, "neardup-marked")
-    shingles = texts.join(maybe_broadcast(crowd.withColumnRenamed("id", "doc_id")), "doc_id", "left_semi").mapInArrow(_shingles(shingle), "id long, n long, shingle long")
+    shingles = sets.join(maybe_broadcast(crowd), "id", "left_semi").mapInArrow(_shingles, "id long, n long, shingle long")
     shingles = materialize(shingles, "neardup-shingles")
     common = shingles.groupBy("shingle").agg(F.count("*").alias("rows")).filter("rows > 1")
     rarest = Window.partitionBy("id").orderBy(F.coalesce("rows", F.lit(1)), "shingle")
@@ -341,13 +362,15 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     met = materialize(met.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ca", "cb"), "neardup-met")
     merges.append(components(confirm(met).join(met, ["a", "b"]), "ca", "cb"))
 
-    # Members of a class share its component; ids that belong to several classes join them.
-    of_class = classes.select("n", "hi", "lo", F.col("id").alias("own"))
+    # Members of a class share its component, which is named by its smallest doc_id.
+    of_class = classes.select("n", "hi", "lo", "doc_id", F.col("id").alias("own"))
     for found in merges:
         of_class = relabel(of_class, "own", found)
-    of_class = of_class.withColumnRenamed("own", "component")
+    of_class = materialize(of_class, "neardup-of-class")
+    named = of_class.groupBy("own").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("classes")).filter("classes > 1").drop("classes")
+    of_class = of_class.join(named, "own", "left").select("n", "hi", "lo", F.coalesce("component_id", "doc_id").alias("component_id"))
     empty = sketched.filter("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    linked = own.join(of_class, ["n", "hi", "lo"]).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    linked = own.join(of_class, ["n", "hi", "lo"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     out = linked.unionByName(empty)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
