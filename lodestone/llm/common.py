@@ -7,6 +7,7 @@ lineage are written as Parquet under the folder the session names in
 
 from __future__ import annotations
 
+import ctypes
 import pickle
 import tempfile
 import uuid
@@ -53,6 +54,22 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidied(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``task`` that gives what it freed back to the system when it ends: a Python
+    worker lives on through all later stages, beside the JVM of its executor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
 def fit_in_task(rows: DataFrame, fit: Callable[[pa.Table | None], Any]) -> Any:
     """``fit`` over all of a bounded frame, in one executor task, which a lost executor
     only repeats; its result comes back to the driver, the rows do not."""
@@ -62,7 +79,7 @@ def fit_in_task(rows: DataFrame, fit: Callable[[pa.Table | None], Any]) -> Any:
         made = fit(pa.Table.from_batches(own) if own else None)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(made, protocol=5)], pa.binary())], names=["made"])
 
-    found = rows.repartition(1).mapInArrow(run, "made binary").collect()  # one row
+    found = rows.repartition(1).mapInArrow(tidied(run), "made binary").collect()  # one row
     return pickle.loads(bytes(found[0]["made"])) if found else fit(None)
 
 

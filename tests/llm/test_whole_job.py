@@ -62,3 +62,42 @@ def test_neardup_links_inside_a_crowd(spark):
             want[j] = i if i < 20 else j
     out = neardup.near_duplicates(spark.createDataFrame(list(texts.items()), DOCS), shingle=1)
     assert {r["doc_id"]: r["component_id"] for r in out.collect()} == want
+
+
+def test_passages_fuzzy_recall_and_no_false_ones(spark):
+    """Planted passages with words changed at random: the share found at three rates,
+    and nothing between documents that share nothing."""
+    rng = np.random.default_rng(21)
+    texts, pairs = {}, []
+    for rate in (0.05, 0.1, 0.15):
+        for n in (60, 100):
+            for _ in range(20):
+                run = _words(rng, n)
+                changed = [w if rng.random() > rate else f"c{rng.integers(10**9)}" for w in run]
+                a = len(texts)
+                texts[a] = " ".join(_words(rng, 70) + run + _words(rng, 30))
+                texts[a + 1] = " ".join(_words(rng, 20) + changed + _words(rng, 90))
+                pairs.append((rate, a, n))
+    got = passages.repeated_passages(spark.createDataFrame(list(texts.items()), DOCS)).collect()
+    assert {(r["other_id"], r["doc_id"]) for r in got} <= {(a, a + 1) for _, a, _ in pairs}
+    assert all(r["identity"] >= 0.8 and min(r["end"] - r["start"], r["other_end"] - r["other_start"]) >= 50 for r in got)
+    found = {r["doc_id"] for r in got if _covered([r], 20, 70) > 0.5}
+    share = {rate: np.mean([a + 1 in found for x, a, _ in pairs if x == rate]) for rate in (0.05, 0.1, 0.15)}
+    print(share)
+    assert share[0.05] >= 0.95 and share[0.1] >= 0.9 and share[0.15] >= 0.7
+
+
+def test_passages_exact_runs_by_brute_force(spark):
+    """Every shared exact run of 50 words or more between any two of 40 texts is
+    covered by passages of the later text, and repeated ids take one text."""
+    rng = np.random.default_rng(23)
+    vocabulary = [f"t{i}" for i in range(300)]
+    pool = [list(rng.choice(vocabulary, rng.integers(50, 90))) for _ in range(8)]
+    texts = {i: _words(rng, 60) + pool[rng.integers(8)] + _words(rng, 40) + pool[rng.integers(8)] for i in range(40)}
+    rows = [(i, " ".join(t)) for i, t in texts.items()] + [(7, "z " + " ".join(texts[7]))]
+    got = passages.repeated_passages(spark.createDataFrame(rows, DOCS)).collect()
+    for later, words in texts.items():
+        grams = {tuple(texts[e][i : i + 50]) for e in range(later) for i in range(len(texts[e]) - 49)}
+        shared = {p for i in range(len(words) - 49) if tuple(words[i : i + 50]) in grams for p in range(i, i + 50)}
+        covered = {p for r in got if r["doc_id"] == later for p in range(r["start"], r["end"])}
+        assert shared <= covered
