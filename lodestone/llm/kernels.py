@@ -32,6 +32,10 @@ LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 
+#: Separator of lines.
+NEWLINE = np.zeros(256, bool)
+NEWLINE[10] = True
+
 #: Separators of words [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after lower-casing.
 NON_WORD = np.ones(256, bool)
 NON_WORD[48:58] = NON_WORD[97:123] = NON_WORD[128:] = False
@@ -117,23 +121,27 @@ def word_hashes(lowered: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
         return mix(body + (ends - starts).astype(U64) * U64(0xD1B54A32D192ED03))
 
 
-def words_of(data: np.ndarray, off: np.ndarray, separator: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(word hashes, word offsets by document) of texts, A-Z lower-cased.  Work arrays
-    cover CHUNK_BYTES: a longer chunk is cut behind separators, which no word crosses."""
-    hashes, begun, at, total = [], [], 0, len(data)
+def stretches(data: np.ndarray, off: np.ndarray, separator: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(start, lower-cased bytes, offsets) of pieces of about CHUNK_BYTES, cut behind
+    separators, so that work arrays over a longer chunk stay bounded."""
+    at, total = 0, len(data)
     while at < total:
         end = min(at + CHUNK_BYTES, total)
         while end < total and not separator[LOWER[data[end - 1]]]:
             ahead = separator[LOWER[data[end : end + 4096]]]
             end += int(ahead.argmax()) + 1 if ahead.any() else len(ahead)
-        lowered = LOWER[data[at:end]]
         inner = off[np.searchsorted(off, at, "right") : np.searchsorted(off, end, "left")] - at
-        starts, ends, _ = word_spans(lowered, np.concatenate([[0], inner, [end - at]]), separator)
+        yield at, LOWER[data[at:end]], np.concatenate([[0], inner, [end - at]])
+        at = end
+
+
+def words_of(data: np.ndarray, off: np.ndarray, separator: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word hashes, word offsets by document) of texts, A-Z lower-cased."""
+    hashes, begun = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
+    for at, lowered, cut in stretches(data, off, separator):
+        starts, ends, _ = word_spans(lowered, cut, separator)
         hashes.append(word_hashes(lowered, starts, ends))
         begun.append(starts + at)
-        at = end
-    if not hashes:
-        return np.zeros(0, U64), np.zeros(len(off), np.int64)
     return np.concatenate(hashes), np.searchsorted(np.concatenate(begun), off)
 
 

@@ -8,11 +8,13 @@ twice filter; some others have too (false positives), none is missed.
 
 Pass 2 sends only keys that the twice filter suspects to a shuffle, where
 min(doc_id) <> max(doc_id) confirms on the key itself and names the first
-document.  Documents without a suspect finish in the scan; only the rest are
-joined with their lines to drop.
+document.  Keys in more than ``HOT_ROWS`` documents (and one in ``HOT_SHARE`` rows, so
+they are few) are joined by broadcast, the others by shuffle.  Documents without a
+suspect finish in the scan; only the rest are joined with their lines to drop.
 
 The filter has 8 bits a line, within ``max_filter_bits``, which is the bound of
-what is broadcast.  Beyond it more lines are suspects, and results stay exact.
+what is broadcast.  Beyond it more lines are suspects, up to all of them, which costs
+a shuffle of all keys; results stay exact.
 
 Defined results: null text is one empty line; a null doc_id keeps all its lines
 and makes no line repeated; rows that repeat a doc_id are one document for the
@@ -23,7 +25,6 @@ are passed through whatever their names, except that names starting with
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -32,25 +33,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import hex_sha256, lower_ascii, materialize, table
+from lodestone.llm import kernels as K
+from lodestone.llm.common import hex_sha256, materialize, table, tidied
 
 MIN_POINTS = 10
 MAX_FILTER_BITS = 1 << 30
 BLOCK_BITS = 1 << 18
+#: A key of more rows than this, and than one in HOT_SHARE rows, is hot.
+HOT_ROWS = 10_000
+HOT_SHARE = 1000
 STRIP = b" \t\n\x0b\x0c\r"
 
 
-def line_keys(text: str | None) -> list[bytes]:
-    """Keys of a text's lines, in order."""
-    return [line.strip(STRIP).lower() for line in (text or "").encode().split(b"\n")]
-
-
-def _points(key: bytes) -> int:
-    return len(key) if key.isascii() else len(key.decode())
-
-
-def _hash(key: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(key, digest_size=8).digest(), "little")
+def long_keys(data: np.ndarray, off: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(lower-cased bytes, text, start, end, hash) of the keys of at least ``least``
+    code points, a stretch of the texts at a time."""
+    for at, lowered, cut in K.stretches(data, off, K.NEWLINE):
+        starts, ends, _ = K.word_spans(lowered, cut, K.NEWLINE)
+        solid = np.flatnonzero(~K.SPACE[lowered])
+        if not len(starts) or not len(solid):
+            continue
+        a = solid[np.minimum(np.searchsorted(solid, starts), len(solid) - 1)]
+        b = solid[np.maximum(np.searchsorted(solid, ends) - 1, 0)] + 1
+        points = np.concatenate([[0], np.cumsum((lowered & 0xC0) != 0x80)])
+        good = (a >= starts) & (b <= ends) & (a < b)
+        good[good] = points[b[good]] - points[a[good]] >= least
+        a, b = a[good], b[good]
+        yield lowered, np.searchsorted(off, a + at, "right") - 1, a, b, K.word_hashes(lowered, a, b)
 
 
 def _bits(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -60,10 +69,6 @@ def _bits(hashes: np.ndarray, bits: int) -> np.ndarray:
     return ((h + np.arange(3, dtype=np.uint64) * step) & np.uint64(bits - 1)).astype(np.int64)
 
 
-def _texts(batch: pa.RecordBatch) -> tuple[list, list]:
-    return batch.column(0).to_pylist(), batch.column(1)
-
-
 def _build(bits: int, least: int):
     """Task function of pass 1: (block, once, twice), compressed, for blocks with bits."""
 
@@ -80,17 +85,14 @@ def _build(bits: int, least: int):
             np.bitwise_or.at(array, at >> 3, (1 << (at & 7)).astype(np.uint8))
 
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            owner, found = [], []
-            for i, doc in enumerate(ids):
-                if doc is None:
-                    continue
-                for key in {k for k in line_keys(texts[i].as_py()) if len(k) >= least and _points(k) >= least}:
-                    owner.append(doc)
-                    found.append(_hash(key))
-            if not found:
+            batch = batch.filter(batch.column(0).is_valid())
+            ids, parts = batch.column(0).to_numpy(), []
+            for part, data, off in K.chunks(batch):
+                first = part.column(0).to_numpy()
+                parts += [(h, first[row]) for _, row, _, _, h in long_keys(data, off, least)]
+            if not parts or not len(ids):
                 continue
-            h, docs = np.array(found, np.uint64), np.array(owner, np.int64)
+            h, docs = (np.concatenate(x) for x in zip(*parts, strict=True))
             # Within the batch: the same hash in two documents.
             order = np.lexsort((docs, h))
             h, docs = h[order], docs[order]
@@ -129,7 +131,7 @@ def _merge(key: tuple[pa.Scalar, ...], rows: Iterator[pa.RecordBatch]) -> Iterat
 
 def twice_filter(docs: DataFrame, doc_id: str, text: str, *, bits: int, least: int) -> np.ndarray:
     """The merged twice filter, at most ``bits / 8`` bytes."""
-    part = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(_build(bits, least), "block int, once binary, twice binary")
+    part = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidied(_build(bits, least)), "block int, once binary, twice binary")
     merged = part.groupBy("block").applyInArrow(_merge, "block int, twice binary")
     out, size = np.zeros(bits >> 3, np.uint8), min(bits, BLOCK_BITS) >> 3
     for row in merged.toLocalIterator():  # a filter of bounded size, not the corpus
@@ -150,32 +152,50 @@ def _suspects(shared, bits: int, least: int, keys: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twice = shared.value
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            owner, found, hashes = [], [], []
-            for i in range(batch.num_rows):
-                doc = ids[i].as_py()
-                if doc is None and keys:
-                    continue
-                for key in {k for k in line_keys(texts[i].as_py()) if len(k) >= least and _points(k) >= least}:
-                    owner.append(i)
-                    found.append(key)
-                    hashes.append(_hash(key))
-            hit = np.zeros(0, bool)
-            if found:
-                at = _bits(np.array(hashes, np.uint64), bits)
-                hit = ((twice[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=1)
-            if keys:
-                pick = np.flatnonzero(hit)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array([owner[j] for j in pick], pa.int64())), pa.array([found[j].decode() for j in pick], pa.string())], names=["doc_id", "key"])
-            else:
-                marked = np.zeros(batch.num_rows, bool)
-                marked[np.array(owner, np.int64)[hit] if found else []] = True
-                marked &= ~np.array(ids.is_null())
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marked)], names=[*batch.schema.names, "_ld_suspect"])
+            for part, data, off in K.chunks(batch, batch.schema.names[1]):
+                ids = part.column(0)
+                marked = np.zeros(part.num_rows, bool)
+                owner, found = [], []
+                for lowered, row, a, b, h in long_keys(data, off, least):
+                    at = _bits(h, bits)
+                    hit = np.flatnonzero(((twice[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=1))
+                    marked[row[hit]] = True
+                    if keys and len(hit):
+                        # Once a document, or in a long one once a stretch.
+                        order = hit[np.lexsort((h[hit], row[hit]))]
+                        order = order[np.concatenate([[True], (np.diff(row[order]) != 0) | (h[order][1:] != h[order][:-1])])]
+                        owner.append(row[order])
+                        raw = lowered.tobytes()
+                        found += [raw[s:e].decode() for s, e in zip(a[order].tolist(), b[order].tolist(), strict=True)]
+                if keys:
+                    owner = np.concatenate(owner) if owner else np.zeros(0, np.int64)
+                    rows = pa.RecordBatch.from_arrays([ids.take(pa.array(owner)), pa.array(found, pa.string())], names=["doc_id", "key"])
+                    yield rows.filter(rows.column(0).is_valid())
+                else:
+                    marked &= ~np.array(ids.is_null())
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(marked)], names=[*part.schema.names, "_ld_suspect"])
 
     return run
 
 
+def _drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task function: text without its lines of dropped keys, lines before, dropped."""
+    for batch in batches:
+        row, texts, keys = batch.columns
+        kept, lines, dropped = [], [], []
+        for text, gone in zip(texts, keys, strict=True):
+            parts, gone = (text.as_py() or "").split("\n"), gone.as_py()
+            if gone:
+                gone = {x.encode() for x in gone}
+                rest = [x for x in parts if x.encode().strip(STRIP).lower() not in gone]
+            else:
+                rest = parts
+            kept.append("\n".join(rest))
+            lines.append(len(parts))
+            dropped.append(len(parts) - len(rest))
+        yield pa.RecordBatch.from_arrays([row, pa.array(kept, pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], names=["_ld_row", "_ld_text", "_ld_lines", "_ld_dropped"])
+
+
 def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_points: int = MIN_POINTS, max_filter_bits: int = MAX_FILTER_BITS) -> DataFrame:
     """``docs`` with repeated lines taken out of ``text``, and ``n_lines`` (before)
     and ``n_dropped`` as columns ``_ld_lines`` and ``_ld_dropped``."""
@@ -184,27 +204,25 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     twice = twice_filter(docs, doc_id, text, bits=bits, least=min_points)
     shared = spark.sparkContext.broadcast(twice)
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    suspects = narrow.mapInArrow(_suspects(shared, bits, min_points, True), "doc_id long, key string")
+    suspects = narrow.mapInArrow(tidied(_suspects(shared, bits, min_points, True)), "doc_id long, key string")
     suspects = materialize(suspects, "line-suspects")
-    first = suspects.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first <> last").select("key", "first")
-    drop = suspects.join(first, "key").filter("doc_id <> first").groupBy(F.col("doc_id").alias("_ld_doc")).agg(F.collect_set("key").alias("_ld_keys"))
+    first = suspects.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("rows")).filter("first <> last").select("key", "first", "rows")
+    first = materialize(first, "line-first")
+    limit = max(HOT_ROWS, suspects.count() // HOT_SHARE)
+    hot = F.broadcast(first.filter(F.col("rows") > limit).select("key", "first"))  # HOT_SHARE rows at most
+    cold = suspects.join(hot.select("key"), "key", "left_anti").join(first.filter(F.col("rows") <= limit).select("key", "first"), "key")
+    drop = cold.unionByName(suspects.join(hot, "key")).filter("doc_id <> first").groupBy(F.col("doc_id").alias("_ld_doc")).agg(F.collect_set("key").alias("_ld_keys"))
 
     others = [c for c in docs.columns if c not in (doc_id, text)]
     row = docs.select(F.col(doc_id).cast("long").alias("_ld_id"), F.col(text).alias("_ld_text"), F.struct(*[F.col(f"`{c}`") for c in [doc_id, *others]]).alias("_ld_row"))
     kind = row.schema["_ld_row"].dataType.simpleString()
-    flagged = row.mapInArrow(_suspects(shared, bits, min_points, False), f"_ld_id long, _ld_text string, _ld_row {kind}, _ld_suspect boolean")
+    flagged = row.mapInArrow(tidied(_suspects(shared, bits, min_points, False)), f"_ld_id long, _ld_text string, _ld_row {kind}, _ld_suspect boolean")
 
     value = F.coalesce("_ld_text", F.lit(""))
     lines = F.split(value, "\n", -1)
     clean = flagged.filter(~F.col("_ld_suspect")).select("_ld_row", value.alias("_ld_text"), F.size(lines).cast("long").alias("_ld_lines"), F.lit(0).cast("long").alias("_ld_dropped"))
-    key = lambda line: F.btrim(lower_ascii(line), F.lit(" \t\n\x0b\x0c\r"))
-    kept = F.filter(lines, lambda line: ~F.array_contains(F.col("_ld_keys"), key(line)))
-    mixed = flagged.filter("_ld_suspect").join(drop, F.col("_ld_id") == F.col("_ld_doc"), "left").select(
-        "_ld_row",
-        F.when(F.col("_ld_keys").isNull(), lines).otherwise(kept).alias("_ld_kept"),
-        F.size(lines).cast("long").alias("_ld_lines"),
-    )
-    mixed = mixed.select("_ld_row", F.array_join("_ld_kept", "\n").alias("_ld_text"), "_ld_lines", (F.col("_ld_lines") - F.size("_ld_kept")).cast("long").alias("_ld_dropped"))
+    mixed = flagged.filter("_ld_suspect").join(drop, F.col("_ld_id") == F.col("_ld_doc"), "left").select("_ld_row", "_ld_text", "_ld_keys")
+    mixed = mixed.mapInArrow(tidied(_drop), f"_ld_row {kind}, _ld_text string, _ld_lines long, _ld_dropped long")
     both = clean.unionByName(mixed)
     return both.select(*[F.col("_ld_text").alias(c) if c == text else F.col(f"_ld_row.`{c}`").alias(c) for c in docs.columns], "_ld_lines", "_ld_dropped")
 
