@@ -1,25 +1,28 @@
 """Benchmark decontamination by winnowing, with DataFrame functions only.
 
 A *window* is ``n`` consecutive words of a benchmark item (an item of fewer words,
-but not none, is one window as a whole).  Of each window, the smallest hash among
-its ``k``-word grams is kept as its fingerprint.  The same rule over a document
-gives the fingerprint of each of its word windows, so equal windows always have
-equal fingerprints: any shared span of ``n`` words is found, wherever it starts.
-
-Documents' fingerprints are exploded with their places and joined with the windows'
-in one generated-code stage.  A match is extended there: the words of the whole
-window are compared one by one, so a hash can't make a false hit, and only true
-hits leave the stage.
-
-The benchmark side is broadcast only if its counted windows are within
+but not none, is one window as a whole).  Both sides are winnowed alike: of each run
+of ``n`` words the leftmost smallest hash among its ``k``-word grams is chosen, and
+each chosen place is kept once, however many runs choose it.  A run that both sides
+share chooses the same gram in both, so every shared span of ``n`` words has a
+fingerprint in common, wherever it starts.
+
+Documents' fingerprints are joined with the items' in one generated-code stage, and
+each match is extended there: word by word to the left and to the right, up to
+``n - k`` words either way.  An extended match of ``n`` words or more is a hit, so a
+hash can't make a false one; longer spans are the union of their fingerprints' hits.
+Only hits leave the stage.
+
+The benchmark side is broadcast only if its counted fingerprints are within
 ``broadcast_windows``; otherwise Spark joins by shuffle, and each place carries its
-own few words.  A sentinel fingerprint a document keeps every document in the
-result without a second scan.
+own few words.  Sentinel fingerprints, one a document, keep every document in the
+result without a second scan; in a shuffle they are dealt over many keys.
 
 Defined results: null or wordless text has no words and no hit; null or wordless
-items have no window; equal windows of many items are compared once and count for
-each item; repeated rows each give their own result row; a null doc_id is kept as
-null; an empty benchmark hits nothing.
+items have no window; equal fingerprints of many items are compared once and count
+for each item; repeated rows each give their own result row; a null doc_id is kept
+as null; an empty benchmark hits nothing.  Columns other than those named are not
+read.
 """
 
 from __future__ import annotations
@@ -32,8 +35,12 @@ from lodestone.llm.common import bounded, hex_sha256, lower_ascii, table
 WINDOW = 8
 GRAM = 5
 MIN_ITEMS = 2
-#: Most benchmark windows (about 200 bytes each) that are broadcast.
-BROADCAST_WINDOWS = 300_000
+#: Most benchmark fingerprints (about 300 bytes each) that are broadcast.
+BROADCAST_WINDOWS = 200_000
+#: Bits of a gram's place (words of one text: 2^28 at most); the others are its hash.
+PLACE_BITS = 28
+#: Keys that documents' sentinels are dealt over in a shuffle.
+SENTINELS = 4096
 #: What separates words once A-Z are lower-cased: [\x00-\x2F\x3A-\x60\x7B-\x7F].
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -68,78 +75,111 @@ def _fold(df: DataFrame, out: str, source: str, n: int, joiner: str) -> DataFram
 
 
 def winnowed(df: DataFrame, length: int, gram: int, out: str) -> DataFrame:
-    """Add ``out``: the fingerprint of the ``length``-word window at each start.
-    Needs ``hashes``, an array of word hashes."""
+    """Add ``out``: the distinct choices of the ``length``-word runs, each a long of
+    the gram's hash above PLACE_BITS bits of its place, so that the smallest is the
+    leftmost of equal hashes.  Needs ``hashes``, the word hashes."""
     k = min(gram, length)
     df = _fold(df, f"{out}_g", "hashes", k, "xxhash64")
-    return _fold(df, out, f"{out}_g", length - k + 1, "least").drop(f"{out}_g")
+    df = df.withColumn(f"{out}_p", F.expr(f"transform({out}_g, (x, i) -> shiftleft(shiftright(x, {PLACE_BITS}), {PLACE_BITS}) | i)")).drop(f"{out}_g")
+    if length == k:
+        return df.withColumnRenamed(f"{out}_p", out)
+    df = _fold(df, f"{out}_m", f"{out}_p", length - k + 1, "least")
+    return df.withColumn(out, F.array_distinct(f"{out}_m")).drop(f"{out}_m", f"{out}_p")
+
+
+def _parts(choice: Column) -> tuple[Column, Column]:
+    """(fingerprint, place) of a choice."""
+    return F.shiftright(choice, PLACE_BITS), choice.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
 
 
-def item_windows(items: DataFrame, *, item_id: str, text: str, window: int, gram: int) -> tuple[DataFrame, list[int]]:
-    """(distinct windows: length, fp, window, item_ids), and the window lengths in use."""
+def item_fingerprints(items: DataFrame, *, item_id: str, text: str, window: int, gram: int) -> tuple[DataFrame, list[int]]:
+    """(length, fp, gram and the words before it, nearest first, and after it, and the
+    item_ids), and the window lengths in use."""
     base = items.select(F.col(item_id).cast("string").alias("item"), words(F.col(text)).alias("w")).filter("size(w) > 0")
-    base = base.withColumn("length", F.least(F.size("w"), F.lit(window)))
+    base = base.withColumn("length", F.least(F.size("w"), F.lit(window))).withColumn("hashes", F.transform("w", lambda x: F.xxhash64(x)))
     lengths = sorted(r["length"] for r in base.select("length").distinct().limit(window).collect())
-    cut = base.select("item", "length", F.explode(F.expr("transform(sequence(1, size(w) - length + 1), i -> slice(w, i, length))")).alias("window"))
-    cut = cut.groupBy("length", "window").agg(F.collect_set("item").alias("item_ids"))
-    parts = []
-    for n in lengths:
-        one = cut.filter(F.col("length") == n).withColumn("hashes", F.transform("window", lambda x: F.xxhash64(x)))
-        parts.append(winnowed(one, n, gram, "fps").select("length", F.col("fps")[0].alias("fp"), "window", "item_ids"))
     out = None
-    for p in parts:
-        out = p if out is None else out.unionByName(p)
-    return out, lengths
+    for n in lengths:
+        k = min(gram, n)
+        one = winnowed(base.filter(F.col("length") == n), n, gram, "at")
+        one = one.select("item", "w", F.explode("at").alias("choice"))
+        fp, place = _parts(F.col("choice"))
+        one = one.select("item", "w", fp.alias("fp"), place.alias("p"))
+        one = one.selectExpr(
+            "item",
+            f"{n} as length",
+            "fp",
+            f"slice(w, p + 1, {k}) as gram",
+            f"reverse(slice(w, greatest(p - {n - k}, 0) + 1, least(p, {n - k}))) as before",
+            f"slice(w, p + {k + 1}, {n - k}) as after",
+        )
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        return base, []
+    return out.groupBy("length", "fp", "gram", "before", "after").agg(F.collect_set("item").alias("item_ids")), lengths
 
 
 def contamination(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, gram: int = GRAM, min_items: int = MIN_ITEMS, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """One row per input row: doc_id, n_words, n_hit (words inside a hit window),
     n_items, item_ids (sorted as strings), contaminated (n_items >= min_items)."""
-    windows, lengths = item_windows(items, item_id=item_id, text=item_text, window=window, gram=gram)
+    spark = docs.sparkSession
+    prints, lengths = item_fingerprints(items, item_id=item_id, text=item_text, window=window, gram=gram)
     base = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).alias("doc_id"), words(F.col(text)).alias("w"))
     if not lengths:
         return base.select("doc_id", F.size("w").cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.array().cast("array<string>").alias("item_ids"), F.lit(False).alias("contaminated"))
     df = base.withColumn("hashes", F.transform("w", lambda x: F.xxhash64(x)))
     for n in lengths:
-        df = winnowed(df, n, gram, f"fp{n}")
-    # All fingerprints side by side behind the sentinel; a place tells length and start.
-    df = df.withColumn("fps", F.concat(F.array(F.lit(0).cast("long")), *[F.col(f"fp{n}") for n in lengths]))
-    before = F.lit(1)
+        df = winnowed(df, n, gram, f"at{n}")
+    small = bounded(prints, broadcast_windows)
+    keys = 1 if small else SENTINELS
+    # All choices side by side behind the sentinel; the index tells the length.
+    df = df.withColumn("marks", F.concat(F.array(F.pmod("rid", F.lit(keys))), *[F.col(f"at{n}") for n in lengths]))
+    before, length = F.lit(1), F.when(F.col("index") == 0, F.lit(0))
     for n in lengths:
-        df = df.withColumn(f"to{n}", before + F.size(f"fp{n}"))
+        before = before + F.size(f"at{n}")
+        df = df.withColumn(f"to{n}", before)
+        length = length.when(F.col("index") < F.col(f"to{n}"), F.lit(n))
         before = F.col(f"to{n}")
-    length, start = F.lit(lengths[-1]), F.col("place") - (F.col(f"to{lengths[-2]}") if len(lengths) > 1 else F.lit(1))
-    for i in range(len(lengths) - 2, -1, -1):
-        own = F.col("place") < F.col(f"to{lengths[i]}")
-        length = F.when(own, F.lit(lengths[i])).otherwise(length)
-        start = F.when(own, F.col("place") - (F.col(f"to{lengths[i - 1]}") if i else F.lit(1))).otherwise(start)
-    length = F.when(F.col("place") == 0, F.lit(0)).otherwise(length)
-    df = df.drop("hashes", *[f"fp{n}" for n in lengths])
-    # Never empty; the outer form keeps Spark from testing size(fps) in a filter
+    df = df.drop("hashes", *[f"at{n}" for n in lengths])
+    # Never empty; the outer form keeps Spark from testing size(marks) in a filter
     # below, which would compute all the arrays twice.
-    rows = df.select("rid", "doc_id", "w", *[f"to{n}" for n in lengths], F.posexplode_outer("fps").alias("place", "fp"))
-    rows = rows.select("rid", "doc_id", "w", "fp", length.alias("length"), start.alias("start"))
-    spark = docs.sparkSession
-    sentinel = spark.range(1).select(F.lit(0).alias("length"), F.lit(0).cast("long").alias("fp"), F.array().cast("array<string>").alias("window"), F.array().cast("array<string>").alias("item_ids"))
-    side = sentinel.unionByName(windows)
-    words_here = F.slice(F.col("w"), F.col("start") + 1, F.col("length"))
-    size = F.size("w").cast("long")
-    if bounded(side, broadcast_windows):
-        # One generated-code stage from explode to comparison: only hits leave it.
+    rows = df.select("rid", "doc_id", "w", *[f"to{n}" for n in lengths], F.posexplode_outer("marks").alias("index", "choice"))
+    fp, place = _parts(F.col("choice"))
+    rows = rows.select("rid", "doc_id", "w", F.when(F.col("index") == 0, F.col("choice")).otherwise(fp).alias("fp"), length.alias("length"), place.alias("p"))
+    none = F.array().cast("array<string>")
+    side = prints.unionByName(spark.range(keys).select(F.lit(0).alias("length"), F.col("id").alias("fp"), *[none.alias(c) for c in ("gram", "before", "after", "item_ids")]))
+    k, reach = F.least(F.col("length"), F.lit(gram)), max(0, window - gram)
+    n_words = F.size("w").cast("long").alias("n_words")
+    own = F.slice("w", F.col("p") + 1, k)
+    if small:
         hits = rows.join(F.broadcast(side), ["fp", "length"])
-        hits = hits.filter((F.col("length") == 0) | (words_here == F.col("window"))).select("rid", "doc_id", size.alias("n_words"), "length", "start", "item_ids")
+        left, right = (lambda i: F.get("w", F.col("p") - 1 - i)), (lambda i: F.get("w", F.col("p") + k + i))
+        hits = hits.filter((F.col("length") == 0) | (own == F.col("gram")))
     else:
         # Each place takes its own few words along, not the document's.
-        rows = rows.select("rid", "doc_id", size.alias("n_words"), "fp", "length", "start", F.when(F.col("length") > 0, words_here).alias("own"))
-        hits = rows.join(side, ["fp", "length"]).filter("length = 0 OR own = window").select("rid", "doc_id", "n_words", "length", "start", "item_ids")
-    spot = F.when(F.col("length") > 0, F.struct("start", "length"))
+        far = F.col("length") - k
+        back = F.reverse(F.slice("w", F.greatest(F.col("p") - far, F.lit(0)) + 1, F.least("p", far)))
+        rows = rows.select("rid", "doc_id", n_words, "fp", "length", "p", own.alias("own"), back.alias("back"), F.slice("w", F.col("p") + k + 1, far).alias("ahead"))
+        hits = rows.join(side, ["fp", "length"]).filter("length = 0 OR own = gram")
+        left, right = (lambda i: F.get("back", F.lit(i))), (lambda i: F.get("ahead", F.lit(i)))
+
+    def extent(doc, item: str) -> Column:
+        """Words that agree in a row, from the gram on; item words end at the window."""
+        out = F.lit(reach)
+        for i in range(reach - 1, -1, -1):
+            out = F.when(~F.coalesce(doc(i) == F.get(item, F.lit(i)), F.lit(False)), F.lit(i)).otherwise(out)
+        return out
+
+    hits = hits.select("rid", "doc_id", *([n_words] if small else ["n_words"]), "length", (F.col("p") - extent(left, "before")).alias("start"), (F.col("p") + k + extent(right, "after")).alias("end"), "item_ids")
+    hits = hits.filter("length = 0 OR end - start >= length")
+    spot = F.when(F.col("length") > 0, F.struct("start", "end"))
     per_doc = hits.groupBy("rid").agg(
         F.first("doc_id").alias("doc_id"),
         F.first("n_words").alias("n_words"),
         F.collect_set(spot).alias("spots"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("item_ids"),
     )
-    covered = F.transform("spots", lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1))
+    covered = F.transform("spots", lambda s: F.sequence(s["start"], s["end"] - 1))
     per_doc = per_doc.withColumn("n_hit", F.size(F.array_distinct(F.flatten(covered))).cast("long"))
     return per_doc.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), "item_ids", (F.size("item_ids") >= min_items).alias("contaminated"))
 
