@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import materialize, maybe_broadcast, table
+from lodestone.llm.common import materialize, maybe_broadcast, table, tidied
 
 TABLES = 16
 HASHES = 6
@@ -168,8 +168,8 @@ def nearest(vectors: DataFrame, queries: Column, *, k: int = 5, vec_id: str = "v
     asked = base.filter(queries).distinct().select(F.col("vec_id").alias("query"), "vec")
     a, b = projections(dim, tables, hashes, width, seed)
     parts = max(8, -(-rows // PART_ROWS))
-    index = entries.select("rep", "vec").mapInArrow(_hasher(a, b, width, 0), f"rep long, vec {kind}, table int, bucket long")
-    probe = asked.mapInArrow(_hasher(a, b, width, probes), f"query long, vec {kind}, table int, bucket long")
+    index = entries.select("rep", "vec").mapInArrow(tidied(_hasher(a, b, width, 0)), f"rep long, vec {kind}, table int, bucket long")
+    probe = asked.mapInArrow(tidied(_hasher(a, b, width, probes)), f"query long, vec {kind}, table int, bucket long")
     spread = index.groupBy("table", "bucket").count().filter(F.col("count") > PART_ROWS).select("table", "bucket", F.ceil(F.col("count") / PART_ROWS).cast("int").alias("salts"))
     spread = maybe_broadcast(materialize(spread, "ann-hot-buckets"))
     part = F.pmod(F.col("bucket") + F.col("salt"), F.lit(parts)).cast("int").alias("part")

@@ -27,7 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm.common import table
+from lodestone.llm.common import table, tidied
 
 #: Bytes from which a piece's matrix keeps block minima.
 WIDE = 48
@@ -274,6 +274,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, *, doc_id: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = shared.value
+        coder.start()  # a task's own memory of pieces
         for batch in batches:
             for first, texts in _groups(batch):
                 ids = coder.encode(texts)
@@ -288,10 +289,11 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, *, doc_id: str
                     cols.append(pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
+        coder.start()
 
     kind = docs.schema[doc_id].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
-    return docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")).mapInArrow(run, schema)
+    return docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")).mapInArrow(tidied(run), schema)
 
 
 def decode_ids(frame: DataFrame, ranks_path: str, *, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -303,7 +305,7 @@ def decode_ids(frame: DataFrame, ranks_path: str, *, doc_id: str = "doc_id", ids
             out = [None if x is None else shared.value.decode(np.array(x, np.int64)) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "decoded"])
 
-    return frame.select(frame[doc_id].alias("doc_id"), frame[ids].alias("ids")).mapInArrow(run, f"doc_id {frame.schema[doc_id].dataType.simpleString()}, decoded binary")
+    return frame.select(frame[doc_id].alias("doc_id"), frame[ids].alias("ids")).mapInArrow(tidied(run), f"doc_id {frame.schema[doc_id].dataType.simpleString()}, decoded binary")
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

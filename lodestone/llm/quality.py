@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm import kernels as K
-from lodestone.llm.common import fit_in_task, table, without
+from lodestone.llm.common import fit_in_task, table, tidied, without
 from lodestone.llm.toxicity import bounded_sample, held_out
 
 #: Bounds of the labelled sample: rows of each class, and bytes of text.
@@ -276,7 +276,7 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
         return co_train(found, rows.column("y").to_numpy(), roles(rows.num_rows), rounds)
 
     kind = base.schema["doc_id"].dataType.simpleString()
-    sample = bounded_sample(known, base, max_rows, max_bytes).mapInArrow(features, f"doc_id {kind}, y int, slots array<int>, dense array<float>")
+    sample = bounded_sample(known, base, max_rows, max_bytes).mapInArrow(tidied(features), f"doc_id {kind}, y int, slots array<int>, dense array<float>")
     return fit_in_task(sample, learn)
 
 
@@ -294,7 +294,7 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", lang: str = "lan
                 value = m.scores((*text_features(data, off), meta))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(value, pa.float64())], names=[*names, out])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
+    return docs.mapInArrow(tidied(run), T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
 
 
 def op3_cotraining_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
