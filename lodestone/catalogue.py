@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.plans import building, corpus, vectors
+from lodestone.plans import building, corpus, service, vectors
 
-QUERIES = vectors.QUERIES | corpus.QUERIES | building.QUERIES
-SQL = vectors.SQL | corpus.SQL | building.SQL
+QUERIES = vectors.QUERIES | corpus.QUERIES | building.QUERIES | service.QUERIES
+SQL = vectors.SQL | corpus.SQL | building.SQL | service.SQL

@@ -80,17 +80,47 @@ def fold_accents(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
 
 
+def _drop_tags(text: str) -> str:
+    """Entities read, then short tags (a name right behind ``<``) become a space."""
+    return re.sub(r"</?[A-Za-z][^<>]{0,60}>", " ", html.unescape(text))
+
+
+#: Ways in which a stored title may be spelled, in the order of their keys.
+SPELLINGS = (
+    lambda t: t,
+    lambda t: re.sub("[\u2010-\u2015\u2212]", "-", t),
+    lambda t: unicodedata.normalize("NFC", t),
+    lambda t: unicodedata.normalize("NFKC", t),
+    _drop_tags,
+    fold_accents,
+    lambda t: re.sub("['`\u2018\u2019\u02bc]", "", t),
+    lambda t: unicodedata.normalize("NFD", t),
+    lambda t: t.replace("&", "&amp;"),
+)
+
+
 def title_key_variants(text: str) -> list[str]:
-    """Distinct keys under which a stored title may stand, the literal one first."""
-    unhyphened = lambda s: [s.replace("-", " "), s.replace("-", "")]
-    dashes = re.sub("[‐-―−]", "-", text)
-    forms = [text, dashes, unicodedata.normalize("NFC", text), unicodedata.normalize("NFKC", text)]
-    forms += [html.unescape(re.sub(r"<[^>]+>", "", text)), fold_accents(text), re.sub("['‘’ʼ]", "", text)]
-    forms += [unicodedata.normalize("NFD", text), text.replace("&", "&amp;")]
-    ordered = [text, *unhyphened(text), *forms[1:]] + [h for f in forms[1:] for h in unhyphened(f)]
-    out: list[str] = []
-    for form in ordered:
-        key = " ".join(plain_key(form).split())
-        if key and key not in out:
-            out.append(key)
-    return out[:MAX_VARIANTS]
+    """Distinct keys under which a stored title may stand, the literal one first, then
+    its forms without hyphens, then those of each other spelling."""
+    plain = [spell(text) for spell in SPELLINGS]
+    hyphens = [form.replace("-", by) for form in plain for by in (" ", "")]
+    keys = (plain_key(form) for form in [plain[0], *hyphens[:2], *plain[1:], *hyphens[2:]])
+    return list(dict.fromkeys(key for key in keys if key))[:MAX_VARIANTS]
+
+
+def numeric_id(value: Column) -> Column:
+    """The number of a work id; null if it is none."""
+    return F.nullif(F.substring(work_id(value), 2, 40), F.lit("")).cast("long")
+
+
+def surname(authors: Column) -> Column:
+    """Last word of the first author's name, case-folded; empty without one.  Accents
+    of Latin letters are folded by a fixed table, as Spark has no normalisation."""
+    name = normalize_title(F.translate(F.lower(F.coalesce(F.get(authors, F.lit(0)), F.lit(""))), ACCENTED, UNACCENTED))
+    return F.coalesce(F.element_at(F.split(name, " "), -1), F.lit(""))
+
+
+#: Latin letters that decompose into one ASCII letter and marks, from the Unicode data.
+_FOLDED = {chr(c): fold_accents(chr(c)) for c in range(0xC0, 0x250)}
+ACCENTED = "".join(c for c, f in _FOLDED.items() if len(f) == 1 and f.isascii())
+UNACCENTED = "".join(_FOLDED[c] for c in ACCENTED)

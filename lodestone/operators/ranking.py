@@ -20,22 +20,23 @@ def spread(pool: DataFrame) -> DataFrame:
     s = pool.agg(F.max("sem").alias("top"), F.min("sem").alias("low"))
     gap = F.coalesce(F.col("top") - F.col("low"), F.lit(0.0))
     scale = F.when(gap == 0, F.lit(1.0)).otherwise(F.least(F.greatest(gap / 0.10, F.lit(0.25)), F.lit(2.0)))
-    return s.select(F.round(gap, 6).alias("spread"), F.round(scale, 6).alias("scale"), F.round(F.coalesce("top", F.lit(0.0)) - 0.5 * gap, 6).alias("floor"))
+    return s.select(gap.alias("spread"), scale.alias("scale"), (F.coalesce("top", F.lit(0.0)) - 0.5 * gap).alias("floor"))
 
 
-def ranked(candidates: DataFrame, pool: DataFrame) -> DataFrame:
+def ranked(candidates: DataFrame, pool: DataFrame, citations: str = "cited_by_count") -> DataFrame:
     """Add ``scale``, ``floor`` and ``score`` to candidates (row_id, sem,
     publication_year, cited_by_count, exact, prefix, matched)."""
     base = candidates.crossJoin(F.broadcast(spread(pool)))
     bonus = F.when(F.col("exact"), F.lit(1.0)).when(F.col("prefix"), PREFIX_BONUS * F.col("scale")).when(F.col("matched"), F.lit(TITLE_BONUS)).otherwise(F.lit(0.0))
-    boost = (X.citation_boost(F.col("cited_by_count")) * CITATION_WEIGHT + X.recency_boost(F.col("publication_year"))) * F.col("scale")
-    return base.withColumn("score", F.round(F.col("sem") + boost + bonus, 6))
+    boost = (X.citation_boost(F.col(citations)) * CITATION_WEIGHT + X.recency_boost(F.col("publication_year"))) * F.col("scale")
+    return base.withColumn("score", F.col("sem") + boost + bonus)
 
 
-def order(sort: str) -> list[Column]:
-    exact, score, cited, year = F.col("exact"), F.desc("score"), F.desc("cited_by_count"), F.col("publication_year")
+def order(sort: str, citations: str = "cited_by_count") -> list[Column]:
+    """Sort keys; scores that agree to 9 places are equal, as engines add in other orders."""
+    exact, score, cited, year = F.col("exact"), F.round("score", 9).desc(), F.desc(citations), F.col("publication_year")
     if sort == "relevance":
-        return [F.when(exact, 0).otherwise(1), F.when(exact, F.col("cited_by_count")).desc_nulls_last(), score, cited, F.asc("row_id")]
+        return [F.when(exact, 0).otherwise(1), F.when(exact, F.col(citations)).desc_nulls_last(), score, cited, F.asc("row_id")]
     if sort == "most_cited":
         return [cited, score, F.asc("row_id")]
     if sort in ("newest", "oldest"):
@@ -43,24 +44,35 @@ def order(sort: str) -> list[Column]:
     raise ValueError(f"sort must be one of {SORTS}")
 
 
-def positions(rows: DataFrame, sort: str = "relevance") -> DataFrame:
+def positions(rows: DataFrame, sort: str = "relevance", citations: str = "cited_by_count") -> DataFrame:
     """Add ``pos`` from 1.  Other sorts than relevance keep exact titles and rows at
     or above the floor only.  Candidates of one query are a bounded pool."""
     if sort != "relevance":
         rows = rows.filter(F.col("exact") | (F.col("sem") >= F.col("floor")))
-    return rows.withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy(*order(sort))))
+    return rows.withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy(*order(sort, citations))))
 
 
-def penalised(rows: DataFrame, window: int = RERANK_WINDOW) -> DataFrame:
-    """Rows of the window without a snippet lose 0.03 of the scale."""
+def penalised(rows: DataFrame, window: int = RERANK_WINDOW, multi_word: bool = True) -> DataFrame:
+    """Rows of the window without a snippet lose 0.03 of the scale, for queries of more
+    than one word."""
+    if not multi_word:
+        return rows
     blank = (F.col("pos") <= window) & (F.trim(F.coalesce("snippet", F.lit(""))) == "")
-    return rows.withColumn("score", F.round(F.col("score") - F.when(blank, 0.03 * F.col("scale")).otherwise(0.0), 6))
+    return rows.withColumn("score", F.col("score") - F.when(blank, 0.03 * F.col("scale")).otherwise(0.0))
+
+
+def window_order(rows: DataFrame, sort: str, citations: str = "cited_by_count", window: int = RERANK_WINDOW) -> DataFrame:
+    """Put the rows of the window in order anew; those behind it stay where they are."""
+    inside = F.when(F.col("pos") <= window, 0).otherwise(1)
+    within = Window.partitionBy("query_id").orderBy(inside, F.when(inside == 1, F.col("pos")), *order(sort, citations))
+    return rows.withColumn("pos", F.row_number().over(within))
 
 
 def same_work(a: dict, b: dict) -> bool:
-    """Same DOI, else same first author's surname, else years at most one apart."""
-    if a["doi"] and b["doi"]:
-        return a["doi"] == b["doi"]
+    """Equal DOIs make one work.  Else, where both have a first author, the surnames
+    decide; where one has none, years at most one apart do."""
+    if a["doi"] and a["doi"] == b["doi"]:
+        return True
     if a["surname"] and b["surname"]:
         return a["surname"] == b["surname"]
     return a["year"] > 0 and b["year"] > 0 and abs(a["year"] - b["year"]) <= 1
@@ -68,26 +80,30 @@ def same_work(a: dict, b: dict) -> bool:
 
 def collapse(rows: DataFrame, window: int = RERANK_WINDOW) -> DataFrame:
     """Drop repeats of one work within each query's window: rows are taken in order
-    and compared with kept rows of the same title; the more cited one stays in the
-    earlier place.  Needs query_id, pos, row_id, normalized_title, doi, surname,
-    publication_year, cited_by_count.  At most ``window`` rows a query go to Python."""
+    and compared with kept rows of the same title that is not empty; a verified record,
+    else the more cited one, takes the earlier place.  Needs query_id, pos, row_id,
+    normalized_title, doi, authors, publication_year, citations; ``verified`` is
+    optional.  At most ``window`` rows a query go to Python.  Returns query_id, row_id
+    and a gapless pos in the old order (see ``window_order``)."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         kept: list[dict] = []
+        of_title: dict[str, list[int]] = {}
         for r in part.sort_values("pos").to_dict("records"):
-            r["year"] = r["publication_year"]
-            for i, k in enumerate(kept):
-                if k["normalized_title"] == r["normalized_title"] and same_work(k, r):
-                    if r["cited_by_count"] > k["cited_by_count"]:
-                        kept[i] = r | {"pos": k["pos"]}
-                    break
-            else:
+            title = r["normalized_title"]
+            places = of_title.setdefault(title, [])
+            hit = next((i for i in places if same_work(kept[i], r)), None) if title else None
+            if hit is None:
+                places.append(len(kept))
                 kept.append(r)
-        out = pd.DataFrame(kept, columns=[*part.columns, "year"])[["query_id", "pos", "row_id"]]
+            elif r["verified"] if r["verified"] != kept[hit]["verified"] else r["citations"] > kept[hit]["citations"]:
+                kept[hit] = r | {"pos": kept[hit]["pos"]}
+        out = pd.DataFrame(kept, columns=part.columns)[["query_id", "pos", "row_id"]]
         return out.astype({"query_id": "int64", "pos": "int32", "row_id": "int64"})
 
-    columns = ["query_id", "pos", "row_id", "normalized_title", "doi", "surname", "publication_year", "cited_by_count"]
-    head = rows.filter(F.col("pos") <= window).select(*columns).groupBy("query_id").applyInPandas(run, "query_id long, pos int, row_id long")
+    verified = F.col("verified") if "verified" in rows.columns else F.lit(False)
+    needed = rows.select("query_id", "pos", "row_id", "normalized_title", X.doi(F.col("doi")).alias("doi"), X.surname(F.col("authors")).alias("surname"), F.coalesce("publication_year", F.lit(0)).alias("year"), F.coalesce("citations", F.lit(0)).alias("citations"), verified.alias("verified"))
+    head = needed.filter(F.col("pos") <= window).groupBy("query_id").applyInPandas(run, "query_id long, pos int, row_id long")
     tail = rows.filter(F.col("pos") > window).select(F.col("query_id").cast("long").alias("query_id"), "pos", F.col("row_id").cast("long").alias("row_id"))
     both = head.unionByName(tail)
     return both.withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy("pos")))

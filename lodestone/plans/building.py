@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from lodestone.operators import builds
+from lodestone.operators.index import Files, scratch
 from lodestone.sources import works
 from lodestone.streaming.ingest import ingest
 
@@ -87,13 +88,27 @@ def field_bytes(spark, d):
     return builds.field_bytes(spark.read.parquet(f"{d}/documents.parquet"), ["text", "lang", "source"])
 
 
-@query("SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events) WHERE n = 1")
+@query("""
+SELECT user_id, event_id FROM (
+  SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events
+) WHERE n = 1
+""")
 def stream_ingest_dedupe(spark, d):
-    """The first event of each user, through the streaming path in one run."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/lodestone-stream"
-    base = f"{root}/ingest-{uuid.uuid4().hex}"
-    source = f"{base}/source"
+    """The first event of each user, through the stream: two batches, then a stop, then
+    the files that came meanwhile, from the checkpoint on."""
+    base = f"{scratch(spark)}/ingest-{uuid.uuid4().hex}"
+    source, files = f"{base}/source", Files(spark, base)
     events = spark.read.parquet(f"{d}/events.parquet").select("user_id", "event_id")
-    events.repartitionByRange(3, "event_id").sortWithinPartitions("event_id").write.parquet(source)
-    out = ingest(spark, source, f"{base}/sink", f"{base}/state", schema="user_id long, event_id long", key="user_id", order=["event_id"], files_per_batch=100)
+    cut = events.agg(F.percentile_approx("event_id", [0.25, 0.5, 0.75], 10_000)).first()[0]
+    part = lambda i: F.col("event_id").between(cut[i - 1] + 1 if i else -(2**62), cut[i] if i < 3 else 2**62)
+    kinds = "user_id long, event_id long"
+    for run in (0, 1):
+        for i in (2 * run, 2 * run + 1):
+            one = f"{base}/part-{i}"
+            events.filter(part(i)).coalesce(1).write.parquet(one)
+            for name in files.list(one):
+                if name.endswith(".parquet"):
+                    Files(spark, base)._fs.mkdirs(files._path(source))
+                    files.rename(f"{one}/{name}", f"{source}/{i}-{name}")
+        out = ingest(spark, source, f"{base}/sink", f"{base}/state", schema=kinds, key="user_id", order=["event_id"], files_per_batch=1)
     return out.select("user_id", "event_id")

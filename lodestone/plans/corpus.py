@@ -9,7 +9,6 @@ from lodestone.functions import text as X
 from lodestone.functions import vector as V
 from lodestone.operators import papers as P
 from lodestone.operators import ranking as R
-from lodestone.operators import search
 from lodestone.plans.vectors import _emb, _one
 
 QUERIES, SQL = {}, {}
@@ -27,8 +26,9 @@ def query(sql: str | None = None):
 
 _NORM = "array_to_string(regexp_extract_all(replace(lower({t}), 'ß', 'ss'), '[\\p{{L}}\\p{{N}}_-]+'), ' ')"
 _PAPERS = f"""papers AS (SELECT row_id, 'W' || row_id AS work_id, title, {_NORM.format(t='title')} AS normalized_title, snippet,
- CAST(row_id % 35 + 1990 AS INTEGER) AS publication_year, n_chars AS cited_by_count, source AS topic, lang AS field, coalesce(quality = 1, false) AS is_oa
- FROM (SELECT d.doc_id AS row_id, substr(string_split(coalesce(text, ''), chr(10))[1], 1, 200) AS title,
+ CAST(row_id % 35 + 1990 AS INTEGER) AS publication_year, n_chars AS cited_by_count, source AS topic, lang AS field, coalesce(quality = 1, false) AS is_oa,
+ CASE WHEN row_id % 3 = 0 THEN 'https://doi.org/10.5/P' || row_id % 97 ELSE '' END AS doi, CASE WHEN row_id % 5 = 0 THEN [] ELSE ['Ann É. Óname' || row_id % 7] END AS authors
+ FROM (SELECT d.doc_id AS row_id, string_split(coalesce(text, ''), chr(10))[1] AS title,
  substr(substr(coalesce(text, ''), length(string_split(coalesce(text, ''), chr(10))[1]) + 2), 1, 1500) AS snippet, n_chars, source, lang, l.quality
  FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) l ON l.doc_id = d.doc_id))"""
 _FILTER = "publication_year > 0 AND publication_year >= 2000 AND publication_year <= 2015 AND cited_by_count >= 500 AND is_oa AND field = 'en'"
@@ -126,9 +126,9 @@ def prefix_rows_top50(spark, d):
 _W = "w AS (SELECT row_id, cited_by_count, list_filter(string_split(replace(normalized_title, '-', ' '), ' '), lambda x: x <> '') AS w FROM papers)"
 
 
-@query(f"WITH {_PAPERS}, {_W}, st AS (SELECT count(*) AS docs, avg(len(w)) AS mean, count_if(list_contains(w, 'the')) AS d0, count_if(list_contains(w, 'and')) AS d1 FROM w), t AS (SELECT row_id, cited_by_count, len(w) AS n, len(list_filter(w, lambda x: x = 'the')) AS t0, len(list_filter(w, lambda x: x = 'and')) AS t1 FROM w) SELECT row_id, cited_by_count, round(ln((docs - d0 + 0.5) / (d0 + 0.5) + 1) * t0 * 2.2 / (t0 + 1.2 * (0.25 + 0.75 * n / mean)) + ln((docs - d1 + 0.5) / (d1 + 0.5) + 1) * t1 * 2.2 / (t1 + 1.2 * (0.25 + 0.75 * n / mean)), 6) AS bm25 FROM t, st WHERE t0 > 0 AND t1 > 0 ORDER BY bm25 DESC, cited_by_count DESC, row_id LIMIT 100")
+@query(f"WITH {_PAPERS}, {_W}, st AS (SELECT count(*) AS docs, avg(len(w)) AS mean, count_if(list_contains(w, 'the')) AS d0, count_if(list_contains(w, 'and')) AS d1 FROM w), t AS (SELECT row_id, cited_by_count, len(w) AS n, len(list_filter(w, lambda x: x = 'the')) AS t0, len(list_filter(w, lambda x: x = 'and')) AS t1 FROM w) SELECT row_id, cited_by_count, round(bm25, 6) AS bm25 FROM (SELECT row_id, cited_by_count, ln((docs - d0 + 0.5) / (d0 + 0.5) + 1) * t0 * 2.2 / (t0 + 1.2 * (0.25 + 0.75 * n / mean)) + ln((docs - d1 + 0.5) / (d1 + 0.5) + 1) * t1 * 2.2 / (t1 + 1.2 * (0.25 + 0.75 * n / mean)) AS bm25 FROM t, st WHERE t0 > 0 AND t1 > 0 ORDER BY bm25 DESC, cited_by_count DESC, row_id LIMIT 100)")
 def fts_and_search(spark, d):
-    return P.title_search(P.papers(spark, d), ["the", "and"], 100)
+    return P.title_search(P.papers(spark, d), ["the", "and"], 100).withColumn("bm25", F.round("bm25", 6))
 
 
 @query("SELECT doc_id, CASE WHEN n = '' THEN '' ELSE 'W' || n END AS work_id FROM (SELECT doc_id, regexp_extract(regexp_replace(regexp_replace(trim(u), '[?#].*$', ''), '/+$', ''), '^(?:.*/)?[wW]([0-9]+)$', 1) AS n FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'https://x.example/w' || doc_id || '/?a=1' WHEN 1 THEN ' W' || doc_id || ' ' WHEN 2 THEN 'https://x.example/A' || doc_id ELSE 'w' || doc_id || '#t' END AS u FROM documents))")
@@ -144,9 +144,9 @@ def work_id_lookup(spark, d):
     return P.papers(spark, d).join(F.broadcast(ids), "work_id", "left_semi").select("work_id", "title", "cited_by_count")
 
 
-@query(f"WITH {_PAPERS} SELECT work_id, CASE WHEN work_id = 'W1' THEN '' ELSE title END AS title, CASE WHEN work_id = 'W2' THEN 2017 ELSE publication_year END AS publication_year, CASE WHEN work_id = 'W2' THEN false ELSE is_oa END AS is_oa, CASE work_id WHEN 'W1' THEN 'title' WHEN 'W2' THEN 'is_oa,publication_year' ELSE '' END AS overridden, CASE WHEN work_id = 'W3' THEN 0 ELSE cited_by_count END AS effective_citations FROM papers")
+@query(f"WITH {_PAPERS} SELECT work_id, CASE WHEN work_id = 'W1' THEN '' ELSE title END AS title, CASE WHEN work_id = 'W2' THEN 2017 ELSE publication_year END AS publication_year, CASE WHEN work_id = 'W2' THEN false ELSE is_oa END AS is_oa, CASE work_id WHEN 'W1' THEN 'title' WHEN 'W2' THEN 'is_oa,publication_year' WHEN 'W3' THEN 'cited_by_count_unreliable' ELSE '' END AS overridden, CASE WHEN work_id = 'W3' THEN 0 ELSE cited_by_count END AS effective_citations FROM papers")
 def overrides_applied(spark, d):
-    patches = spark.createDataFrame([("W1", {"title": ""}, False), ("W2", {"publication_year": "2017", "is_oa": "false"}, False), ("W3", {}, True)], "work_id string, changes map<string,string>, unreliable boolean")
+    patches = spark.createDataFrame([("W1", {"title": ""}, False), ("W2", {"publication_year": "2017", "is_oa": "false", "work_id": "W9"}, False), ("W3", {}, True)], "work_id string, changes map<string,string>, unreliable boolean")
     out = P.corrected(P.papers(spark, d), patches)
     return out.select("work_id", "title", "publication_year", "is_oa", F.array_join("overridden_fields", ",").alias("overridden"), F.col("effective_citations").cast("long").alias("effective_citations"))
 
@@ -161,9 +161,9 @@ def supplement_merge(spark, d):
 _SEM = f"""sem AS (SELECT p.*, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)), 9) AS sem FROM papers p JOIN embeddings e ON e.vec_id = p.row_id WHERE p.row_id <> 0),
 pool AS (SELECT * FROM sem ORDER BY sem DESC, row_id LIMIT 100),
 g AS (SELECT max(sem) - min(sem) AS gap, max(sem) AS top FROM pool),
-sp AS (SELECT round(gap, 6) AS spread, round(CASE WHEN gap = 0 THEN 1.0 ELSE least(greatest(gap / 0.10, 0.25), 2.0) END, 6) AS scale, round(top - 0.5 * gap, 6) AS floor FROM g),
+sp AS (SELECT gap AS spread, CASE WHEN gap = 0 THEN 1.0 ELSE least(greatest(gap / 0.10, 0.25), 2.0) END AS scale, top - 0.5 * gap AS floor FROM g),
 fl AS (SELECT s.*, s.normalized_title = (SELECT normalized_title FROM papers WHERE row_id = 5) AS exact FROM sem s WHERE s.row_id IN (SELECT row_id FROM pool) OR s.normalized_title = (SELECT normalized_title FROM papers WHERE row_id = 5)),
-rk AS (SELECT 0 AS query_id, fl.*, sp.scale, sp.floor, round(fl.sem + (least(ln(1 + fl.cited_by_count) / ln(100001), 1) * 0.15 + least(greatest((fl.publication_year - 1950) / 100.0, 0), 1) * 0.03) * sp.scale + CASE WHEN fl.exact THEN 1.0 ELSE 0.0 END, 6) AS score FROM fl, sp)"""
+rk AS (SELECT 0 AS query_id, fl.*, sp.scale, sp.floor, (fl.sem + (least(ln(1 + fl.cited_by_count) / ln(100001), 1) * 0.15 + least(greatest((fl.publication_year - 1950) / 100.0, 0), 1) * 0.03) * sp.scale + CASE WHEN fl.exact THEN 1.0 ELSE 0.0 END) AS score FROM fl, sp)"""
 
 
 def _candidates(spark, d):
@@ -179,21 +179,21 @@ def _candidates(spark, d):
     return pool, R.ranked(flags, pool)
 
 
-@query(f"WITH {_PAPERS}, {_SEM} SELECT spread, scale, floor FROM sp")
+@query(f"WITH {_PAPERS}, {_SEM} SELECT round(spread, 6) AS spread, round(scale, 6) AS scale, round(floor, 6) AS floor FROM sp")
 def score_spread(spark, d):
-    return R.spread(_candidates(spark, d)[0])
+    return R.spread(_candidates(spark, d)[0]).select(*[F.round(c, 6).alias(c) for c in ("spread", "scale", "floor")])
 
 
-@query(f"WITH {_PAPERS}, {_SEM} SELECT row_id, sem, exact, score FROM rk")
+@query(f"WITH {_PAPERS}, {_SEM} SELECT row_id, sem, exact, round(score, 6) AS score FROM rk")
 def ranking_score(spark, d):
-    return _candidates(spark, d)[1].select("row_id", "sem", "exact", "score")
+    return _candidates(spark, d)[1].select("row_id", "sem", "exact", F.round("score", 6).alias("score"))
 
 
 _ORDER = {
-    "relevance": "CASE WHEN exact THEN 0 ELSE 1 END, CASE WHEN exact THEN cited_by_count END DESC NULLS LAST, score DESC, cited_by_count DESC, row_id",
-    "most_cited": "cited_by_count DESC, score DESC, row_id",
-    "newest": "CASE WHEN publication_year > 0 THEN 0 ELSE 1 END, publication_year DESC, score DESC, row_id",
-    "oldest": "CASE WHEN publication_year > 0 THEN 0 ELSE 1 END, publication_year, score DESC, row_id",
+    "relevance": "CASE WHEN exact THEN 0 ELSE 1 END, CASE WHEN exact THEN cited_by_count END DESC NULLS LAST, round(score, 9) DESC, cited_by_count DESC, row_id",
+    "most_cited": "cited_by_count DESC, round(score, 9) DESC, row_id",
+    "newest": "CASE WHEN publication_year > 0 THEN 0 ELSE 1 END, publication_year DESC, round(score, 9) DESC, row_id",
+    "oldest": "CASE WHEN publication_year > 0 THEN 0 ELSE 1 END, publication_year, round(score, 9) DESC, row_id",
 }
 
 
@@ -205,59 +205,33 @@ def _pos(sort: str) -> str:
 for _sort in R.SORTS:
 
     def _sorted(spark, d, sort=_sort):
-        return R.positions(_candidates(spark, d)[1], sort).select("row_id", "pos", "score")
+        return R.positions(_candidates(spark, d)[1], sort).select("row_id", "pos", F.round("score", 6).alias("score"))
 
     QUERIES[f"sort_{_sort}"] = _sorted
-    SQL[f"sort_{_sort}"] = f"{_pos(_sort)} SELECT row_id, pos, score FROM ps"
+    SQL[f"sort_{_sort}"] = f"{_pos(_sort)} SELECT row_id, pos, round(score, 6) AS score FROM ps"
 
 
 @query(f"{_pos('relevance')} SELECT row_id, pos, round(score - CASE WHEN pos <= 40 AND trim(coalesce(snippet, '')) = '' THEN 0.03 * scale ELSE 0 END, 6) AS score FROM ps")
 def title_only_penalty(spark, d):
-    return R.penalised(R.positions(_candidates(spark, d)[1])).select("row_id", "pos", "score")
+    return R.penalised(R.positions(_candidates(spark, d)[1])).select("row_id", "pos", F.round("score", 6).alias("score"))
 
 
-@query(f"{_pos('most_cited')} SELECT row_id, pos FROM ps WHERE pos > 20 AND pos <= 40")
+@query(f"{_pos('most_cited')} SELECT row_id, pos FROM ps WHERE pos > 5 AND pos <= 10")
 def page_2(spark, d):
-    return R.page(R.positions(_candidates(spark, d)[1], "most_cited"), 20, 20).select("row_id", "pos")
+    return R.page(R.positions(_candidates(spark, d)[1], "most_cited"), 5, 5).select("row_id", "pos")
 
 
-@query(f"{_pos('most_cited')}, c AS (SELECT query_id, count(*) AS total_matches, count_if(pos > 20 AND pos <= 40) AS shown FROM ps GROUP BY query_id) SELECT query_id, total_matches, shown, shown > 0 AND total_matches > 20 + shown AS has_more, CASE WHEN shown > 0 AND total_matches > 20 + shown THEN 20 + shown END AS next_offset FROM c")
+@query(f"{_pos('most_cited')}, c AS (SELECT query_id, count(*) AS total_matches, count_if(pos > 5 AND pos <= 10) AS shown FROM ps GROUP BY query_id) SELECT query_id, total_matches, shown, shown > 0 AND total_matches > 5 + shown AS has_more, CASE WHEN shown > 0 AND total_matches > 5 + shown THEN 5 + shown END AS next_offset FROM c")
 def page_counters(spark, d):
-    return R.counters(R.positions(_candidates(spark, d)[1], "most_cited"), 20, 20)
-
-
-def _works(rows):
-    return rows.withColumns({"doi": F.lit(""), "surname": F.lit("")})
+    return R.counters(R.positions(_candidates(spark, d)[1], "most_cited"), 5, 5)
 
 
 @query()
 def dedupe_same_work(spark, d):
     """All papers, one query a title: repeats of a work are dropped at any place."""
     of_title = Window.partitionBy("normalized_title")
-    rows = P.papers(spark, d).withColumn("query_id", F.xxhash64("normalized_title"))
+    rows = P.papers(spark, d).withColumn("query_id", F.xxhash64("normalized_title")).withColumn("citations", F.col("cited_by_count"))
     rows = rows.withColumns({"pos": F.row_number().over(of_title.orderBy("row_id")), "same": F.count("*").over(of_title)})
-    alone = rows.filter("same = 1").select("query_id", "pos", "row_id")
-    # A title's kept rows lie in different years, so no window is needed to bound them.
-    return R.collapse(_works(rows.filter("same > 1").drop("same")), window=2**31 - 1).unionByName(alone)
-
-
-@query()
-def hybrid_search(spark, d):
-    """Candidates, ranking, penalty, collapse and a page, end to end."""
-    pos = R.positions(R.penalised(R.positions(_candidates(spark, d)[1])).drop("pos"))
-    kept = R.collapse(_works(pos))
-    cards = P.papers(spark, d).select("row_id", "title", "publication_year", "cited_by_count")
-    return R.page(kept, 0, 20).join(cards, "row_id").select("pos", "row_id", "title", "publication_year", "cited_by_count")
-
-
-@query()
-def hash_embed_topk(spark, d):
-    """Nearest documents by hashed word vectors (64 slots, signs from the hash)."""
-    folded = F.replace(F.lower(F.coalesce("text", F.lit(""))), F.lit("ß"), F.lit("ss"))
-    tokens = F.explode(F.array_remove(F.split(folded, r"[^\p{L}\p{N}_-]+"), ""))
-    h = F.xxhash64("t")
-    slots = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", tokens.alias("t")).groupBy("doc_id", F.pmod(h, F.lit(64)).alias("slot")).agg(F.sum(F.when(F.shiftrightunsigned(h, 63) == 1, 1).otherwise(-1)).alias("x"))
-    vec = slots.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("slot", "x"))).alias("m"))
-    vec = vec.select("doc_id", F.transform(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long")), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)).cast("double")).alias("embedding"))
-    ask = vec.filter("doc_id = 0").select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("query"))
-    return search.topk_batch(vec, ask, 20, vec_id="doc_id")
+    alone = rows.filter("same = 1 OR normalized_title = ''").select("query_id", "pos", "row_id")
+    # A title's kept rows differ in author or year, so no window is needed to bound them.
+    return R.collapse(rows.filter("same > 1 AND normalized_title <> ''").drop("same"), window=2**31 - 1).unionByName(alone)

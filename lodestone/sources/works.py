@@ -6,6 +6,8 @@ run these steps in parallel and resume from any place.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,15 +27,25 @@ primary_location struct<landing_page_url: string, source: struct<display_name: s
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Raw lines of plain or gzip files: ``value`` and the file.  A gzip file is one
-    partition, so rows are dealt out anew before they are parsed."""
-    return spark.read.text(path).withColumn("file", F.input_file_name()).repartition(spark.sparkContext.defaultParallelism)
+    """Lines of plain or gzip files with their explicit place: ``value``, ``file`` and
+    ``line`` (from 0 in each file, however a plain file is split among tasks)."""
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_n"))
+    place = Window.partitionBy("file").orderBy("_start", "_n")
+    return raw.withColumn("line", F.row_number().over(place) - 1).drop("_start", "_n")
+
+
+def ordered_scan(spark: SparkSession, path: str) -> DataFrame:
+    """(file_rank, line, value): files newest name first.  Tasks may run in any order and
+    be tried again; the place is a column, so any later step may resume from it."""
+    lines = read_lines(spark, path)
+    ranks = newest_first(lines.select("file").distinct(), "file")  # a row a file
+    return lines.join(F.broadcast(ranks), "file").select("file_rank", "line", "value")
 
 
 def abstract(index: Column) -> Column:
     """Words of an inverted index (word to positions) by position; null lists and
-    negative positions are left out.  Ties of a position follow the words' order."""
-    pairs = F.transform(F.map_entries(index), lambda e: F.transform(F.filter(F.coalesce(e["value"], F.array().cast("array<int>")), lambda p: p >= 0), lambda p: F.struct(p.alias("p"), e["key"].alias("w"))))
+    negative positions are left out.  Ties of a position keep the map's order."""
+    pairs = F.transform(F.map_entries(index), lambda e, i: F.transform(F.filter(F.coalesce(e["value"], F.array().cast("array<int>")), lambda p: p >= 0), lambda p: F.struct(p.alias("p"), i.alias("i"), e["key"].alias("w"))))
     return F.array_join(F.transform(F.array_sort(F.flatten(pairs)), lambda x: x["w"]), " ")
 
 
@@ -95,7 +107,58 @@ def resume(rows: DataFrame, skip_files: int, skip_lines: int) -> DataFrame:
     return rows.filter((at > skip_files) | ((at == skip_files) & (F.col("line") >= skip_lines)))
 
 
-def sample_files(files: DataFrame, k: int, weight: str = "record_count", seed: int = 20260831) -> DataFrame:
+def sample_size(files: int, target: int) -> tuple[int, int]:
+    """(files to take, lines of each) for about ``target`` usable records."""
+    k = min(files, max(64, min(512, math.ceil(target / 100_000))))
+    return k, math.ceil(3 * target / max(k, 1))
+
+
+def sample_files(files: DataFrame, k: int, weight: str = "record_count", seed: int = 97) -> DataFrame:
     """k files with probability in proportion to their weight, without replacement."""
     key = F.pow(F.rand(seed), 1.0 / F.greatest(F.col(weight).cast("double"), F.lit(1e-9)))
     return files.withColumn("_k", key).orderBy(F.desc("_k")).limit(k).drop("_k")
+
+
+def sampled_lines(lines: DataFrame, files: DataFrame, target: int, seed: int = 97) -> DataFrame:
+    """The first lines of a weighted sample of files; ``lines`` has file and line."""
+    k, most = sample_size(files.count(), target)
+    taken = sample_files(files, k, seed=seed).select("file")  # 512 rows at most
+    return lines.join(F.broadcast(taken), "file").filter(F.col("line") < most)
+
+
+def overlay(seed_rows: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:
+    """Seed rows before all others (``source_rank`` 0 and 1); the first of a key wins."""
+    both = seed_rows.withColumn("source_rank", F.lit(0)).unionByName(rows.withColumn("source_rank", F.lit(1)))
+    return first_wins(both, key, "source_rank", "file_rank", "line")
+
+
+def usable(rows: DataFrame, limit: int, key: str = "id") -> DataFrame:
+    """The first ``limit`` distinct papers in their explicit order."""
+    return first_wins(rows, key, "file_rank", "line").orderBy("file_rank", "line").limit(limit)
+
+
+def custom_corpus(rows: DataFrame) -> DataFrame:
+    """A corpus of one's own as papers: ``id`` and ``title`` must not be empty; body, year,
+    popularity, category and authors may be missing."""
+    bad = rows.filter(F.coalesce(F.trim(F.col("id").cast("string")), F.lit("")).eqNullSafe("") | F.coalesce(F.trim("title"), F.lit("")).eqNullSafe(""))
+    if not bad.isEmpty():
+        raise ValueError("each row needs an id and a title")
+    has = lambda c, otherwise: F.coalesce(F.col(c), otherwise) if c in rows.columns else otherwise
+    title = X.clean(F.col("title"))
+    return rows.select(
+        F.col("id").cast("string").alias("work_id"),
+        title.alias("title"),
+        X.normalize_title(title).alias("normalized_title"),
+        F.substring(X.clean(has("body", F.lit(""))), 1, SNIPPET_CHARS).alias("snippet"),
+        has("year", F.lit(0)).cast("int").alias("publication_year"),
+        F.greatest(has("popularity", F.lit(0)), F.lit(0)).cast("long").alias("cited_by_count"),
+        has("category", F.lit("")).alias("topic"),
+        F.slice(has("authors", F.array().cast("array<string>")), 1, AUTHORS).alias("authors"),
+    )
+
+
+def card(rows: DataFrame) -> DataFrame:
+    """What a result shows beside its scores: ``work_id`` from the id's last part, and the
+    first address there is."""
+    have = lambda c: F.col(c) if c in rows.columns else F.lit("")
+    return rows.withColumn("view_url", view_url(have("doi"), have("landing_url"), have("oa_url"), have("work_url")))

@@ -38,7 +38,7 @@ def test_work_id_spellings(spark):
     assert all(r["got"] == r["want"] for r in got)
 
 
-@pytest.mark.parametrize("typed, stored", [("Pre-training", "pre training"), ("naïve", "naive"), ("Q&A", "q amp a"), ("Straße", "strasse")])
+@pytest.mark.parametrize("typed, stored", [("Pre-training", "pre training"), ("naïve", "naive"), ("Q&A", "q amp a"), ("Straße", "strasse"), ("H<sub>2</sub>O", "h 2 o"), ("a &lt;b&gt; c", "a c"), ("x < y and z > w", "x y and z w"), ("it`s", "its")])
 def test_title_variants_hold_stored_spelling(typed, stored):
     assert stored in X.title_key_variants(typed)
 
@@ -50,10 +50,12 @@ def test_year_bound_drops_unknown_years(spark):
 
 
 def test_collapse_is_greedy_and_not_transitive(spark):
-    rows = [(0, 1, 10, "t", "", "", 2000, 5), (0, 2, 11, "t", "", "", 2001, 9), (0, 3, 12, "t", "", "", 2002, 1), (0, 4, 13, "u", "", "", 2000, 1)]
-    df = spark.createDataFrame(rows, "query_id long, pos int, row_id long, normalized_title string, doi string, surname string, publication_year int, cited_by_count long")
+    rows = [(0, 1, 10, "t", "", [], 2000, 5), (0, 2, 11, "t", "", [], 2001, 9), (0, 3, 12, "t", "", [], 2002, 1), (0, 4, 13, "u", "", [], 2000, 1)]
+    rows += [(0, 5, 14, "", "", [], 2000, 1), (0, 6, 15, "", "", [], 2000, 1)]
+    rows += [(0, 7, 16, "v", "doi:10.1/A", ["Ann Núñez"], 1990, 1), (0, 8, 17, "v", "10.1/b", ["Bo Nunez"], 2020, 1), (0, 9, 18, "v", "https://doi.org/10.1/a", ["Xi Wu"], 0, 0)]
+    df = spark.createDataFrame(rows, "query_id long, pos int, row_id long, normalized_title string, doi string, authors array<string>, publication_year int, citations long")
     got = [r["row_id"] for r in ranking.collapse(df).orderBy("pos").collect()]
-    assert got == [11, 13]
+    assert got == [11, 13, 14, 15, 16]
 
 
 def test_resume_and_first_wins(spark):
