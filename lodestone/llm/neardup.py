@@ -10,7 +10,7 @@
    the ``window`` rows beside it.  A region's depth adapts: it is the least depth at
    which no more than ``region`` rows share the prefix.  A sketch that travels with
    the row drops candidates far from similar.  Where more than ``region`` rows share
-   all values, the forest cannot part them: such rows, the crowd, are also joined
+   all values, the forest cannot part them: such rows, the crowd, are also searched
    exactly.
    Trees are cut into ranges over (values, id), so many equal signatures spread over
    tasks.
@@ -20,9 +20,10 @@
    candidate; then over the rows that had one, now with their components, for the
    likeliest pair between any two components; then for every candidate that still
    lies between two.
-4. The crowd's pairs between different components come from a prefix filter: with
-   the shingles in one order, rarest first, two sets alike enough share one of the
-   first ``n - ceil(similarity * n) + 1`` of each.  No pair that far alike is left out.
+4. The crowd's links between different components are found exactly: the rows that
+   are not of their run's commonest component are queries, which are broadcast in
+   blocks of bounded size as an inverted index of their whole sets; each row of the
+   crowd counts its overlaps with a block at once, and only links leave the task.
 5. Components come from star steps over the confirmed links.
 
 Defined results: null or wordless text has an empty set, links with nothing and is
@@ -40,11 +41,11 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import kernels as K
-from lodestone.llm.common import materialize, maybe_broadcast, table
+from lodestone.llm.common import materialize, maybe_broadcast, table, tidied
 from lodestone.llm.components import components
 
 TREES = 12
@@ -52,6 +53,8 @@ DEPTH = 8
 SKETCH = 64
 WINDOW = 48
 REGION = 48
+#: Bytes of the crowd's query sets that are broadcast at once.
+BLOCK_BYTES = 4 << 20
 #: Sketch agreement of a pair at the threshold lies this many deviations above the cut.
 MARGIN = 4.5
 SHINGLE = 5
@@ -193,74 +196,6 @@ def _full_sets(shingle: int):
     return run
 
 
-def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Task function: one row per class and distinct shingle, with the set's size."""
-    for batch in batches:
-        for i in range(0, batch.num_rows, 200):
-            part = batch.slice(i, 200)
-            own = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column("set")]
-            n = np.array([len(x) for x in own], np.int64)
-            ids = np.repeat(part.column("id").to_numpy(), n)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.repeat(n, n)), pa.array(np.concatenate(own))], names=["id", "n", "shingle"])
-
-
-def _meetings(similarity: Fraction, most: int = 1 << 20):
-    """Task function over prefix rows sorted by (shingle, label): pairs of different
-    labels that meet there and may be similar enough by their sizes and places."""
-    up, down = similarity.numerator, similarity.denominator
-
-    def pairs(at, label, ids, n, place) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        cut = np.flatnonzero(np.diff(at)) + 1
-        group = np.repeat(np.append(cut, len(at)), np.diff(np.concatenate([[0], cut, [len(at)]])))
-        turn = np.flatnonzero((np.diff(at) != 0) | (np.diff(label) != 0)) + 1
-        past = np.repeat(np.append(turn, len(at)), np.diff(np.concatenate([[0], turn, [len(at)]])))
-        for i in np.flatnonzero(past < group):
-            j = slice(past[i], group[i])
-            left = 1 + np.minimum(n[i] - place[i], n[j] - place[j])
-            good = left * (up + down) >= up * (n[i] + n[j])
-            good &= down * np.minimum(n[i], n[j]) >= up * np.maximum(n[i], n[j])
-            other = ids[j][good]
-            if len(other):
-                yield np.minimum(ids[i], other), np.maximum(ids[i], other)
-
-    def flush(found: list) -> pa.RecordBatch:
-        both = np.unique(np.stack([np.concatenate(x) for x in zip(*found, strict=True)]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest, found, held = [], [], 0
-
-        def blocks():
-            nonlocal rest
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                now = [batch.column(c).to_numpy() for c in ("shingle", "label", "id", "n", "place")]
-                # The last shingle may go on in the next batch.
-                cut = int(np.searchsorted(now[0], now[0][-1]))
-                if cut:
-                    yield [np.concatenate(x) for x in zip(*rest, [y[:cut] for y in now], strict=True)]
-                    rest = []
-                elif rest and rest[-1][0][-1] != now[0][-1]:
-                    yield [np.concatenate(x) for x in zip(*rest, strict=True)]
-                    rest = []
-                rest.append([y[cut:] for y in now])
-            if rest:
-                yield [np.concatenate(x) for x in zip(*rest, strict=True)]
-
-        for block in blocks():
-            for pair in pairs(*block):
-                found.append(pair)
-                held += len(pair[0])
-                if held >= most:
-                    yield flush(found)
-                    found, held = [], 0
-        if found:
-            yield flush(found)
-
-    return run
-
-
 def _confirm(similarity: Fraction):
     """Task function: the pairs whose full sets are similar enough."""
     up, down = similarity.numerator, similarity.denominator
@@ -277,10 +212,48 @@ def _confirm(similarity: Fraction):
     return run
 
 
+def _block(rows: list) -> tuple:
+    """Queries (id, label, set) as arrays: ids, labels, sizes, their distinct shingles in
+    order, where each one's owners start, and the owners."""
+    own = [np.frombuffer(r["set"], np.uint64) for r in rows]
+    every = np.concatenate(own)
+    order = np.argsort(every, kind="stable")
+    owners = np.repeat(np.arange(len(own), dtype=np.int32), [len(x) for x in own])[order]
+    values, starts = np.unique(every[order], return_index=True)
+    return np.array([r["id"] for r in rows]), np.array([r["label"] for r in rows]), np.array([len(x) for x in own]), values, np.append(starts, len(every)), owners
+
+
+def _search(similarity: Fraction, shared):
+    """Task function over (id, label, set): the queries of the block that are similar
+    enough and of another label, one a label.  All overlaps with the block come from
+    one pass over the set, so no pair is written that is not a link."""
+    up, down = similarity.numerator, similarity.denominator
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, labels, sizes, values, starts, owners = shared.value
+        for batch in batches:
+            out = []
+            for own, label, raw in zip(batch.column("id").to_numpy(), batch.column("label").to_numpy(), batch.column("set"), strict=True):
+                x = np.frombuffer(raw.as_buffer(), np.uint64)
+                at = np.minimum(np.searchsorted(values, x), len(values) - 1)
+                at = at[values[at] == x]
+                count = starts[at + 1] - starts[at]
+                total = np.cumsum(count)
+                where = np.arange(total[-1] if len(total) else 0) + np.repeat(starts[at] - (total - count), count)
+                both = np.bincount(owners[where], minlength=len(ids))
+                good = np.flatnonzero((both > 0) & (down * both >= up * (len(x) + sizes - both)) & (labels != label))
+                for i in good[np.unique(labels[good], return_index=True)[1]]:
+                    out.append((min(own, ids[i]), max(own, ids[i]), min(label, labels[i]), max(label, labels[i])))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "ca", "cb"])
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: Fraction = SIMILARITY, trees: int = TREES, depth: int = DEPTH, window: int = WINDOW, region: int = REGION) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept."""
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sketched = materialize(source.mapInArrow(_sketch(shingle, trees, depth), "doc_id long, n long, hi long, lo long, tree binary, sketch binary"), "neardup-sketch")
+    sketched = materialize(source.mapInArrow(tidied(_sketch(shingle, trees, depth)), "doc_id long, n long, hi long, lo long, tree binary, sketch binary"), "neardup-sketch")
     # Classes of equal sets; the values are a function of the set.
     own = sketched.filter("n > 0 AND doc_id IS NOT NULL")
     classes = own.groupBy("n", "hi", "lo").agg(F.min("doc_id").alias("doc_id"), F.first("tree").alias("tree"), F.first("sketch").alias("sketch"))
@@ -296,7 +269,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         """One reading of the forest over ``of``: a, b, likely, and their components."""
         rows = of.select("id", "n", "sketch", *more, per_tree.alias("tree", "values"))
         rows = rows.repartitionByRange("tree", "values", "id").sortWithinPartitions("tree", "values", "id").select("tree", "values", "id", "n", "sketch", *more)
-        pairs = rows.mapInArrow(_neighbours(depth, window, region, least, j, every), "a long, b long, likely float, ca long, cb long")
+        pairs = rows.mapInArrow(tidied(_neighbours(depth, window, region, least, j, every)), "a long, b long, likely float, ca long, cb long")
         return pairs.groupBy("a", "b").agg(F.max("likely").alias("likely"), F.first("ca").alias("ca"), F.first("cb").alias("cb"))
 
     # A document's likeliest candidate: a maximum, combined before the shuffle.
@@ -313,12 +286,12 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     needed = best.select(F.col("x").alias("id"), F.col("y").alias("tried"))
     read = materialize(needed.select("id").union(crowd).distinct(), "neardup-read")
     of = materialize(classes.join(maybe_broadcast(read), "id").select("id", "doc_id", "hi", "lo"), "neardup-of")
-    sets = source.join(maybe_broadcast(of), "doc_id").select("id", "hi", "lo", "text").mapInArrow(_full_sets(shingle), "id long, set binary")
+    sets = source.join(maybe_broadcast(of), "doc_id").select("id", "hi", "lo", "text").mapInArrow(tidied(_full_sets(shingle)), "id long, set binary")
     sets = materialize(sets.groupBy("id").agg(F.first("set").alias("set")), "neardup-sets")
 
     def confirm(some: DataFrame) -> DataFrame:
         some = some.select("a", "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-        return materialize(some.select("a", "b", "set_a", "set_b").mapInArrow(_confirm(similarity), "a long, b long"), "neardup-links")
+        return materialize(some.select("a", "b", "set_a", "set_b").mapInArrow(tidied(_confirm(similarity)), "a long, b long"), "neardup-links")
 
     def relabel(rows: DataFrame, column: str, found: DataFrame) -> DataFrame:
         """Replace a node by its component, where it has one."""
@@ -345,22 +318,29 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     left = materialize(left.select("a", "b", "ca", "cb"), "neardup-left")
     merges.append(components(confirm(left).join(left, ["a", "b"]), "ca", "cb"))
 
-    # The crowd, exactly: its shingles, rarest first, and the pairs that meet in them.
+    # The crowd, exactly.  In each run its commonest component is set against the rows of
+    # all others: these, the queries, meet every row of the crowd in blocks.
     marked = crowd.withColumn("label", F.col("id"))
     for found in merges:
         marked = relabel(marked, "label", found)
-    marked = materialize(marked, "neardup-marked")
-    shingles = sets.join(maybe_broadcast(crowd), "id", "left_semi").mapInArrow(_shingles, "id long, n long, shingle long")
-    shingles = materialize(shingles, "neardup-shingles")
-    common = shingles.groupBy("shingle").agg(F.count("*").alias("rows")).filter("rows > 1")
-    rarest = Window.partitionBy("id").orderBy(F.coalesce("rows", F.lit(1)), "shingle")
-    placed = shingles.join(common, "shingle", "left").withColumn("place", F.row_number().over(rarest).cast("long"))
-    prefix = placed.filter(F.expr(f"rows > 1 AND place <= n * {similarity.denominator - similarity.numerator} div {similarity.denominator} + 1")).join(marked, "id")
-    meet = prefix.repartition("shingle").sortWithinPartitions("shingle", "label").select("shingle", "label", "id", "n", "place")
-    met = meet.mapInArrow(_meetings(similarity), "a long, b long").distinct()
-    side = lambda c: marked.select(F.col("id").alias(c), F.col("label").alias(f"c{c}"))
-    met = materialize(met.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ca", "cb"), "neardup-met")
-    merges.append(components(confirm(met).join(met, ["a", "b"]), "ca", "cb"))
+    marked = materialize(sets.join(maybe_broadcast(marked), "id"), "neardup-marked")
+    runs = deep.join(maybe_broadcast(full), ["tree", "values"], "left_semi").join(marked.select("id", "label"), "id")
+    parts = runs.groupBy("tree", "values", "label").count()
+    main = parts.groupBy("tree", "values").agg(F.max(F.struct("count", "label")).getField("label").alias("main"), F.count("*").alias("labels")).filter("labels > 1")
+    asked = runs.join(main, ["tree", "values"]).filter("label <> main").select("id").distinct()
+    asked = materialize(marked.join(maybe_broadcast(materialize(asked, "neardup-asked")), "id"), "neardup-queries")
+    blocks = -(-(asked.agg(F.sum(F.octet_length("set"))).first()[0] or 0) // BLOCK_BYTES)
+    met = None
+    for block in range(blocks):
+        rows = asked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).collect()  # about BLOCK_BYTES
+        if not rows:
+            continue
+        shared = source.sparkSession.sparkContext.broadcast(_block(rows))
+        one = materialize(marked.mapInArrow(tidied(_search(similarity, shared)), "a long, b long, ca long, cb long"), "neardup-met")
+        shared.destroy()
+        met = one if met is None else met.unionByName(one)
+    if met is not None:
+        merges.append(components(met, "ca", "cb"))
 
     # Members of a class share its component, which is named by its smallest doc_id.
     of_class = classes.select("n", "hi", "lo", "doc_id", F.col("id").alias("own"))
