@@ -8,6 +8,7 @@ lineage are written as Parquet under the folder the session names in
 from __future__ import annotations
 
 import ctypes
+import gc
 import pickle
 import tempfile
 import uuid
@@ -70,6 +71,13 @@ def tidied(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
     return run
 
 
+def tidy_driver(spark: SparkSession) -> None:
+    """Have the driver let go of finished plans, broadcasts and shuffles; a long job
+    calls it between its steps."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def fit_in_task(rows: DataFrame, fit: Callable[[pa.Table | None], Any]) -> Any:
     """``fit`` over all of a bounded frame, in one executor task, which a lost executor
     only repeats; its result comes back to the driver, the rows do not."""

@@ -18,8 +18,8 @@
    once from the whole text of each class that has a candidate.  A pair already in one component adds nothing,
    so the forest is read three times: over all rows, for each document's likeliest
    candidate; then over the rows that had one, now with their components, for the
-   likeliest pair between any two components; then for every candidate that still
-   lies between two.
+   likeliest pair between any two components; then, after step 4, for every candidate
+   that still lies between two and that step 4 has not refuted.
 4. The crowd's links between different components are found exactly: the rows that
    are not of their run's commonest component are queries, which are broadcast in
    blocks of bounded size as an inverted index of their whole sets; each row of the
@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import kernels as K
-from lodestone.llm.common import materialize, maybe_broadcast, table, tidied
+from lodestone.llm.common import materialize, maybe_broadcast, table, tidied, tidy_driver
 from lodestone.llm.components import components
 
 TREES = 12
@@ -108,7 +108,7 @@ def _neighbours(depth: int, window: int, region: int, least: float, ratio: float
     """Task function over rows sorted by (tree, values, id): candidate pairs between
     different components that were not tried; ``every``, or each row's likeliest."""
 
-    def some(tree: np.ndarray, values: np.ndarray, ids: np.ndarray, n: np.ndarray, sketch: np.ndarray, label: np.ndarray, tried: np.ndarray, old: int):
+    def some(tree: np.ndarray, values: np.ndarray, ids: np.ndarray, n: np.ndarray, sketch: np.ndarray, label: np.ndarray, tried: np.ndarray, mark: np.ndarray, old: int):
         m = len(ids)
         # Common prefix with the next row, in values; 0 across trees.
         same = (values[1:] == values[:-1]) & (tree[1:] == tree[:-1])[:, None]
@@ -127,6 +127,7 @@ def _neighbours(depth: int, window: int, region: int, least: float, ratio: float
             j = i + step
             i, j = i[tree[i] == tree[j]], j[tree[i] == tree[j]]
             new = (np.minimum(n[i], n[j]) >= ratio * np.maximum(n[i], n[j])) & (label[i] != label[j]) & (tried[i] != ids[j]) & (tried[j] != ids[i])
+            new &= np.minimum(mark[i], mark[j]) * np.maximum(mark[i], mark[j]) < 2  # else the search has had the pair
             i, j = i[new], j[new]
             agree = (sketch[i] == sketch[j]).mean(axis=1, dtype=np.float32)
             good = (agree >= least) & (ids[i] != ids[j])
@@ -157,6 +158,7 @@ def _neighbours(depth: int, window: int, region: int, least: float, ratio: float
             named = batch.schema.names
             now.append(batch.column("label").to_numpy() if "label" in named else now[2])
             now.append(batch.column("tried").to_numpy() if "tried" in named else np.full(batch.num_rows, -1, np.int64))
+            now.append(batch.column("mark").to_numpy() if "mark" in named else np.zeros(batch.num_rows, np.int32))
             if tail is not None:
                 now = [np.concatenate([x, y]) for x, y in zip(tail, now, strict=True)]
             old = 0 if tail is None else len(tail[0])
@@ -306,6 +308,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         least_of = held.groupBy("doc_id").agg(F.min("id").alias("a"))
         links = links.unionByName(held.join(least_of, "doc_id").filter("a <> id").select("a", F.col("id").alias("b")))
     merges = [components(links)]
+    tidy_driver(source.sparkSession)
     # Documents that had a candidate, each with its component and the partner it tried.
     nodes = classes.join(maybe_broadcast(needed), "id").withColumn("label", F.col("id"))
     nodes = materialize(relabel(nodes, "label", merges[-1]), "neardup-nodes")
@@ -313,11 +316,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     pick = candidates(nodes, True, "label", "tried").groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(F.max(F.struct("likely", "a", "b", "ca", "cb")).alias("p"))
     pick = materialize(pick.select("p.a", "p.b", "p.ca", "p.cb"), "neardup-pick")
     merges.append(components(confirm(pick).join(pick, ["a", "b"]), "ca", "cb"))
-    # Every candidate that still lies between two components.
-    left = candidates(relabel(nodes, "label", merges[-1]), True, "label", "tried").join(pick.select("a", "b"), ["a", "b"], "left_anti")
-    left = materialize(left.select("a", "b", "ca", "cb"), "neardup-left")
-    merges.append(components(confirm(left).join(left, ["a", "b"]), "ca", "cb"))
-
+    tidy_driver(source.sparkSession)
     # The crowd, exactly.  In each run its commonest component is set against the rows of
     # all others: these, the queries, meet every row of the crowd in blocks.
     marked = crowd.withColumn("label", F.col("id"))
@@ -342,6 +341,17 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     if met is not None:
         merges.append(components(met, "ca", "cb"))
 
+    # Every candidate that still lies between two components, but for the crowd's rows
+    # that the search has set against each other.
+    for found in merges[1:]:
+        nodes = relabel(nodes, "label", found)
+    marks = marked.select("id", F.lit(1).alias("m")).unionByName(asked.select("id", F.lit(2).alias("m"))).groupBy("id").agg(F.max("m").alias("mark"))
+    nodes = nodes.join(maybe_broadcast(materialize(marks, "neardup-marks")), "id", "left").withColumn("mark", F.coalesce("mark", F.lit(0)))
+    left = candidates(nodes, True, "label", "tried", "mark").join(pick.select("a", "b"), ["a", "b"], "left_anti")
+    left = materialize(left.select("a", "b", "ca", "cb"), "neardup-left")
+    merges.append(components(confirm(left).join(left, ["a", "b"]), "ca", "cb"))
+
+    tidy_driver(source.sparkSession)
     # Members of a class share its component, which is named by its smallest doc_id.
     of_class = classes.select("n", "hi", "lo", "doc_id", F.col("id").alias("own"))
     for found in merges:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import ann, bpe, decontaminate, line_dedup, neardup, passages, pseudonyms, reshard, toxicity
+from lodestone.llm import ann, bpe, decontaminate, line_dedup, neardup, passages, pseudonyms, quality, reshard, toxicity
 
 EDGE = [(1, None), (2, ""), (3, " \n\t "), (4, "one"), (5, "alpha beta " * 3000), (None, "nobody's text"), (7, "same words here"), (7, "same words here")]
 DOCS = "doc_id long, text string"
@@ -170,3 +170,36 @@ def test_toxicity_learns_and_handles_edges(spark, edge):
     assert toxicity.score(edge.withColumn("lang", F.lit(None).cast("string")), model).count() == len(EDGE)
     constant = toxicity.train(docs, labels.limit(0))
     assert toxicity.score(docs, constant).select("score").distinct().count() == 1
+
+
+def test_neardup_two_texts_under_one_id(spark):
+    text = lambda n: " ".join(f"w{n}x{i}" for i in range(60))
+    rows = [(1, text(1)), (1, text(2)), (2, text(2) + " more"), (3, text(1) + " more"), (4, text(4)), (4, text(4))]
+    got = {(r["doc_id"], r["component_id"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, DOCS), shingle=2).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 4)}
+
+
+def test_cotraining_rounds_help_and_both_views_count():
+    """Two views of which each alone tells the class: the exchange lowers the held-out
+    loss of the view whose few shown rows teach it least, and both keep weight."""
+    rng = np.random.default_rng(8)
+    n = 3000
+    y = rng.integers(0, 2, n)
+    meta = np.zeros((n, quality.META), np.float32)
+    meta[:, 0] = 1
+    meta[:, 1:31] = rng.normal(size=(n, 30))
+    meta[:, 1] += 2.2 * (2 * y - 1)
+    slots, off = rng.integers(0, 400, 20 * n), np.arange(0, 20 * n + 1, 20)
+    slots[np.arange(n) * 20] = 1000 + y + 2 * rng.integers(0, 30, n)
+    slots[np.arange(n) * 20 + 1] = 1000 + np.where(rng.random(n) < 0.9, y, 1 - y) + 2 * rng.integers(0, 30, n)
+    features = (slots, off, np.zeros((n, quality.REPEATS), np.float32), meta)
+    train, held = np.arange(2000), np.arange(2000, n)
+    role = np.where(train % 6 == 5, 2, np.where(train % 40 == 0, 0, 1))
+    loss = []
+    for rounds in (0, 3):
+        model = quality.co_train(quality._take(features, train), y[train], role, rounds)
+        p = model.scores(quality._take(features, held)).clip(1e-6, 1 - 1e-6)
+        loss.append(-np.log(np.where(y[held] == 1, p, 1 - p)).mean())
+        assert min(model.union[:2]) > 0
+    print(loss)
+    assert loss[1] < loss[0]
