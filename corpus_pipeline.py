@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import bpe, decontaminate, line_dedup, neardup, toxicity
-from lodestone.llm.common import materialize, maybe_broadcast, table
+from lodestone.llm.common import materialize, maybe_broadcast, table, tidy_driver
 
 
 def _free(docs: DataFrame, name: str) -> str:
@@ -86,4 +86,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        tidy_driver(spark)
     return STAGES[-1][1](spark, docs, sf_dir)
