@@ -32,11 +32,11 @@ from lodestone.llm.common import table, tidied
 #: Bytes from which a piece's matrix keeps block minima.
 WIDE = 48
 #: Cells of a matrix, about.
-CELLS = 1 << 20
+CELLS = 1 << 18
 #: Bytes of text whose pieces are encoded together.
-GROUP_BYTES = 2 << 20
+GROUP_BYTES = 1 << 20
 #: Pieces that a task remembers; it forgets all when full (speed only).
-CACHE_PIECES = 150_000
+CACHE_PIECES = 60_000
 NONE = np.int32(2**31 - 1)
 
 

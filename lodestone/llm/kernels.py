@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 
 #: Bytes of text handled at once; one longer text makes a chunk of its own, whose
 #: words are found and hashed a stretch at a time (``words_of``).
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 U64 = np.uint64
 _rng = np.random.default_rng(20240917)
