@@ -17,13 +17,14 @@
 3. Links are confirmed on full sets (sorted hashes of all shingles), which are made
    once from the whole text of each class that has a candidate.  A pair already in one component adds nothing,
    so the forest is read three times: over all rows, for each document's likeliest
-   candidate; then over the rows that had one, now with their components, for the
-   likeliest pair between any two components; then, after step 4, for every candidate
-   that still lies between two and that step 4 has not refuted.
+   candidate; then over the rows that had one, now with their components, for each
+   one's likeliest candidate in another component; then, after step 4, for every
+   candidate that still lies between two and that step 4 has not refuted.
 4. The crowd's links between different components are found exactly: the rows that
    are not of their run's commonest component are queries, which are broadcast in
    blocks of bounded size as an inverted index of their whole sets; each row of the
-   crowd counts its overlaps with a block at once, and only links leave the task.
+   crowd counts its overlaps with a block at once, and only links that join two
+   components for the first time leave the task.
 5. Components come from star steps over the confirmed links.
 
 Defined results: null or wordless text has an empty set, links with nothing and is
@@ -226,16 +227,24 @@ def _block(rows: list) -> tuple:
 
 
 def _search(similarity: Fraction, shared):
-    """Task function over (id, label, set): the queries of the block that are similar
-    enough and of another label, one a label.  All overlaps with the block come from
-    one pass over the set, so no pair is written that is not a link."""
+    """Task function over (id, label, set): links to the queries of the block that are
+    similar enough, of which those that join two labels that no earlier link of the
+    task has joined.  All overlaps with the block come from one pass over the set."""
     up, down = similarity.numerator, similarity.denominator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, labels, sizes, values, starts, owners = shared.value
+        root: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (up_one := root.get(x, x)) != x:
+                root[x] = root.get(up_one, up_one)
+                x = up_one
+            return x
+
         for batch in batches:
             out = []
-            for own, label, raw in zip(batch.column("id").to_numpy(), batch.column("label").to_numpy(), batch.column("set"), strict=True):
+            for label, raw in zip(batch.column("label").to_numpy(), batch.column("set"), strict=True):
                 x = np.frombuffer(raw.as_buffer(), np.uint64)
                 at = np.minimum(np.searchsorted(values, x), len(values) - 1)
                 at = at[values[at] == x]
@@ -244,10 +253,13 @@ def _search(similarity: Fraction, shared):
                 where = np.arange(total[-1] if len(total) else 0) + np.repeat(starts[at] - (total - count), count)
                 both = np.bincount(owners[where], minlength=len(ids))
                 good = np.flatnonzero((both > 0) & (down * both >= up * (len(x) + sizes - both)) & (labels != label))
-                for i in good[np.unique(labels[good], return_index=True)[1]]:
-                    out.append((min(own, ids[i]), max(own, ids[i]), min(label, labels[i]), max(label, labels[i])))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "ca", "cb"])
+                for other in np.unique(labels[good]).tolist():
+                    one, two = top(int(label)), top(other)
+                    if one != two:
+                        root[max(one, two)] = min(one, two)
+                        out.append((min(label, other), max(label, other)))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["ca", "cb"])
 
     return run
 
@@ -312,8 +324,8 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     # Documents that had a candidate, each with its component and the partner it tried.
     nodes = classes.join(maybe_broadcast(needed), "id").withColumn("label", F.col("id"))
     nodes = materialize(relabel(nodes, "label", merges[-1]), "neardup-nodes")
-    # The likeliest pair between two components.
-    pick = candidates(nodes, True, "label", "tried").groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(F.max(F.struct("likely", "a", "b", "ca", "cb")).alias("p"))
+    # Each row's likeliest candidate in another component, one a pair of components.
+    pick = candidates(nodes, False, "label", "tried").groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(F.max(F.struct("likely", "a", "b", "ca", "cb")).alias("p"))
     pick = materialize(pick.select("p.a", "p.b", "p.ca", "p.cb"), "neardup-pick")
     merges.append(components(confirm(pick).join(pick, ["a", "b"]), "ca", "cb"))
     tidy_driver(source.sparkSession)
@@ -335,7 +347,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         if not rows:
             continue
         shared = source.sparkSession.sparkContext.broadcast(_block(rows))
-        one = materialize(marked.mapInArrow(tidied(_search(similarity, shared)), "a long, b long, ca long, cb long"), "neardup-met")
+        one = materialize(marked.mapInArrow(tidied(_search(similarity, shared)), "ca long, cb long"), "neardup-met")
         shared.destroy()
         met = one if met is None else met.unionByName(one)
     if met is not None:
