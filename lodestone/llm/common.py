@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +53,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/lodestone/{label}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
+    trim_driver(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -71,11 +73,31 @@ def tidied(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
     return run
 
 
+def trim_driver(spark: SparkSession) -> bool:
+    """Have the driver's JVM give native memory that it has freed (compilers, buffers)
+    back to the system, as jcmd's System.trim_native_heap does.  False where the JVM
+    has no such command (it is glibc's); nothing else depends on it."""
+    jvm, array = spark._jvm, spark.sparkContext._gateway.new_array
+    found = jvm.java.lang.Class.forName
+    kinds = array(jvm.java.lang.Class, 4)
+    for i, name in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+        kinds[i] = found(name)
+    given = array(jvm.java.lang.Object, 4)
+    given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    given[2], given[3] = array(jvm.java.lang.Object, 0), array(jvm.java.lang.String, 0)
+    try:
+        found("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
+    except Py4JJavaError:
+        return False
+    return True
+
+
 def tidy_driver(spark: SparkSession) -> None:
     """Have the driver let go of finished plans, broadcasts and shuffles; a long job
     calls it between its steps."""
     gc.collect()
     spark._jvm.System.gc()
+    trim_driver(spark)
 
 
 def fit_in_task(rows: DataFrame, fit: Callable[[pa.Table | None], Any]) -> Any:
