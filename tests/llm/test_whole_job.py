@@ -101,3 +101,25 @@ def test_passages_exact_runs_by_brute_force(spark):
         shared = {p for i in range(len(words) - 49) if tuple(words[i : i + 50]) in grams for p in range(i, i + 50)}
         covered = {p for r in got if r["doc_id"] == later for p in range(r["start"], r["end"])}
         assert shared <= covered
+
+
+def test_passages_between_all_documents(spark):
+    """Fifteen different texts share a passage: each pair is linked, and so are two that
+    are only alike where others lie between them.  Equal texts have one row each."""
+    rng = np.random.default_rng(31)
+    run = _words(rng, 60)
+    texts = {i: " ".join(_words(rng, 30) + run + _words(rng, 30)) for i in range(15)}
+    texts |= {100 + i: texts[3] for i in range(5)}
+    base = _words(rng, 100)
+    for i in range(12):
+        own = list(base)
+        for at in rng.choice(100, 8, replace=False):
+            own[at] = f"c{rng.integers(10**9)}"
+        texts[200 + i] = " ".join(own)
+    got = passages.repeated_passages(spark.createDataFrame(list(texts.items()), DOCS)).collect()
+    pairs = {(r["other_id"], r["doc_id"]) for r in got}
+    assert {p for p in pairs if p[1] < 15} == {(a, b) for b in range(15) for a in range(b)}
+    assert sorted((r["doc_id"], r["other_id"], r["start"], r["end"], r["identity"]) for r in got if 100 <= r["doc_id"] < 200) == [(100 + i, 3, 0, 120, 1.0) for i in range(5)]
+    words = {i: t.split() for i, t in texts.items() if i >= 200}
+    alike = {(a, b) for b in words for a in words if a < b and sum(x == y for x, y in zip(words[a], words[b], strict=True)) >= 80}
+    assert alike and alike <= pairs
