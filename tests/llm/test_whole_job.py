@@ -2,8 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from lodestone.llm import neardup, passages
+from lodestone.llm import neardup, passages, toxicity
 
 DOCS = "doc_id long, text string"
 
@@ -123,3 +124,34 @@ def test_passages_between_all_documents(spark):
     words = {i: t.split() for i, t in texts.items() if i >= 200}
     alike = {(a, b) for b in words for a in words if a < b and sum(x == y for x, y in zip(words[a], words[b], strict=True)) >= 80}
     assert alike and alike <= pairs
+
+
+def test_toxicity_learns_from_all_rows(spark, monkeypatch):
+    """Labelled toxic rows behind the first 8,000 (by a hash of their id) hold a sign of
+    their own; passes dealt over several tasks learn it, and the same twice."""
+    rng = np.random.default_rng(41)
+    ids = spark.range(12_000).filter(~toxicity.held_out(F.col("id"))).orderBy(F.xxhash64("id"), "id").toPandas()["id"].tolist()
+    late = set(ids[8000:])
+    assert len(late) > 1000
+    rows = [(i, " ".join([f"w{n}" for n in rng.integers(0, 60, 5)] + (["vile" if i in late else "nasty"] if i < 12_000 else [])), "en") for i in range(15_000)]
+    docs = spark.createDataFrame(rows, DOCS + ", lang string")
+    labels = spark.createDataFrame([(i, int(i < 12_000)) for i in range(15_000)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "TASK_ROWS", 5000)
+    models = [toxicity.train(docs, labels) for _ in range(2)]
+    probe = spark.createDataFrame([(1, "w1 w2 vile w3", "en"), (2, "w1 w2 nasty w3", "en"), (3, "w1 w2 w4 w3", "en")], DOCS + ", lang string")
+    first, again = ([r["score"] for r in toxicity.score(probe, m).orderBy("doc_id").collect()] for m in models)
+    assert first[0] >= 0.5 and first[1] >= 0.5 and first[2] < 0.5
+    assert first == again
+
+
+def test_toxicity_winners_by_stretches(monkeypatch):
+    rng = np.random.default_rng(43)
+    model = toxicity.fresh()
+    ids, off = rng.integers(0, toxicity.VOCABULARY, 400), np.array([0, 3, 250, 400])
+    for a, b in zip(off[:-1], off[1:], strict=True):
+        ids[b - 2 : b] = toxicity.PAD
+    whole = model.winners(ids, off)
+    monkeypatch.setattr(toxicity, "STRETCH", 50)
+    parts = model.winners(ids, off)
+    assert all(np.array_equal(p, q) for p, q in zip(whole[1], parts[1], strict=True))
+    assert all(np.allclose(p, q) for p, q in zip(whole[0], parts[0], strict=True))
