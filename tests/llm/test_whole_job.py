@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import neardup, passages, toxicity
+from lodestone.llm import kernels, neardup, passages, toxicity
 
 DOCS = "doc_id long, text string"
 
@@ -126,6 +126,35 @@ def test_passages_between_all_documents(spark):
     assert alike and alike <= pairs
 
 
+@pytest.mark.parametrize("paired", [True, False])
+def test_passages_in_runs_of_the_same_two_words(spark, monkeypatch, paired):
+    """Seventy documents say two words over and over, 60 or 400 words long: each run is
+    covered, at a few chains a document and not one for each place.  The pair's gram is
+    one of the quarter that make pairs of seeds, or not."""
+    rng = np.random.default_rng(37)
+    while True:
+        two = _words(rng, 2)
+        words, off = kernels.words_of(np.frombuffer(" ".join(two * 8).encode(), np.uint8), np.array([0, len(" ".join(two * 8))]), kernels.NON_WORD)
+        if (int(passages.seed_positions(words, off, passages.SEED_WORDS)[1][0]) % 4 == 0) == paired:
+            break
+    long = [400 if i % 2 else 60 for i in range(70)]
+    texts = [(i, " ".join(_words(rng, 20) + two * (n // 2) + _words(rng, 20))) for i, n in enumerate(long)]
+    made, write = {}, passages.materialize
+
+    def counted(df, label):
+        out = write(df, label)
+        made[label] = out.count()
+        return out
+
+    monkeypatch.setattr(passages, "materialize", counted)
+    got = passages.repeated_passages(spark.createDataFrame(texts, DOCS)).collect()
+    for i, n in enumerate(long[1:], 1):
+        places = {p for r in got if r["doc_id"] == i for p in range(r["start"], r["end"])}
+        assert places >= set(range(20, 20 + n)), i
+    print(made["passage-chains"])
+    assert made["passage-chains"] <= 25 * len(texts)
+
+
 def test_toxicity_learns_from_all_rows(spark, monkeypatch):
     """Labelled toxic rows behind the first 8,000 (by a hash of their id) hold a sign of
     their own; passes dealt over several tasks learn it, and the same twice."""
