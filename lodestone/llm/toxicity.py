@@ -39,6 +39,8 @@ TASK_ROWS = 16_384
 CHUNK_ROWS, CHUNK_WORDS = 8192, 1 << 22
 #: Vocabulary ids averaged together.
 SLICE_BITS = 12
+#: Largest change of a weight that a pass hands on.
+HALF = 65_504.0
 #: Steps of a logit that calibration tells apart.
 STEPS = 1024
 #: Words whose filter responses are held at once.
@@ -80,6 +82,27 @@ def token_ids(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out, out_off
 
 
+def packed(ids: np.ndarray, off: np.ndarray) -> list[bytes]:
+    """The words of padded texts in 18 bits each: 16 low bits a word, then the two high
+    bits of four words a byte."""
+    out = []
+    for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+        own = ids[a:b][ids[a:b] != PAD]
+        high = np.zeros(-(-len(own) // 4) * 4, np.uint8)
+        high[: len(own)] = own >> 16
+        out.append((own & 0xFFFF).astype("<u2").tobytes() + (high.reshape(-1, 4) @ np.array([1, 4, 16, 64], np.uint8)).tobytes())
+    return out
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    """Ids of one text, padded as token_ids pads them."""
+    n = 4 * len(raw) // 9
+    out = np.full(max(n, 1) + max(WIDTHS) - 1, PAD, np.int64)
+    high = np.frombuffer(raw, np.uint8, offset=2 * n)[:, None] >> np.array([0, 2, 4, 6], np.uint8) & 3
+    out[:n] = np.frombuffer(raw, "<u2", n) | high.ravel()[:n].astype(np.int64) << 16
+    return out
+
+
 @dataclass
 class Model:
     """Weights, and what calibration found."""
@@ -239,15 +262,13 @@ class Learner:
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
-    """Id arrays and labels, so many at once as a task may hold."""
+    """Padded id arrays and labels, so many at once as a task may hold."""
     texts, labels, words = [], [], 0
     for batch in batches:
-        column = batch.column(batch.schema.get_field_index("ids"))
-        flat, cut = column.values.to_numpy().astype(np.int64), column.offsets.to_numpy()
-        for a, b, y in zip(cut[:-1].tolist(), cut[1:].tolist(), batch.column(batch.schema.get_field_index("y")).to_pylist(), strict=True):
-            texts.append(flat[a:b].copy())
+        for raw, y in zip(batch.column(batch.schema.get_field_index("ids")), batch.column(batch.schema.get_field_index("y")).to_pylist(), strict=True):
+            texts.append(unpacked(raw.as_py()))
             labels.append(y)
-            words += b - a
+            words += len(texts[-1])
             if len(texts) >= CHUNK_ROWS or words >= CHUNK_WORDS:
                 yield texts, np.array(labels, np.float32)
                 texts, labels, words = [], [], 0
@@ -269,12 +290,14 @@ def _pass(rows: DataFrame, learner: Learner, epoch: int) -> None:
         if not n:
             return
         ids = np.flatnonzero((own.model.embed != shared.value.model.embed).any(axis=1) | (own.squares != shared.value.squares))
-        value = np.concatenate([own.model.embed[ids], own.squares[ids, None]], axis=1).astype(np.float32)
+        # What changed, in half the bits: the sums are of changes alone.
+        change = np.concatenate([own.model.embed[ids] - shared.value.model.embed[ids], (own.squares[ids] - shared.value.squares[ids])[:, None]], axis=1)
+        value = np.clip(change, -HALF, HALF).astype(np.float16)
         starts = np.flatnonzero(np.diff(ids >> SLICE_BITS, prepend=-1))
         ends = np.append(starts[1:], len(ids))
         cols = [[-1], [b""], [pickle.dumps(own.small(), protocol=5)]]
         for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
-            for col, x in zip(cols, (int(ids[a] >> SLICE_BITS), ids[a:b].astype(np.int32).tobytes(), value[a:b].tobytes()), strict=True):
+            for col, x in zip(cols, (int(ids[a] >> SLICE_BITS), (ids[a:b] & ((1 << SLICE_BITS) - 1)).astype(np.uint16).tobytes(), value[a:b].tobytes()), strict=True):
                 col.append(x)
         kinds = (pa.int32(), pa.binary(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cols[0]), n)), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=["n", "slice", "ids", "value"])
@@ -287,14 +310,13 @@ def _pass(rows: DataFrame, learner: Learner, epoch: int) -> None:
             parts, n = [pickle.loads(x) for x, _, _ in found], np.array([x for _, _, x in found], float)
             ids, value = b"", pickle.dumps({k: sum(w * p[k] for w, p in zip(n / n.sum(), parts, strict=True)) for k in parts[0]}, protocol=5)
         else:
-            base = slot << SLICE_BITS
             total, times = np.zeros((1 << SLICE_BITS, DIM + 1)), np.zeros(1 << SLICE_BITS)
             for raw, own, _ in found:
-                at = np.frombuffer(own, np.int32) - base
-                total[at] += np.frombuffer(raw, np.float32).reshape(-1, DIM + 1)
+                at = np.frombuffer(own, np.uint16)
+                total[at] += np.frombuffer(raw, np.float16).reshape(-1, DIM + 1)
                 times[at] += 1
             at = np.flatnonzero(times)
-            ids, value = (at + base).astype(np.int32).tobytes(), (total[at] / times[at, None]).astype(np.float32).tobytes()
+            ids, value = (at + (slot << SLICE_BITS)).astype(np.int32).tobytes(), (total[at] / times[at, None]).astype(np.float32).tobytes()
         return pa.table([pa.array([slot], pa.int32()), pa.array([ids], pa.binary()), pa.array([value], pa.binary())], names=["slice", "ids", "value"])
 
     learnt = rows.mapInArrow(tidied(run), "n long, slice int, ids binary, value binary")
@@ -303,7 +325,8 @@ def _pass(rows: DataFrame, learner: Learner, epoch: int) -> None:
             learner.take(pickle.loads(bytes(r["value"])))
         else:
             ids, value = np.frombuffer(bytes(r["ids"]), np.int32), np.frombuffer(bytes(r["value"]), np.float32).reshape(-1, DIM + 1)
-            learner.model.embed[ids], learner.squares[ids] = value[:, :DIM], value[:, DIM]
+            learner.model.embed[ids] += value[:, :DIM]
+            learner.squares[ids] += value[:, DIM]
     shared.unpersist()
 
 
@@ -332,9 +355,9 @@ def _scored(rows: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names
-            column = batch.column(names.index("ids"))
-            flat, cut = column.values.to_numpy().astype(np.int64), column.offsets.to_numpy().astype(np.int64)
-            logit = np.clip(shared.value.logits(flat[cut[0] : cut[-1]], cut - cut[0]).astype(np.float64), -30, 30) if len(cut) > 1 else np.zeros(0)
+            texts = [unpacked(raw.as_py()) for raw in batch.column(names.index("ids"))]
+            cut = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+            logit = np.clip(shared.value.logits(np.concatenate(texts), cut).astype(np.float64), -30, 30) if texts else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(names.index("y")), batch.column(names.index("lang")), pa.array(np.round(logit * STEPS).astype(np.int32))], names=["y", "lang", "step"])
 
     return rows.mapInArrow(tidied(run), "y int, lang string, step int").groupBy("y", "lang", "step").agg(F.count("*").alias("n"))
@@ -419,12 +442,11 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
         for batch in batches:
             for part, data, off in K.chunks(batch):
                 ids, cut = token_ids(data, off)
-                lists = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(ids.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), part.column("y"), lists], names=["doc_id", "lang", "y", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), part.column("y"), pa.array(packed(ids, cut), pa.binary())], names=["doc_id", "lang", "y", "ids"])
 
     kind = own.schema["doc_id"].dataType.simpleString()
     known = maybe_broadcast(materialize(known, "toxicity-labels"))
-    rows = own.join(known, "doc_id").mapInArrow(tidied(tokens), f"doc_id {kind}, lang string, y int, ids array<int>")
+    rows = own.join(known, "doc_id").mapInArrow(tidied(tokens), f"doc_id {kind}, lang string, y int, ids binary")
     order = F.xxhash64("doc_id")
     rows = rows.select("doc_id", "lang", "y", "ids", order.alias("order"), (F.pmod(order, F.lit(5)) == 0).alias("kept"))
     tasks = -(-sum(totals.values()) // TASK_ROWS)

@@ -184,3 +184,33 @@ def test_toxicity_winners_by_stretches(monkeypatch):
     parts = model.winners(ids, off)
     assert all(np.array_equal(p, q) for p, q in zip(whole[1], parts[1], strict=True))
     assert all(np.allclose(p, q) for p, q in zip(whole[0], parts[0], strict=True))
+
+
+def test_toxicity_training_moves_little(spark, monkeypatch):
+    """Six passes over four tasks: what all of the training shuffles stays under 45 bytes
+    a word of training text (34; with four-byte ids and weights 63)."""
+    rng = np.random.default_rng(47)
+    rows = [(i, " ".join([f"w{n}" for n in rng.integers(0, 20_000, 60)] + ["vile"] * (i % 2)), "en") for i in range(4000)]
+    docs = spark.createDataFrame(rows, DOCS + ", lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4000)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "TASK_ROWS", 1000)
+    context = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        context.listenerBus().waitUntilEmpty()
+        found = context.statusStore().executorList(False)
+        return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+    before = shuffled()
+    toxicity.train(docs, labels)
+    moved = (shuffled() - before) / (4000 * 60)
+    print(moved)
+    assert 0 < moved < 45
+
+
+def test_toxicity_ids_keep_their_bits():
+    rng = np.random.default_rng(53)
+    for n in range(9):
+        own = rng.integers(0, toxicity.VOCABULARY, n)
+        padded = np.append(own if n else [toxicity.PAD], [toxicity.PAD] * (max(toxicity.WIDTHS) - 1))
+        assert np.array_equal(toxicity.unpacked(toxicity.packed(padded, np.array([0, len(padded)]))[0]), padded)
