@@ -198,6 +198,17 @@ def test_sources(spark, tmp_path):
     assert sums[name.name] == hashlib.sha256(name.read_bytes()).hexdigest()
 
 
+def test_checksums_of_empty_files(spark, tmp_path):
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    held = {"a.json": b"x", "b.json": b"", "deep/c.json": b"", "_SUCCESS": b"", ".hidden": b""}
+    for name, data in held.items():
+        (tmp_path / "in" / name).write_bytes(data)
+    want = [(name.split("/")[-1], len(held[name]), hashlib.sha256(held[name]).hexdigest()) for name in ("a.json", "b.json", "deep/c.json")]
+    assert sorted(map(tuple, backfill.checksums(spark, str(tmp_path / "in")).collect())) == want
+    assert [tuple(r)[:2] for r in backfill.checksums(spark, str(tmp_path / "in" / "deep")).collect()] == [("c.json", 0)]
+    assert [tuple(r)[:2] for r in backfill.checksums(spark, str(tmp_path / "in" / "b.json")).collect()] == [("b.json", 0)]
+
+
 def test_hashing_embedder(spark):
     own = embed.HashingEmbedder(16)
     x = own.encode(["Deep-sea Deep-sea fish", "", "Straße"])
