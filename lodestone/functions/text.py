@@ -21,8 +21,32 @@ MAX_VARIANTS = 12
 CITATION_BUCKETS = (0, 10, 50, 100, 500, 1000, 5000, 10000)
 
 
+#: Lower-case characters that case folding still changes, from the Unicode data: those
+#: that become one character, and those that become several.
+_CHANGED = {c: c.casefold() for c in map(chr, range(0x110000)) if c.lower() == c and c.casefold() != c}
+FOLD_ONE = {c: f for c, f in _CHANGED.items() if len(f) == 1}
+FOLD_MORE = {c: f for c, f in _CHANGED.items() if len(f) > 1}
+
+
+def casefold(text: Column) -> Column:
+    """Case folding as of the Unicode data.  Few texts hold a character that becomes
+    several; only these are gone through one by one."""
+    low = F.translate(F.lower(text), "".join(FOLD_ONE), "".join(FOLD_ONE.values()))
+    table = F.create_map(*[F.lit(x) for pair in FOLD_MORE.items() for x in pair])
+    slow = F.array_join(F.transform(F.split(low, ""), lambda c: F.coalesce(table[c], c)), "")
+    return F.when(F.rlike(low, F.lit(f"[{''.join(FOLD_MORE)}]")), slow).otherwise(low)
+
+
+def casefold_sql(text: str) -> str:
+    """The same in DuckDB's SQL."""
+    out = f"translate(lower({text}), '{''.join(FOLD_ONE)}', '{''.join(FOLD_ONE.values())}')"
+    for c, f in FOLD_MORE.items():
+        out = f"replace({out}, '{c}', '{f}')"
+    return f"CASE WHEN regexp_matches({text}, '[^\\x00-\\x7F]') THEN {out} ELSE lower({text}) END"
+
+
 def tokens(title: Column) -> Column:
-    return F.regexp_extract_all(F.replace(F.lower(title), F.lit("ß"), F.lit("ss")), F.lit(TOKEN), F.lit(0))
+    return F.regexp_extract_all(casefold(title), F.lit(TOKEN), F.lit(0))
 
 
 def normalize_title(title: Column) -> Column:

@@ -1,10 +1,15 @@
 """A built index: tables written once, opened with checks, probed by pruned reads.
 
-``papers`` lies in ranges of row_id.  Lookup tables (titles, prefixes, work ids) are
-partitioned by a bucket of their key's hash and sorted inside, so that a lookup reads
-the buckets of its keys alone.  ``codes`` is partitioned by inverted list.  A
-generation is written to a temporary folder and renamed when it is complete; the
-manifest is the last file written, so a folder without one is no generation.
+``papers`` and ``row_codes`` lie in ranges of row_id, and ``ranges`` says which file holds
+which, so that a fetch opens the files of its ids alone.  Lookup tables (titles,
+prefixes, words, work ids) are partitioned by a bucket of their key's hash and sorted
+inside, so that a lookup reads the buckets of its keys alone.  ``codes`` is partitioned
+by inverted list.
+
+The manifest, with every file's size and checksum, is the last file written, and only
+by a create that fails where one exists: a folder without one is no generation.  Nothing
+is renamed, so a store without atomic rename will do; ``publish`` and ``current`` name
+the generation in use by numbered pointers, written the same way.
 """
 
 from __future__ import annotations
@@ -12,22 +17,33 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+from bisect import bisect_left
 from dataclasses import asdict, dataclass, field
 from functools import cached_property
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
 from lodestone.functions import vector as V
+from lodestone.operators import checksums, search
 from lodestone.operators import papers as P
-from lodestone.operators import search
+from lodestone.operators import titles as T
 
-FORMAT_VERSION = 1
-BUCKETS = 64
+FORMAT_VERSION = 2
+#: Fewest and most buckets of a lookup table, and papers a bucket between them.
+BUCKETS = (8, 4096, 50_000)
 #: Most keys of one lookup; their buckets go into the plan as literals.
 MAX_KEYS = 10_000
-TABLES = ("papers", "titles", "prefixes", "work_ids", "years", "codes", "centroids")
+TABLES = (
+    "papers", "titles", "titles_levels", "prefixes", "prefixes_levels", "words", "postings",
+    "work_ids", "years", "codes", "row_codes", "ranges", "centroids",
+)
+
+
+#: Last line of a file that ``Files.create`` wrote to its end.
+END = "\n# end\n"
 
 
 @dataclass(frozen=True)
@@ -83,6 +99,13 @@ class Files:
         if not self._fs.rename(self._path(a), self._path(b)):
             raise OSError(f"{a} can't be renamed to {b}")
 
+    def make(self, path: str) -> None:
+        self._fs.mkdirs(self._path(path))
+
+    def qualified(self, path: str) -> str:
+        """The path with its scheme, as executors need it."""
+        return self._fs.makeQualified(self._path(path)).toUri().toString().rstrip("/")
+
     def list(self, path: str) -> list[str]:
         return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(path))) if self.exists(path) else []
 
@@ -104,22 +127,58 @@ class Files:
                     out.append(file.getPath().getName())
         return sorted(out)
 
-    def read(self, path: str) -> str:
+    def read(self, path: str, check: bool = True) -> str:
         stream = self._fs.open(self._path(path))
         try:
-            return self._io.toString(stream, "UTF-8")
+            text = self._io.toString(stream, "UTF-8")
         finally:
             stream.close()
+        if check and not text.endswith(END):
+            raise ValueError(f"{path} is a part of a file")
+        return text.removesuffix(END) if check else text
 
-    def write(self, path: str, text: str) -> None:
-        """Written beside and renamed, so that no reader sees a part."""
-        beside = f"{path}.{uuid.uuid4().hex}"
-        stream = self._fs.create(self._path(beside))
-        stream.write(bytearray(text.encode()))
+    def create(self, path: str, text: str) -> bool:
+        """Write a file that must not exist yet; False if it does.  The text ends with a
+        line of its own that ``read`` wants, so that a part of a file is no file."""
+        try:
+            stream = self._fs.create(self._path(path), False)
+        except Py4JJavaError as e:
+            if self.exists(path):
+                return False
+            raise OSError(f"{path} can't be created") from e
+        stream.write(bytearray(f"{text}{END}".encode()))
         stream.close()
-        if self.exists(path):
-            self.delete(path)
-        self.rename(beside, path)
+        return True
+
+    def complete(self, path: str) -> bool:
+        """Whether a file is there as a whole."""
+        return self.exists(path) and self.read(path, check=False).endswith(END)
+
+    def write(self, path: str, text: str) -> None:
+        """Replace a file.  A reader may find none for a moment, but never a part: what a
+        stopped writer leaves is not complete."""
+        self.delete(path)
+        if not self.create(path, text):
+            raise FileExistsError(path)
+
+    def stamp(self, path: str) -> tuple[int, int]:
+        """(bytes, latest change) of a file or of all files of a folder."""
+        if not self.exists(path):
+            return 0, 0
+        status = self._fs.getFileStatus(self._path(path))
+        held = list(self._fs.listStatus(self._path(path))) if status.isDirectory() else [status]
+        return sum(s.getLen() for s in held), max((s.getModificationTime() for s in held), default=0)
+
+    def sizes(self, path: str) -> dict[str, int]:
+        """Bytes of each file under ``path`` by its name from there, hidden ones left out."""
+        files, out = self._fs.listFiles(self._path(path), True), {}
+        top = len(self._fs.getFileStatus(self._path(path)).getPath().toUri().getPath())
+        while files.hasNext():
+            file = files.next()
+            name = file.getPath().toUri().getPath()[top:].strip("/")
+            if not any(x.startswith(".") or (x.startswith("_") and "=" not in x) for x in name.split("/")):
+                out[name] = file.getLen()
+        return out
 
 
 def scratch(spark: SparkSession) -> str:
@@ -133,13 +192,19 @@ def scratch(spark: SparkSession) -> str:
     return f"{root}/lodestone"
 
 
-def bucket(key) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+def bucket_count(records: int) -> int:
+    low, high, each = BUCKETS
+    return min(max(records // each, low), high)
+
 
+def bucket(key, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
-def _by_bucket(rows: DataFrame, key: str, path: str) -> None:
-    # A bucket of a much larger table is still many files: its rows are dealt by key.
-    rows = rows.withColumn("bucket", bucket(key)).repartitionByRange("bucket", key, "row_id").sortWithinPartitions("bucket", key)
+
+def _by_bucket(rows: DataFrame, key: str, buckets: int, path: str, *order: str | Column) -> None:
+    # A bucket of a much larger table is still many files: its rows are dealt by key and
+    # what follows it, so that one key's rows may lie in several.
+    rows = rows.withColumn("bucket", bucket(key, buckets)).repartitionByRange("bucket", key, *order).sortWithinPartitions("bucket", key, *order)
     rows.write.partitionBy("bucket").parquet(path)
 
 
@@ -155,26 +220,36 @@ def train_centroids(vectors: DataFrame, lists: int, *, seed: int = 4711) -> Data
     return vectors.sparkSession.createDataFrame(centers, "list_id int, c array<double>")
 
 
+def range_rows(table: DataFrame, name: str) -> DataFrame:
+    """(name, file, low, high): the row ids of each file of a table."""
+    file = F.substring_index(F.col("_metadata.file_path"), "/", -1)
+    return table.select(file.alias("file"), "row_id").groupBy("file").agg(F.min("row_id").alias("low"), F.max("row_id").alias("high")).select(F.lit(name).alias("name"), "file", "low", "high")
+
+
 def build(papers: DataFrame, vectors: DataFrame, out: str, *, records: int | None = None, centroids: DataFrame | None = None, generation: str | None = None) -> dict:
-    """Write a generation to ``out`` and return its manifest.  Refuses to overwrite, and
-    to publish anything but ``records`` rows with a vector each."""
+    """Write a generation to ``out`` and return its manifest.  Refuses to overwrite one, and
+    to publish anything but ``records`` rows with a vector each.  What a stopped build
+    left in ``out`` has no manifest and is deleted."""
     spark = papers.sparkSession
     files = Files(spark, out)
-    if files.exists(out):
+    if files.complete(f"{out}/manifest.json"):
         raise FileExistsError(out)
     n = papers.count()
     if records is not None and n != records:
         raise ValueError(f"the stage wants {records} records, not {n}")
     if papers.select("row_id").distinct().count() != n:
         raise ValueError("row_id is not unique")
-    temporary = f"{out}.building-{uuid.uuid4().hex}"
-    at = lambda name: f"{temporary}/{name}"
+    files.delete(out)
+    at = lambda name: f"{out}/{name}"
+    buckets = bucket_count(n)
     papers.repartitionByRange("row_id").sortWithinPartitions("row_id").write.parquet(at("papers"))
     rows = spark.read.parquet(at("papers"))
-    cited = rows.select("normalized_title", "row_id", "cited_by_count", "publication_year")
-    _by_bucket(cited.filter("normalized_title <> ''"), "normalized_title", at("titles"))
-    _by_bucket(P.prefix_index(rows).join(rows.select("row_id", "cited_by_count"), "row_id"), "prefix", at("prefixes"))
-    _by_bucket(rows.select("work_id", "row_id"), "work_id", at("work_ids"))
+    for name, made in (("titles", T.title_rows(rows)), ("prefixes", T.prefix_rows(rows))):
+        _by_bucket(made, "plain", buckets, at(name), "key", F.desc("level"), F.desc("cited_by_count"), "row_id")
+        _by_bucket(T.level_rows(spark.read.parquet(at(name))), "plain", buckets, at(f"{name}_levels"), "key", F.desc("level"))
+    _by_bucket(T.posting_rows(rows), "word", buckets, at("postings"), "row_id")
+    _by_bucket(spark.read.parquet(at("postings")).groupBy("word").agg(F.count("*").alias("n")), "word", buckets, at("words"))
+    _by_bucket(rows.select("work_id", "row_id"), "work_id", buckets, at("work_ids"), "row_id")
     P.selective_years(rows).repartition("publication_year").sortWithinPartitions("row_id").write.partitionBy("publication_year").parquet(at("years"))
     held = vectors.join(rows.select(F.col("row_id").alias("vec_id")), "vec_id", "left_semi")
     scales = [r["scale"] for r in search.fit_scales(held).orderBy("pos").collect()]
@@ -185,24 +260,52 @@ def build(papers: DataFrame, vectors: DataFrame, out: str, *, records: int | Non
     code = V.quantize(F.col("embedding"), F.array(*map(F.lit, scales)))
     coded = lists.select(F.col("vec_id").alias("row_id"), "list_id", code.alias("code"))
     coded.repartitionByRange("list_id", "row_id").sortWithinPartitions("list_id", "row_id").write.partitionBy("list_id").parquet(at("codes"))
-    stats = rows.agg(F.count_if("is_oa").alias("open_access"), F.max("row_id").alias("top")).first()
+    spark.read.parquet(at("codes")).select("row_id", "code").repartitionByRange("row_id").sortWithinPartitions("row_id").write.parquet(at("row_codes"))
+    ranged = [range_rows(spark.read.parquet(at(name)), name) for name in ("papers", "row_codes")]
+    ranged[0].unionByName(ranged[1]).coalesce(1).write.parquet(at("ranges"))  # a row a file
+    stats = rows.agg(F.count_if("is_oa").alias("open_access"), F.max("row_id").alias("top"), F.avg(F.size(T.tokens(F.col("normalized_title")))).alias("mean_title")).first()
+    count = lambda name: spark.read.parquet(at(name)).count()  # noqa: E731  from Parquet footers
     manifest = {
         "format_version": FORMAT_VERSION,
         "generation": generation or uuid.uuid4().hex,
         "records": n,
-        "vectors": spark.read.parquet(at("codes")).count(),
+        "vectors": count("codes"),
         "open_access": stats["open_access"],
+        "top": stats["top"] if stats["top"] is not None else -1,
+        "mean_title": stats["mean_title"] or 0.0,
+        "buckets": buckets,
         "years": {str(r["publication_year"]): r["n"] for r in P.year_histogram(rows).collect()},
         "scales": scales,
-        "lists": spark.read.parquet(at("centroids")).count(),
+        "lists": count("centroids"),
+        "rows": {t: count(t) for t in TABLES},
         "component_bytes": {t: files.size(at(t)) for t in TABLES},
         "columns": {t: spark.read.parquet(at(t)).columns for t in TABLES},
     }
-    files.write(at("manifest.json"), json.dumps(manifest))
-    files.rename(temporary, out)
+    checksums.write(spark, out, list(TABLES))
+    files.create(at("manifest.json"), json.dumps(manifest))
     return manifest
 
 
+def publish(files: Files, root: str, generation: str) -> int:
+    """Make ``root/generation`` the one in use and return the pointer's number.  Pointers
+    count up and are created once, so of two writers one goes behind the other, and a
+    stopped one leaves the pointer before in force."""
+    if not files.complete(f"{root}/{generation}/manifest.json"):
+        raise ValueError(f"{generation} is not complete")
+    number = max((int(x.split(".")[0]) for x in files.list(f"{root}/pointers") if x.split(".")[0].isdigit()), default=-1) + 1
+    while not files.create(f"{root}/pointers/{number:012d}.json", json.dumps({"generation": generation})):
+        number += 1
+    return number
+
+
+def current(files: Files, root: str) -> str | None:
+    """The generation that the highest complete pointer names."""
+    for name in reversed(files.list(f"{root}/pointers")):
+        if files.complete(f"{root}/pointers/{name}"):
+            return json.loads(files.read(f"{root}/pointers/{name}"))["generation"]
+    return None
+
+
 @dataclass(frozen=True)
 class Tuning:
     """Sizes of a search; ``from_environment`` reads LODESTONE_<NAME>."""
@@ -249,10 +352,37 @@ class Index:
     @cached_property
     def papers(self) -> DataFrame:
         """All papers with their corrections applied."""
-        rows = self.table("papers")
+        return self.corrected(self.table("papers"))
+
+    def corrected(self, rows: DataFrame) -> DataFrame:
         if self.patches is None:
             return rows.withColumns({"overridden_fields": F.array().cast("array<string>"), "effective_citations": F.col("cited_by_count")})
-        return P.corrected(rows, self.patches)
+        return P.corrected(rows, self.patches, small=self._few_patches)
+
+    @cached_property
+    def _few_patches(self) -> bool:
+        return self.patches.limit(P.MAX_PATCHES + 1).count() <= P.MAX_PATCHES
+
+    @cached_property
+    def patched(self) -> DataFrame | None:
+        """The corrected papers alone, written once to the shared folder."""
+        if self.patches is None:
+            return None
+        if not self._few_patches:
+            raise ValueError(f"more than {P.MAX_PATCHES} corrections")
+        ids = self.table("work_ids").join(F.broadcast(self.patches.select("work_id")), "work_id", "left_semi").select("row_id")
+        rows = self.corrected(self.table("papers").join(F.broadcast(ids), "row_id", "left_semi"))
+        path = f"{scratch(self.spark)}/patched-{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    @cached_property
+    def _ranges(self) -> dict[str, list]:
+        """Files of the tables in ranges of row_id: a row a file."""
+        out: dict[str, list] = {}
+        for r in self.table("ranges").orderBy("low").collect():
+            out.setdefault(r["name"], []).append((r["low"], r["high"], r["file"]))
+        return out
 
     def probe(self, name: str, key: str, keys: list[str]) -> DataFrame:
         """Rows of a lookup table with one of ``keys``: literal buckets prune partitions,
@@ -261,12 +391,39 @@ class Index:
             raise ValueError(f"more than {MAX_KEYS} keys in one lookup; split them")
         if not keys:
             return self.table(name).limit(0)
-        wanted = self.spark.range(1).select(F.array(*[bucket(F.lit(k)) for k in keys])).first()[0]
+        hashed = [bucket(F.lit(k), self.manifest["buckets"]) for k in keys]
+        wanted = self.spark.sql("SELECT 1").select(F.array(*hashed)).collect()[0][0]  # folded: no job
         return self.table(name).filter(F.col("bucket").isin(sorted(set(wanted)))).filter(F.col(key).isin(sorted(set(keys)))).drop("bucket")
 
+    def probe_plain(self, name: str, keys: list[str]) -> DataFrame:
+        """Rows of a title table with one of ``keys``, found by their plain forms."""
+        return self.probe(name, "plain", sorted({T.plain(k) for k in keys})).filter(F.col("key").isin(sorted(set(keys))))
+
+    def probe_many(self, name: str, keys: DataFrame) -> DataFrame:
+        """Rows of a title table with a key of a whole set (column ``key``), by a join: of
+        any size, for batches that literals are too many for."""
+        asked = keys.distinct().select("key", T.plain_column(F.col("key")).alias("plain"))
+        asked = asked.withColumn("bucket", bucket(F.col("plain"), self.manifest["buckets"]))
+        return self.table(name).join(asked, ["bucket", "plain", "key"], "left_semi").drop("bucket")
+
+    def files_of(self, name: str, ids: list[int]) -> list[str]:
+        """Files of a table in ranges that may hold one of the ids."""
+        ids = sorted(set(ids))
+        holds = lambda low, high: (at := bisect_left(ids, low)) < len(ids) and ids[at] <= high
+        return [f"{self.path}/{name}/{file}" for low, high, file in self._ranges.get(name, []) if holds(low, high)]
+
+    def rows_of(self, name: str, ids: list[int]) -> DataFrame:
+        """Rows of a table in ranges; ids out of range are left out."""
+        if len(ids) > MAX_KEYS:
+            raise ValueError(f"more than {MAX_KEYS} ids in one fetch; split them")
+        files, schema = self.files_of(name, ids), self.table(name).schema
+        if not files:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*files).filter(F.col("row_id").isin(sorted(set(ids))))
+
     def fetch(self, ids: list[int]) -> DataFrame:
-        """Papers of row ids; ids out of range are left out.  Files hold ranges of ids."""
-        return self.papers.filter(F.col("row_id").isin([i for i in ids if i >= 0]))
+        """Papers of row ids, corrections applied; ids out of range are left out."""
+        return self.corrected(self.rows_of("papers", ids))
 
     def fetch_works(self, values: list[str]) -> DataFrame:
         """Papers of work ids in any spelling, corrections applied."""
@@ -284,10 +441,11 @@ class Index:
         return self.table("years").filter(F.col("publication_year").isin(wanted)).select("row_id").orderBy("row_id")
 
 
-def open_index(spark: SparkSession, path: str, **more) -> Index:
-    """Open a generation after checks of its version, tables, columns and counts."""
+def open_index(spark: SparkSession, path: str, *, verify: bool = False, **more) -> Index:
+    """Open a generation after checks of its version, tables, columns and counts; with
+    ``verify``, also of every file's checksum."""
     files = Files(spark, path)
-    if not files.exists(f"{path}/manifest.json"):
+    if not files.complete(f"{path}/manifest.json"):
         raise ValueError(f"{path} holds no complete generation")
     manifest = json.loads(files.read(f"{path}/manifest.json"))
     if manifest.get("format_version") != FORMAT_VERSION:
@@ -296,10 +454,13 @@ def open_index(spark: SparkSession, path: str, **more) -> Index:
     for name in TABLES:
         if index.table(name).columns != manifest["columns"][name]:
             raise ValueError(f"columns of {name} are not those of the manifest")
-    checks = {"papers": manifest["records"], "work_ids": manifest["records"], "codes": manifest["vectors"], "centroids": manifest["lists"]}
-    for name, n in checks.items():
+    if not manifest["records"] == manifest["rows"]["papers"] == manifest["rows"]["work_ids"] or manifest["vectors"] != manifest["rows"]["codes"]:
+        raise ValueError("the manifest's counts disagree")
+    for name, n in manifest["rows"].items():
         if index.table(name).count() != n:  # from Parquet footers
             raise ValueError(f"{name} does not hold the {n} rows of the manifest")
+    if verify:
+        checksums.verify(spark, path)
     if manifest["vectors"] > manifest["records"] or any(s <= 0 for s in manifest["scales"]):
         raise ValueError("vectors do not match the papers")
     return index

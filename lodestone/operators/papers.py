@@ -14,7 +14,7 @@ EXACT_ROWS = 10_000
 MAX_SUPPLEMENT = 500
 #: Most corrections that are broadcast.
 MAX_PATCHES = 100_000
-#: Fields that a correction may patch.
+#: The fields that a correction may patch, by their public names.
 PATCHABLE = (
     "title", "snippet", "authors", "publication_year", "publication_date", "doi", "venue", "work_type", "topic",
     "field", "is_oa", "oa_url", "landing_url", "cited_by_count", "cited_by_count_unreliable",
@@ -145,14 +145,16 @@ def title_search(rows: DataFrame, words: list[str], limit: int) -> DataFrame:
     return joined.filter(keep).select("row_id", "cited_by_count", score.alias("bm25")).orderBy(F.desc("bm25"), F.desc("cited_by_count"), "row_id").limit(limit)
 
 
-def corrected(rows: DataFrame, patches: DataFrame) -> DataFrame:
+def corrected(rows: DataFrame, patches: DataFrame, small: bool | None = None) -> DataFrame:
     """Patches are (work_id, changes map<string,string>, unreliable): a key's presence
     counts, so a patch may set false or empty.  Only PATCHABLE fields are patched, and
     named in ``overridden_fields``.  An unreliable count counts as 0 in
     ``effective_citations``, which filters, sorts and ranking read; a card keeps the
-    published one.  Patches are broadcast only within MAX_PATCHES."""
+    published one.  Patches are broadcast only within MAX_PATCHES (``small``: whether they
+    are; counted if it is not given)."""
     p = patches.select("work_id", "changes", F.col("unreliable").alias("_unreliable"))
-    p = F.broadcast(p) if p.limit(MAX_PATCHES + 1).count() <= MAX_PATCHES else p
+    small = p.limit(MAX_PATCHES + 1).count() <= MAX_PATCHES if small is None else small
+    p = F.broadcast(p) if small else p
     joined = rows.join(p, "work_id", "left")
     types = dict(rows.dtypes)
     changes = F.coalesce("changes", F.create_map().cast("map<string,string>"))

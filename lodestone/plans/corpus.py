@@ -24,8 +24,14 @@ def query(sql: str | None = None):
     return add
 
 
-_NORM = "array_to_string(regexp_extract_all(replace(lower({t}), 'ß', 'ss'), '[\\p{{L}}\\p{{N}}_-]+'), ' ')"
-_PAPERS = f"""papers AS (SELECT row_id, 'W' || row_id AS work_id, title, {_NORM.format(t='title')} AS normalized_title, snippet,
+
+
+def _norm(t: str) -> str:
+    """A title's key in SQL, by its expression."""
+    return f"array_to_string(regexp_extract_all({X.casefold_sql(t)}, '[\\p{{L}}\\p{{N}}_-]+'), ' ')"
+
+
+_PAPERS = f"""papers AS (SELECT row_id, 'W' || row_id AS work_id, title, {_norm('title')} AS normalized_title, snippet,
  CAST(row_id % 35 + 1990 AS INTEGER) AS publication_year, n_chars AS cited_by_count, source AS topic, lang AS field, coalesce(quality = 1, false) AS is_oa,
  CASE WHEN row_id % 3 = 0 THEN 'https://doi.org/10.5/P' || row_id % 97 ELSE '' END AS doi, CASE WHEN row_id % 5 = 0 THEN [] ELSE ['Ann É. Óname' || row_id % 7] END AS authors
  FROM (SELECT d.doc_id AS row_id, string_split(coalesce(text, ''), chr(10))[1] AS title,

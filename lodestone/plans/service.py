@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as X
 from lodestone.functions import vector as V
 from lodestone.functions.embed import HashingEmbedder, embedded
-from lodestone.operators import backfill, engine, evaluation, search
+from lodestone.operators import backfill, engine, evaluation, search, titles
 from lodestone.operators import index as I
 from lodestone.operators import papers as P
-from lodestone.plans.corpus import _NORM, _PAPERS
+from lodestone.plans.corpus import _PAPERS, _norm
 from lodestone.plans.vectors import _emb, _one
 from lodestone.sources import works
 
@@ -39,7 +39,9 @@ _BUILT: dict[tuple, str] = {}
 def _index(spark, d, **more) -> I.Index:
     """The generation of a data folder, built once a session; centroids are vectors 0 to
     15, so that its lists are the same in every run."""
-    at = (spark.sparkContext.applicationId, d)
+    # A folder whose files are not those of the build is built anew.
+    files = I.Files(spark, d)
+    at = (spark.sparkContext.applicationId, d, *[files.stamp(f"{d}/{t}.parquet") for t in ("documents", "labels", "embeddings")])
     if at not in _BUILT:
         out = f"{I.scratch(spark)}/index-{uuid.uuid4().hex}"
         centroids = _emb(spark, d).filter("vec_id < 16").select(F.col("vec_id").cast("int").alias("list_id"), F.transform("embedding", lambda x: x.cast("double")).alias("c"))
@@ -56,28 +58,77 @@ _FIXED = f"""{_PAPERS}, fixed AS (SELECT row_id, work_id,
   CASE WHEN work_id = 'W200' THEN 0 ELSE cited_by_count END AS effective_citations,
   CASE WHEN work_id = 'W300' THEN 'xx' ELSE field END AS field, topic,
   is_oa OR work_id = 'W300' AS is_oa FROM papers)"""
-_TYPED = list(range(0, 2000, 100))
 
 
-def _typed_keys(index) -> list[str]:
-    """Titles of a stated list of papers, as typed."""
-    return sorted({r["normalized_title"] for r in index.table("papers").filter(F.col("row_id").isin(_TYPED)).select("normalized_title").collect()} - {""})
+def _asked(index):
+    """The stated query set: papers whose id is divisible by 100."""
+    return index.table("papers").filter("row_id % 100 = 0 AND normalized_title <> ''").select(F.col("row_id").alias("query_id"), "normalized_title")
 
 
 @query(f"""WITH {_PAPERS} SELECT row_id, normalized_title FROM papers
-WHERE normalized_title <> '' AND normalized_title IN (SELECT normalized_title FROM papers WHERE row_id % 100 = 0 AND row_id < 2000)""")
+WHERE normalized_title <> '' AND normalized_title IN (SELECT normalized_title FROM papers WHERE row_id % 100 = 0)""")
 def index_title_lookup(spark, d):
     index = _index(spark, d)
-    return index.probe("titles", "normalized_title", _typed_keys(index)).select("row_id", "normalized_title")
+    return index.probe_many("titles", _asked(index).select(F.col("normalized_title").alias("key"))).select("row_id", F.col("key").alias("normalized_title"))
 
 
 @query(f"""WITH {_PAPERS}, k AS (SELECT DISTINCT array_to_string(string_split(normalized_title, ' ')[1:4], ' ') AS key FROM papers
-  WHERE row_id % 100 = 0 AND row_id < 2000 AND len(string_split(normalized_title, ' ')) >= 4)
+  WHERE row_id % 100 = 0 AND len(string_split(normalized_title, ' ')) >= 4)
 SELECT DISTINCT key AS prefix, row_id FROM papers JOIN k ON starts_with(normalized_title, key || ' ')""")
 def index_prefix_lookup(spark, d):
     index = _index(spark, d)
-    keys = sorted({" ".join(k.split()[:4]) for k in _typed_keys(index) if len(k.split()) >= 4})
-    return index.probe("prefixes", "prefix", keys).select("prefix", "row_id")
+    words = F.split("normalized_title", " ")
+    keys = _asked(index).filter(F.size(words) >= 4).select(F.array_join(F.slice(words, 1, 4), " ").alias("key"))
+    return index.probe_many("prefixes", keys).select(F.col("key").alias("prefix"), "row_id")
+
+
+_WORDS = ("the", "and", "of", "in", "to")
+
+
+def _fts_sql(a: str, b: str) -> str:
+    w = "list_filter(string_split(strip_accents(replace(normalized_title, '-', ' ')), ' '), lambda x: x <> '')"
+    n = lambda x: f"len(list_filter(w, lambda x: x = '{x}'))"
+    part = lambda i: f"ln((docs - d{i} + 0.5) / (d{i} + 0.5) + 1) * t{i} * 2.2 / (t{i} + 1.2 * (0.25 + 0.75 * n / mean))"
+    return f"""(SELECT '{a} {b}' AS query, row_id, round(bm25, 6) AS bm25 FROM (SELECT row_id, cited_by_count, {part(0)} + {part(1)} AS bm25
+FROM (SELECT row_id, cited_by_count, len(w) AS n, {n(a)} AS t0, {n(b)} AS t1 FROM (SELECT row_id, cited_by_count, {w} AS w FROM papers)) t,
+(SELECT count(*) AS docs, avg(len(w)) AS mean, count_if(list_contains(w, '{a}')) AS d0, count_if(list_contains(w, '{b}')) AS d1 FROM (SELECT {w} AS w FROM papers))
+WHERE t0 > 0 AND t1 > 0) ORDER BY round(bm25, 9) DESC, cited_by_count DESC, row_id LIMIT 50)"""
+
+
+_PAIRS = [(a, b) for i, a in enumerate(_WORDS) for b in _WORDS[i + 1 :]]
+
+
+@query(f"WITH {_PAPERS} " + " UNION ALL ".join(_fts_sql(a, b) for a, b in _PAIRS))
+def fts_index_pairs(spark, d):
+    """Every pair of a stated list of words, by the postings of these words alone."""
+    index, out = _index(spark, d), None
+    for a, b in _PAIRS:
+        one = titles.search(index, f"{a} {b}", 50).select(F.lit(f"{a} {b}").alias("query"), "row_id", F.round("bm25", 6).alias("bm25"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_TITLED = f"""WITH {_FIXED}, now AS (SELECT *, {_norm('title')} AS own FROM fixed),
+k AS (SELECT DISTINCT normalized_title AS key FROM papers WHERE row_id % 100 = 0 AND normalized_title <> ''),
+p AS (SELECT DISTINCT array_to_string(string_split(key, ' ')[1:3], ' ') AS key FROM k WHERE len(string_split(key, ' ')) > 3)"""
+_PASS = "is_oa AND publication_year > 0 AND publication_year >= 1995"
+
+
+@query(f"""{_TITLED} SELECT row_id, effective_citations AS citations FROM now WHERE own IN (SELECT key FROM k) ORDER BY effective_citations DESC, row_id LIMIT 100""")
+def index_exact_rows(spark, d):
+    """The most cited papers of any of the stated titles, corrections counted."""
+    index = _index(spark, d)
+    keys = [r[0] for r in _asked(index).select("normalized_title").distinct().collect()]
+    return spark.createDataFrame(engine.exact_title_rows(index, keys, P.Filters()), "citations long, row_id long")
+
+
+@query(f"""{_TITLED} SELECT row_id, effective_citations AS citations FROM now WHERE {_PASS} AND EXISTS (SELECT 1 FROM p WHERE starts_with(own, p.key || ' ')) ORDER BY effective_citations DESC, row_id LIMIT 50""")
+def index_prefix_rows(spark, d):
+    """The most cited papers behind any of the stated prefixes that pass the filters."""
+    index = _index(spark, d)
+    words = F.split("normalized_title", " ")
+    keys = [r[0] for r in _asked(index).filter(F.size(words) > 3).select(F.array_join(F.slice(words, 1, 3), " ")).distinct().collect()]
+    return spark.createDataFrame(engine.prefix_rows(index, keys, P.Filters(is_oa=True, year_min=1995)), "citations long, row_id long")
 
 
 @query(f"""WITH {_FIXED} SELECT work_id, title, publication_year, effective_citations FROM fixed WHERE work_id IN ('W3', 'W100', 'W200')
@@ -216,7 +267,7 @@ def unit_vectors(spark, d):
     return e.select("vec_id", F.round(V.norm(F.col("embedding")), 9).alias("norm"), F.round(F.col("unit")[0], 9).alias("first"))
 
 
-_SURNAME = _NORM.format(t="strip_accents(coalesce(authors[1], ''))")
+_SURNAME = _norm("strip_accents(coalesce(authors[1], ''))")
 
 
 @query(f"""WITH {_PAPERS} SELECT row_id, regexp_replace(lower(doi), '^(https?://(dx\\.)?doi\\.org/|doi:\\s*)', '') AS doi,
@@ -271,7 +322,7 @@ def snapshot_identity(spark, d):
     return backfill.snapshot_identity(files)
 
 
-@query(f"""SELECT 'D' || doc_id AS work_id, {_NORM.format(t="string_split(coalesce(text, ''), chr(10))[1]")} AS normalized_title, source AS topic, n_chars AS cited_by_count, CAST(0 AS INTEGER) AS publication_year
+@query(f"""SELECT 'D' || doc_id AS work_id, {_norm("string_split(coalesce(text, ''), chr(10))[1]")} AS normalized_title, source AS topic, n_chars AS cited_by_count, CAST(0 AS INTEGER) AS publication_year
 FROM documents WHERE trim(regexp_replace(string_split(coalesce(text, ''), chr(10))[1], '\\s+', ' ', 'g')) <> ''""")
 def custom_corpus(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet")
