@@ -13,12 +13,13 @@ import hashlib
 import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import vector as V
 from lodestone.operators import builds, search
 from lodestone.operators.index import Files
+from lodestone.operators.numbering import numbered
 
 #: Fixed value: the share of clipped components that stops a shard.
 MAX_CLIPPED = 0.01
@@ -50,7 +51,7 @@ def read_shards(spark: SparkSession, path: str, schema: str, expected: int) -> D
 
 def pin(files: Files, path: str, settings: dict) -> None:
     """Write settings once; refuse others later."""
-    if files.exists(path):
+    if files.complete(path):
         held = json.loads(files.read(path))
         differ = sorted(k for k in held.keys() | settings.keys() if held.get(k) != settings.get(k))
         if differ:
@@ -62,7 +63,7 @@ def pin(files: Files, path: str, settings: dict) -> None:
 def committed(files: Files, out: str) -> list[dict]:
     """Markers from 0 without a gap whose running sums agree."""
     markers, total = [], 0
-    while files.exists(f"{out}/markers/{len(markers)}.json"):
+    while files.complete(f"{out}/markers/{len(markers)}.json"):
         m = json.loads(files.read(f"{out}/markers/{len(markers)}.json"))
         total += m["records"]
         if m["records_done"] != total:
@@ -85,6 +86,18 @@ def clear_orphans(files: Files, out: str, done: int) -> list[str]:
     return gone
 
 
+def first_places(rows: DataFrame, out: str) -> DataFrame:
+    """(id, shard, line): where each id comes first, over all shards.  Found once for a
+    snapshot, in one aggregation, and kept by shard; so no shard rereads those before."""
+    spark, files = rows.sparkSession, Files(rows.sparkSession, out)
+    if not files.complete(f"{out}/first.json"):
+        files.delete(f"{out}/first")
+        first = rows.groupBy("id").agg(F.min(F.struct("shard", "line")).alias("at")).select("id", "at.*")
+        first.repartitionByRange("shard", "line").write.partitionBy("shard").parquet(f"{out}/first")
+        files.write(f"{out}/first.json", "{}")
+    return spark.read.parquet(f"{out}/first")
+
+
 def run(
     rows: DataFrame,
     out: str,
@@ -94,26 +107,29 @@ def run(
     shards: int,
     stride: int = 7,
     stop_after: int | None = None,
+    seed: str | None = None,
+    code: str | None = None,
 ) -> list[dict]:
     """Write the shards that are missing of ``rows`` (shard, line, id, embedding) and
     return all markers.  The first row of an id in (shard, line) order wins, over all
-    shards.  ``stop_after`` ends a run early."""
+    shards.  ``stop_after`` ends a run early.  The identity of the seed records and the
+    code's version are pinned beside the snapshot where they are given."""
     spark, files = rows.sparkSession, Files(rows.sparkSession, out)
     pin(files, f"{out}/settings.json", settings)
     pin(files, f"{out}/snapshot.json", {"identity": snapshot()})
+    for name, value in (("seed", seed), ("code", code)):
+        if value is not None:
+            pin(files, f"{out}/{name}.json", {name: value})
     markers = committed(files, out)
     clear_orphans(files, out, len(markers))
+    winners = first_places(rows, out)
     for shard in range(len(markers), shards):
         if stop_after is not None and shard >= stop_after:
             break
         pin(files, f"{out}/snapshot.json", {"identity": snapshot()})
-        own = rows.filter(F.col("shard") == shard)
-        first = Window.partitionBy("id").orderBy("line")
-        own = own.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
-        if markers:
-            own = own.join(spark.read.parquet(f"{out}/shards").filter(F.col("shard") < shard).select("id"), "id", "left_anti")
-        own = own.withColumn("pos", F.row_number().over(Window.partitionBy("shard").orderBy("line")) - 1).drop("shard")
-        if not files.exists(f"{out}/scales.json"):  # the first shard calibrates
+        mine = winners.filter(F.col("shard") == shard).select("id", "line")
+        own = numbered(rows.filter(F.col("shard") == shard).join(mine, ["id", "line"], "left_semi"), "line").drop("shard")
+        if not files.complete(f"{out}/scales.json"):  # the first shard calibrates
             scales = [r["scale"] for r in search.fit_scales(own).orderBy("pos").collect()]
             files.write(f"{out}/scales.json", json.dumps(scales))
         scales = F.array(*map(F.lit, json.loads(files.read(f"{out}/scales.json"))))

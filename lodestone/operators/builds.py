@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import zlib
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.numbering import numbered
+
+#: Most rows of a block, which one task compresses.
+MAX_BLOCK = 65_536
+
 
 def config_history(markers: DataFrame) -> DataFrame:
     """Runs of shards with one configuration: first, last and the configuration."""
@@ -50,3 +58,40 @@ def behaviour(results: DataFrame) -> DataFrame:
         (F.count_distinct("vec_id") == F.count("*")).alias("no_repeats"),
         (F.max("rank") == F.count("*")).alias("no_gaps"),
     )
+
+
+def block_compression(rows: DataFrame, order: str, fields: list[str], sizes: list[int], *, effort: int = 6) -> DataFrame:
+    """(block_rows, field, blocks, bytes, compressed) of string columns: rows in ``order`` are
+    cut into blocks of each size, and a block's values of a field, joined by a zero byte, are
+    compressed (zlib) in the task that holds the block."""
+    if not 0 < min(sizes) <= max(sizes) <= MAX_BLOCK:
+        raise ValueError(f"a block has 1 to {MAX_BLOCK} rows")
+    texts = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"f_{i}") for i, c in enumerate(fields)]
+    held = numbered(rows.select(F.col(order).alias("o"), *texts), "o", name="pos")
+    each = held.select("*", F.explode(F.array(*map(F.lit, sizes))).alias("block_rows")).withColumn("block", F.expr("pos div block_rows"))
+
+    def squeeze(key: tuple, part: pa.Table) -> pa.Table:
+        part = part.sort_by("pos")
+        raw = ["\0".join(part.column(f"f_{i}").to_pylist()).encode() for i in range(len(fields))]
+        return pa.Table.from_arrays([pa.array([key[0].as_py()] * len(fields), pa.int32()), pa.array(fields), pa.array([len(x) for x in raw], pa.int64()), pa.array([len(zlib.compress(x, effort)) for x in raw], pa.int64())], names=["block_rows", "field", "bytes", "compressed"])
+
+    one = each.groupBy("block_rows", "block").applyInArrow(squeeze, "block_rows int, field string, bytes long, compressed long")
+    return one.groupBy("block_rows", "field").agg(F.count("*").alias("blocks"), F.sum("bytes").alias("bytes"), F.sum("compressed").alias("compressed"))
+
+
+def checks(results: DataFrame, *, page: int = 5, pool: int | None = None) -> DataFrame:
+    """By query, over (query_id, rank, vec_id, score, year, flagged, wanted, low, high): the
+    first row is the wanted one, years are within bounds, the first is not flagged, the
+    ranks of each page go on where the page before ended, and no rank is past the pool.
+    ``wanted``, ``low`` and ``high`` may be null: nothing is asked then."""
+    first = F.col("rank") == 1
+    lacking = F.lit(True)
+    pages = F.transform(F.array_sort(F.collect_list("rank")), lambda r: F.floor((r - 1) / page).cast("int"))
+    full = F.transform(F.sequence(F.lit(0), F.greatest(F.count("*") - 1, F.lit(0))), lambda i: F.floor(i / page).cast("int"))
+    return results.groupBy("query_id").agg(
+        F.coalesce(F.bool_or(first & (F.col("vec_id") == F.col("wanted"))) | (F.count("wanted") == 0), lacking).alias("first_is"),
+        F.bool_and(F.coalesce((F.col("year") >= F.col("low")) & (F.col("year") <= F.col("high")), lacking)).alias("years_within"),
+        (~F.bool_or(first & F.col("flagged"))).alias("first_not_flagged"),
+        (pages == full).alias("page_consistent"),
+        (F.max("rank") <= F.lit(pool if pool is not None else 2**31 - 1)).alias("within_pool"),
+    )

@@ -10,6 +10,7 @@ for files up to its limit of 2 GB.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from typing import TYPE_CHECKING
 
@@ -22,6 +23,8 @@ if TYPE_CHECKING:
     from lodestone.operators.index import Files
 
 RANGE = 64 << 20
+#: Scheme and host of an address.
+URI = r"^[^:/]+:(//[^/]*)?"
 READABLE = ("file", "hdfs", "s3", "gs", "gcs", "abfs", "abfss")
 
 
@@ -62,14 +65,14 @@ def _by_binary_reader(spark: SparkSession, path: str, found: dict[str, int], siz
     top = max(found.values(), default=0)
     if top >= 2**31 - 1:
         raise ValueError(f"a file of {top} bytes is beyond Spark's binary reader")
-    base = _files(spark, path).qualified(path)
+    top_path = re.sub(URI, "", _files(spark, path).qualified(path))
     held = {n for n, b in found.items() if b}
     none = hashlib.sha256(hashlib.sha256().digest()).hexdigest()
     empty = spark.createDataFrame([(n, 0, none) for n, b in found.items() if not b], "name string, bytes long, sha256 string")
     if not held:
         return empty
     read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load([f"{path}/{f}" for f in sorted({n.split("/", 1)[0] for n in held})])
-    name = F.expr(f"substr(path, {len(base) + 2})")
+    name = F.substring(F.regexp_replace("path", URI, ""), len(top_path) + 2, 1 << 20)
     digests = F.expr(f"transform(sequence(0L, (length - 1) div {size}), i -> sha2(substring(content, cast(i * {size} + 1 as int), {size}), 256))")
     return read.select(name.alias("name"), F.col("length").alias("bytes"), F.sha2(F.unhex(F.array_join(digests, "")), 256).alias("sha256")).unionByName(empty)
 

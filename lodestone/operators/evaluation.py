@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
 from lodestone.operators import engine
 from lodestone.operators import papers as P
 from lodestone.operators.index import Index
+from lodestone.operators.numbering import numbered
 
 #: Thresholds that a report is held against.
 LEAST_RECALL, BUDGET_MS, STORAGE_BYTES, FULL_RECORDS = 0.95, 200.0, 800_000_000_000, 340_800_000
@@ -57,6 +59,19 @@ def measured(call: Callable[[], object], repeats: int) -> list[tuple[float, str
     return out
 
 
+def concurrent(call: Callable[[], object], repeats: int, levels: tuple[int, ...] = (1, 2, 4)) -> list[dict]:
+    """For each number of callers at once: requests, seconds, requests a second, and each
+    call's (milliseconds, error).  Spark runs the callers' jobs side by side."""
+    out = []
+    for level in levels:
+        began = time.perf_counter()
+        with ThreadPoolExecutor(level) as pool:
+            runs = [r for part in pool.map(lambda _: measured(call, 1), range(repeats)) for r in part]
+        took = time.perf_counter() - began
+        out.append({"callers": level, "requests": len(runs), "seconds": took, "qps": len(runs) / max(took, 1e-9), "runs": runs})
+    return out
+
+
 def gates(candidate: float, refined: float, probes_ok: bool, filter_ok: bool, bytes_per_record: float, p99: float, errors: int) -> dict:
     """Which thresholds a report passes, and the projected size of the full corpus."""
     projected = bytes_per_record * FULL_RECORDS
@@ -75,7 +90,12 @@ def compare_runs(now: DataFrame, before: DataFrame) -> DataFrame:
     return both.select("query_id", change.alias("change"))
 
 
+def suspects(patches: DataFrame) -> DataFrame:
+    """work_id of corrections that mark a count as unreliable: what a labelled run flags."""
+    return patches.filter(F.coalesce("unreliable", F.lit(False))).select("work_id").distinct()
+
+
 def dictionary(rows: DataFrame, column: str) -> DataFrame:
     """(value, code): values of a column numbered in order from 0."""
-    values = rows.select(F.col(column).alias("value")).distinct()  # as many as the column has values
-    return values.withColumn("code", F.row_number().over(Window.orderBy("value")) - 1)
+    values = rows.select(F.col(column).alias("value")).distinct()
+    return numbered(values, F.col("value").asc_nulls_first(), name="code").withColumn("code", F.col("code").cast("int"))

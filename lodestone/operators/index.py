@@ -20,10 +20,12 @@ import uuid
 from bisect import bisect_left
 from dataclasses import asdict, dataclass, field
 from functools import cached_property
+from typing import TYPE_CHECKING
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lodestone.functions import text as X
 from lodestone.functions import vector as V
@@ -31,9 +33,14 @@ from lodestone.operators import checksums, search
 from lodestone.operators import papers as P
 from lodestone.operators import titles as T
 
+if TYPE_CHECKING:
+    from lodestone.operators.ivfpq import Settings
+
 FORMAT_VERSION = 2
 #: Fewest and most buckets of a lookup table, and papers a bucket between them.
 BUCKETS = (8, 4096, 50_000)
+#: Ids of one shard of product codes.
+SHARD_ROWS = 1_000_000
 #: Most keys of one lookup; their buckets go into the plan as literals.
 MAX_KEYS = 10_000
 TABLES = (
@@ -150,6 +157,12 @@ class Files:
         stream.close()
         return True
 
+    def plain(self, path: str, text: str) -> None:
+        """A file of this text alone, for readers other than ``read``."""
+        stream = self._fs.create(self._path(path), True)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+
     def complete(self, path: str) -> bool:
         """Whether a file is there as a whole."""
         return self.exists(path) and self.read(path, check=False).endswith(END)
@@ -201,11 +214,20 @@ def bucket(key, buckets: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
-def _by_bucket(rows: DataFrame, key: str, buckets: int, path: str, *order: str | Column) -> None:
+def _by_bucket(rows: DataFrame, key: str, buckets: int, path: str, *order: str | Column) -> DataFrame:
+    """Write a lookup table and return its scan."""
     # A bucket of a much larger table is still many files: its rows are dealt by key and
     # what follows it, so that one key's rows may lie in several.
     rows = rows.withColumn("bucket", bucket(key, buckets)).repartitionByRange("bucket", key, *order).sortWithinPartitions("bucket", key, *order)
-    rows.write.partitionBy("bucket").parquet(path)
+    return _stored(rows, path, "bucket")
+
+
+def _stored(rows: DataFrame, path: str, *by: str) -> DataFrame:
+    """Write a table, in folders by ``by``, and return its scan; a table without a row has no
+    file to learn the columns from."""
+    rows.write.partitionBy(*by).parquet(path)
+    schema = StructType([f for f in rows.schema if f.name not in by] + [f for f in rows.schema if f.name in by])
+    return rows.sparkSession.read.schema(schema).parquet(path)
 
 
 def train_centroids(vectors: DataFrame, lists: int, *, seed: int = 4711) -> DataFrame:
@@ -226,10 +248,13 @@ def range_rows(table: DataFrame, name: str) -> DataFrame:
     return table.select(file.alias("file"), "row_id").groupBy("file").agg(F.min("row_id").alias("low"), F.max("row_id").alias("high")).select(F.lit(name).alias("name"), "file", "low", "high")
 
 
-def build(papers: DataFrame, vectors: DataFrame, out: str, *, records: int | None = None, centroids: DataFrame | None = None, generation: str | None = None) -> dict:
+def build(papers: DataFrame, vectors: DataFrame, out: str, *, records: int | None = None, centroids: DataFrame | None = None, generation: str | None = None, pq: Settings | None = None, shard_rows: int = SHARD_ROWS) -> dict:
     """Write a generation to ``out`` and return its manifest.  Refuses to overwrite one, and
-    to publish anything but ``records`` rows with a vector each.  What a stopped build
-    left in ``out`` has no manifest and is deleted."""
+    to publish anything but ``records`` rows with a vector each.  Tables that a stopped
+    build left in ``out`` are written anew; with ``pq``, product codes are built by shards
+    of ``shard_rows`` ids as well, and go on from the shards that are complete."""
+    from lodestone.operators import ivfpq
+
     spark = papers.sparkSession
     files = Files(spark, out)
     if files.complete(f"{out}/manifest.json"):
@@ -239,49 +264,54 @@ def build(papers: DataFrame, vectors: DataFrame, out: str, *, records: int | Non
         raise ValueError(f"the stage wants {records} records, not {n}")
     if papers.select("row_id").distinct().count() != n:
         raise ValueError("row_id is not unique")
-    files.delete(out)
     at = lambda name: f"{out}/{name}"
+    for name in TABLES:
+        files.delete(at(name))
     buckets = bucket_count(n)
-    papers.repartitionByRange("row_id").sortWithinPartitions("row_id").write.parquet(at("papers"))
-    rows = spark.read.parquet(at("papers"))
-    for name, made in (("titles", T.title_rows(rows)), ("prefixes", T.prefix_rows(rows))):
-        _by_bucket(made, "plain", buckets, at(name), "key", F.desc("level"), F.desc("cited_by_count"), "row_id")
-        _by_bucket(T.level_rows(spark.read.parquet(at(name))), "plain", buckets, at(f"{name}_levels"), "key", F.desc("level"))
-    _by_bucket(T.posting_rows(rows), "word", buckets, at("postings"), "row_id")
-    _by_bucket(spark.read.parquet(at("postings")).groupBy("word").agg(F.count("*").alias("n")), "word", buckets, at("words"))
-    _by_bucket(rows.select("work_id", "row_id"), "work_id", buckets, at("work_ids"), "row_id")
-    P.selective_years(rows).repartition("publication_year").sortWithinPartitions("row_id").write.partitionBy("publication_year").parquet(at("years"))
+    made: dict[str, DataFrame] = {}
+    rows = made["papers"] = _stored(papers.repartitionByRange("row_id").sortWithinPartitions("row_id"), at("papers"))
+    for name, each in (("titles", T.title_rows(rows)), ("prefixes", T.prefix_rows(rows))):
+        made[name] = _by_bucket(each, "plain", buckets, at(name), "key", F.desc("level"), F.desc("cited_by_count"), "row_id")
+        made[f"{name}_levels"] = _by_bucket(T.level_rows(made[name]), "plain", buckets, at(f"{name}_levels"), "key", F.desc("level"))
+    made["postings"] = _by_bucket(T.posting_rows(rows), "word", buckets, at("postings"), "row_id")
+    made["words"] = _by_bucket(made["postings"].groupBy("word").agg(F.count("*").alias("n")), "word", buckets, at("words"))
+    made["work_ids"] = _by_bucket(rows.select("work_id", "row_id"), "work_id", buckets, at("work_ids"), "row_id")
+    made["years"] = _stored(P.selective_years(rows).repartition("publication_year").sortWithinPartitions("row_id"), at("years"), "publication_year")
     held = vectors.join(rows.select(F.col("row_id").alias("vec_id")), "vec_id", "left_semi")
     scales = [r["scale"] for r in search.fit_scales(held).orderBy("pos").collect()]
     if centroids is None:
         centroids = train_centroids(held, list_count(n))
-    centroids.write.parquet(at("centroids"))
-    lists = search.assign(held, spark.read.parquet(at("centroids")))
+    made["centroids"] = _stored(centroids, at("centroids"))
+    lists = search.assign(held, made["centroids"])
     code = V.quantize(F.col("embedding"), F.array(*map(F.lit, scales)))
     coded = lists.select(F.col("vec_id").alias("row_id"), "list_id", code.alias("code"))
-    coded.repartitionByRange("list_id", "row_id").sortWithinPartitions("list_id", "row_id").write.partitionBy("list_id").parquet(at("codes"))
-    spark.read.parquet(at("codes")).select("row_id", "code").repartitionByRange("row_id").sortWithinPartitions("row_id").write.parquet(at("row_codes"))
-    ranged = [range_rows(spark.read.parquet(at(name)), name) for name in ("papers", "row_codes")]
-    ranged[0].unionByName(ranged[1]).coalesce(1).write.parquet(at("ranges"))  # a row a file
+    made["codes"] = _stored(coded.repartitionByRange("list_id", "row_id").sortWithinPartitions("list_id", "row_id"), at("codes"), "list_id")
+    made["row_codes"] = _stored(made["codes"].select("row_id", "code").repartitionByRange("row_id").sortWithinPartitions("row_id"), at("row_codes"))
+    if pq is not None:
+        sharded = held.select(F.col("vec_id").alias("id"), F.expr(f"cast(vec_id div {shard_rows} as int)").alias("shard"), "embedding")
+        ivfpq.build(sharded, at("pq"), pq)
+    ranged = [range_rows(made[name], name) for name in ("papers", "row_codes")]
+    made["ranges"] = _stored(ranged[0].unionByName(ranged[1]).coalesce(1), at("ranges"))  # a row a file
     stats = rows.agg(F.count_if("is_oa").alias("open_access"), F.max("row_id").alias("top"), F.avg(F.size(T.tokens(F.col("normalized_title")))).alias("mean_title")).first()
-    count = lambda name: spark.read.parquet(at(name)).count()  # noqa: E731  from Parquet footers
+    counts = {t: made[t].count() for t in TABLES}  # from Parquet footers
     manifest = {
         "format_version": FORMAT_VERSION,
         "generation": generation or uuid.uuid4().hex,
         "records": n,
-        "vectors": count("codes"),
+        "vectors": counts["codes"],
         "open_access": stats["open_access"],
         "top": stats["top"] if stats["top"] is not None else -1,
         "mean_title": stats["mean_title"] or 0.0,
         "buckets": buckets,
         "years": {str(r["publication_year"]): r["n"] for r in P.year_histogram(rows).collect()},
         "scales": scales,
-        "lists": count("centroids"),
-        "rows": {t: count(t) for t in TABLES},
+        "lists": counts["centroids"],
+        "pq": pq is not None,
+        "rows": counts,
         "component_bytes": {t: files.size(at(t)) for t in TABLES},
-        "columns": {t: spark.read.parquet(at(t)).columns for t in TABLES},
+        "schemas": {t: made[t].schema.jsonValue() for t in TABLES},
     }
-    checksums.write(spark, out, list(TABLES))
+    checksums.write(spark, out, [*TABLES, *(["pq"] if pq is not None else [])])
     files.create(at("manifest.json"), json.dumps(manifest))
     return manifest
 
@@ -343,7 +373,7 @@ class Index:
     supplement: list[dict] = field(default_factory=list)
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(StructType.fromJson(self.manifest["schemas"][name])).parquet(f"{self.path}/{name}")
 
     @property
     def records(self) -> int:
@@ -451,9 +481,8 @@ def open_index(spark: SparkSession, path: str, *, verify: bool = False, **more)
     if manifest.get("format_version") != FORMAT_VERSION:
         raise ValueError(f"{path} has format {manifest.get('format_version')!r}; this is {FORMAT_VERSION}")
     index = Index(spark, path, manifest, **more)
-    for name in TABLES:
-        if index.table(name).columns != manifest["columns"][name]:
-            raise ValueError(f"columns of {name} are not those of the manifest")
+    if sorted(manifest["schemas"]) != sorted(TABLES):
+        raise ValueError("tables are not those of this format")
     if not manifest["records"] == manifest["rows"]["papers"] == manifest["rows"]["work_ids"] or manifest["vectors"] != manifest["rows"]["codes"]:
         raise ValueError("the manifest's counts disagree")
     for name, n in manifest["rows"].items():

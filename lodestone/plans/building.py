@@ -5,11 +5,13 @@ from __future__ import annotations
 import json
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.operators import builds
 from lodestone.operators.index import Files, scratch
 from lodestone.sources import works
+from lodestone.sources.manifest import ManifestSource
 from lodestone.streaming.ingest import ingest
 
 QUERIES, SQL = {}, {}
@@ -34,6 +36,64 @@ RAW_WORKS = [
 ]
 
 
+_DOC_WORDS = "string_split(coalesce(text, ''), ' ')"
+
+
+def _manifest_of_documents(spark, d):
+    """``documents`` as lines of nested JSON in four files, with lines that are no work, and
+    the manifest of these files."""
+    base = f"{scratch(spark)}/works-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "n_chars")
+    words = docs.select("doc_id", F.posexplode(F.split("text", " ")).alias("at", "word"))
+    index = words.groupBy("doc_id", "word").agg(F.sort_array(F.collect_list("at")).alias("at"))
+    index = index.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "at"))).alias("abstract_inverted_index"))
+    title = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("  Work   "), "doc_id"))
+    work = F.struct(F.concat(F.lit("https://x.example/"), F.when(F.col("doc_id") % 11 == 0, "A").otherwise("W"), "doc_id").alias("id"), title.alias("title"), F.concat(F.lit("Other "), "doc_id").alias("display_name"), (F.col("n_chars") - 300).alias("cited_by_count"), (F.col("doc_id") % 13 == 0).alias("is_expansion"), "abstract_inverted_index")
+    lines = docs.join(index, "doc_id").select("doc_id", F.to_json(work).alias("value"))
+    odd = docs.filter("doc_id % 5 = 0").select("doc_id", F.when(F.col("doc_id") % 2 == 0, "").otherwise('{"id": broken').alias("value"))
+    part = (F.col("doc_id") % 4).alias("part")
+    lines.unionByName(odd).select("doc_id", "value", part).repartition("part").sortWithinPartitions("part", "doc_id", "value").select("value", "part").write.partitionBy("part").text(f"{base}/lines")
+    counts = spark.read.text(f"{base}/lines").groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("n")).collect()  # a row a file
+    files = Files(spark, base)
+    root = files.qualified(f"{base}/lines")
+    listed = [{"url": "/".join(r["file"].rsplit("/", 2)[1:]), "meta": {"record_count": r["n"]}} for r in counts]
+    files.plain(f"{base}/manifest", json.dumps({"entries": listed}))
+    spark.dataSource.register(ManifestSource)
+    return spark.read.format("manifest_lines").option("manifest", files.qualified(f"{base}/manifest")).option("root", root).option("lines_per_part", 500).load()
+
+
+@query(f"""SELECT 'W' || doc_id AS work_id, CASE WHEN doc_id % 3 = 0 THEN 'Work ' || doc_id ELSE 'Other ' || doc_id END AS title,
+sha256(substr(array_to_string({_DOC_WORDS}, ' '), 1, 1500)) AS snippet_sha256, greatest(n_chars - 300, 0) AS cited_by_count
+FROM documents WHERE doc_id % 11 <> 0 AND doc_id % 13 <> 0""")
+def manifest_works(spark, d):
+    """All documents as works: read by manifest, parsed, abstracts put together from their
+    inverted index."""
+    rows = works.parse(_manifest_of_documents(spark, d), id_prefix="https://x.example/W")
+    return rows.select("work_id", "title", F.sha2(F.encode("snippet", "UTF-8"), 256).alias("snippet_sha256"), "cited_by_count")
+
+
+@query("""SELECT 3 - part AS file_rank, row_number() OVER (PARTITION BY part ORDER BY doc_id, odd DESC) - 1 AS line, CASE WHEN odd THEN NULL ELSE doc_id END AS doc_id FROM (
+SELECT doc_id, doc_id % 4 AS part, false AS odd FROM documents UNION ALL SELECT doc_id, doc_id % 4, true FROM documents WHERE doc_id % 5 = 0)""")
+def manifest_order(spark, d):
+    """Every line of the manifest's files with its place, also those that are no work."""
+    number = F.nullif(F.regexp_extract("value", r'^\{"id":"https://x.example/[AW]([0-9]+)"', 1), F.lit(""))
+    return _manifest_of_documents(spark, d).select(F.col("file_rank").cast("long").alias("file_rank"), "line", number.cast("long").alias("doc_id"))
+
+
+@query("""WITH b AS (SELECT 'text' AS field, strlen(coalesce(text, '')) AS b FROM documents UNION ALL SELECT 'source', strlen(coalesce(source, '')) FROM documents),
+g AS (SELECT field, block_rows, CAST(count(*) AS BIGINT) AS n, CAST(sum(b) AS BIGINT) AS s FROM b, (SELECT unnest([16, 128, 1024]) AS block_rows) GROUP BY field, block_rows)
+SELECT field, block_rows, (n + block_rows - 1) // block_rows AS blocks, s + n - (n + block_rows - 1) // block_rows AS bytes FROM g""")
+def block_bytes(spark, d):
+    """Blocks of three sizes; compressed sizes are in ``block_compression``."""
+    found = builds.block_compression(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", ["text", "source"], [16, 128, 1024])
+    return found.select("field", "block_rows", "blocks", "bytes")
+
+
+@query()
+def block_compression(spark, d):
+    return builds.block_compression(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", ["text", "source", "lang"], [1, 16, 128, 1024])
+
+
 @query("SELECT * FROM (VALUES ('W1', 'First work', 'deep sea minus deep', 2001, 7), ('W2', 'Second', '', 0, 0)) t(work_id, title, snippet, publication_year, cited_by_count)")
 def abstract_rebuild(spark, d):
     lines = spark.createDataFrame([(json.dumps(x),) for x in RAW_WORKS] + [("",), ("{broken",), ("[1, 2]",)], "value string")
@@ -52,28 +112,34 @@ def cursor_resume(spark, d):
     return works.resume(rows, 1, 100)
 
 
-@query()
+@query("""SELECT file, record_count FROM (SELECT l_suppkey AS file, count(*) AS record_count FROM lineitem GROUP BY l_suppkey)
+ORDER BY ln((CAST('0x' || sha256('97:' || file)[1:12] AS BIGINT) + 0.5) / 281474976710656.0) / record_count DESC, file LIMIT 64""")
 def weighted_file_sample(spark, d):
     files = spark.read.parquet(f"{d}/lineitem.parquet").groupBy(F.col("l_suppkey").alias("file")).agg(F.count("*").alias("record_count"))
     return works.sample_files(files, 64)
 
 
-_MARKERS = [(0, "a", 10, 10), (1, "a", 10, 20), (2, "b", 10, 30), (3, "a", 5, 35), (5, "a", 5, 40)]
-_MARKER_SQL = f"m AS (SELECT * FROM (VALUES {', '.join(str(x) for x in _MARKERS)}) t(shard, config, records, records_done))"
+_MARKER_SQL = """k AS (SELECT CAST(l_suppkey % 40 AS INTEGER) AS shard, count(*) AS records FROM lineitem GROUP BY ALL),
+m AS (SELECT shard, CASE WHEN shard % 9 < 6 THEN 'a' ELSE 'b' END AS config, records, CAST(sum(records) OVER (ORDER BY shard) AS BIGINT) AS records_done FROM k WHERE shard <> (SELECT max(shard) - 2 FROM k))"""
 
 
-def _markers(spark):
-    return spark.createDataFrame(_MARKERS, "shard int, config string, records int, records_done int")
+def _markers(spark, d):
+    """A log of shards of ``lineitem``, in which one is missing."""
+    k = spark.read.parquet(f"{d}/lineitem.parquet").groupBy((F.col("l_suppkey") % 40).cast("int").alias("shard")).agg(F.count("*").alias("records"))
+    top = k.agg(F.max("shard")).first()[0]
+    so_far = Window.orderBy("shard")  # a row a shard
+    m = k.filter(F.col("shard") != top - 2 if top is not None else F.lit(True)).withColumn("records_done", F.sum("records").over(so_far))
+    return m.withColumn("config", F.when(F.col("shard") % 9 < 6, "a").otherwise("b"))
 
 
 @query(f"WITH {_MARKER_SQL}, c AS (SELECT *, CASE WHEN config <> lag(config) OVER (ORDER BY shard) THEN 1 ELSE 0 END AS c FROM m), r AS (SELECT *, sum(c) OVER (ORDER BY shard) AS run FROM c) SELECT config, min(shard) AS first_shard, max(shard) AS last_shard FROM r GROUP BY run, config")
 def shard_config_history(spark, d):
-    return builds.config_history(_markers(spark))
+    return builds.config_history(_markers(spark, d))
 
 
-@query("SELECT CAST(4 AS BIGINT) AS shards, CAST(35 AS BIGINT) AS records")
+@query(f"WITH {_MARKER_SQL}, n AS (SELECT *, row_number() OVER (ORDER BY shard) - 1 AS place FROM m) SELECT count(*) AS shards, CAST(coalesce(sum(records), 0) AS BIGINT) AS records FROM n WHERE shard = place")
 def build_progress(spark, d):
-    return builds.progress(_markers(spark))
+    return builds.progress(_markers(spark, d))
 
 
 @query("WITH l AS (SELECT doc_id, lang FROM documents), r AS (SELECT doc_id, CASE WHEN doc_id % 100 = 0 THEN 'xx' ELSE lang END AS lang FROM documents WHERE doc_id % 90 <> 1) SELECT *, 'left' AS side FROM (SELECT * FROM l EXCEPT ALL SELECT * FROM r) UNION ALL SELECT *, 'right' AS side FROM (SELECT * FROM r EXCEPT ALL SELECT * FROM l)")

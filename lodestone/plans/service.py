@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -11,10 +12,11 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as X
 from lodestone.functions import vector as V
 from lodestone.functions.embed import HashingEmbedder, embedded
-from lodestone.operators import backfill, engine, evaluation, search, titles
+from lodestone.operators import backfill, engine, evaluation, ivfpq, search, titles
 from lodestone.operators import index as I
 from lodestone.operators import papers as P
 from lodestone.plans.corpus import _PAPERS, _norm
+from lodestone.plans import vectors
 from lodestone.plans.vectors import _emb, _one
 from lodestone.sources import works
 
@@ -34,6 +36,8 @@ def query(sql: str | None = None):
 PATCHES = [("W100", {"title": "A title put right", "publication_year": "2011"}, False), ("W200", {}, True), ("W300", {"field": "xx", "is_oa": "true"}, False)]
 SUPPLEMENT = {"format_version": 1, "records": [{"work_id": "https://x.example/W900000001", "title": "A work that was left out", "verified_at": "2026-01-02", "sources": ["https://x.example/a"], "publication_year": 2012, "cited_by_count": 5, "field": "en"}]}
 _BUILT: dict[tuple, str] = {}
+#: Opened once, with its checks, as a service would.
+_OPENED: dict[tuple, I.Index] = {}
 
 
 def _index(spark, d, **more) -> I.Index:
@@ -47,8 +51,9 @@ def _index(spark, d, **more) -> I.Index:
         centroids = _emb(spark, d).filter("vec_id < 16").select(F.col("vec_id").cast("int").alias("list_id"), F.transform("embedding", lambda x: x.cast("double")).alias("c"))
         I.build(P.papers(spark, d), _emb(spark, d).select("vec_id", "embedding"), out, centroids=centroids)
         _BUILT[at] = out
-    patches = spark.createDataFrame(PATCHES, "work_id string, changes map<string,string>, unreliable boolean")
-    return I.open_index(spark, _BUILT[at], patches=patches, supplement=engine.supplement(SUPPLEMENT), **more)
+        patches = spark.createDataFrame(PATCHES, "work_id string, changes map<string,string>, unreliable boolean")
+        _OPENED[at] = I.open_index(spark, out, patches=patches, supplement=engine.supplement(SUPPLEMENT))
+    return replace(_OPENED[at], **more) if more else _OPENED[at]
 
 
 #: Papers with the corrections above.
@@ -138,6 +143,14 @@ def work_lookup(spark, d):
     return found.select("work_id", "title", "publication_year", F.col("effective_citations").cast("long").alias("effective_citations"))
 
 
+@query(f"""WITH {_FIXED}, a AS (SELECT * FROM (VALUES ('w3', 'W3'), ('https://x.example/W100/?a', 'W100'), ('W999999999', 'W999999999'), ('no id', ''), ('W900000001', 'W900000001')) t(value, work_id)),
+r AS (SELECT work_id, title FROM fixed UNION ALL SELECT 'W900000001', 'A work that was left out')
+SELECT value, a.work_id, CASE WHEN title IS NOT NULL THEN 'found' WHEN a.work_id = '' THEN 'no id' ELSE 'not found' END AS status, title FROM a LEFT JOIN r ON r.work_id = a.work_id""")
+def work_lookup_status(spark, d):
+    """Every asked id has its answer, also one that is not there and one that is no id."""
+    return engine.looked_up(_index(spark, d), ["w3", "https://x.example/W100/?a", "W999999999", "no id", "W900000001"]).select("value", "work_id", "status", "title")
+
+
 @query(f"WITH {_FIXED} SELECT row_id, work_id, title FROM fixed WHERE row_id IN (1, 100, 150)")
 def fetch_rows(spark, d):
     return _index(spark, d).fetch([1, 100, 150, -4, 10**12]).select("row_id", "work_id", "title")
@@ -203,6 +216,42 @@ def candidates_widened(spark, d):
     return found.select("row_id", F.round("sem", 6).alias("sem"))
 
 
+_PQ: dict[tuple, str] = {}
+
+
+def _pq_index(spark, d) -> I.Index:
+    """The same papers with product codes, trained on their vectors, in shards of 500."""
+    at = (spark.sparkContext.applicationId, d)
+    if at not in _PQ:
+        out = f"{I.scratch(spark)}/pq-{uuid.uuid4().hex}"
+        n = _emb(spark, d).count()
+        I.build(P.papers(spark, d), _emb(spark, d).select("vec_id", "embedding"), out, centroids=vectors._centroids(spark, d).withColumn("c", F.transform("c", lambda x: x.cast("double"))), pq=ivfpq.Settings(max(1, n // 40), parts=16), shard_rows=500)
+        _PQ[at] = out
+    return I.open_index(spark, _PQ[at])
+
+
+def _truth(spark, d) -> dict[int, list[float]]:
+    """The stated truth rows: each seventh vector of a paper."""
+    rows = _emb(spark, d).join(spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
+    return {r["vec_id"]: [float(x) for x in r["embedding"]] for r in rows.filter("vec_id % 7 = 0").select("vec_id", "embedding").collect()}
+
+
+@query("SELECT count(*) AS queries, true AS pool_reaches, true AS best_reaches FROM embeddings WHERE vec_id % 7 = 0 AND vec_id IN (SELECT doc_id FROM documents)")
+def pq_recall_at_20(spark, d):
+    """Over all truth rows, through the index in one job: whether the mean recall of the pool
+    from product codes, and of its best by INT8 codes, is 0.95 or more."""
+    # These vectors have no groups, so that most lists must be asked (README).
+    report = engine.recall_over_truth(_pq_index(spark, d), _truth(spark, d), _emb(spark, d), nprobe=10**4, pool=200)
+    least = F.lit(evaluation.LEAST_RECALL)
+    return report.select("queries", (F.col("pool_mean") >= least).alias("pool_reaches"), (F.col("mean") >= least).alias("best_reaches"))
+
+
+@query()
+def pq_grid(spark, d):
+    """Recall of the pool by nprobe and size, over all truth rows, in one job."""
+    return engine.grid(_pq_index(spark, d), _truth(spark, d), _emb(spark, d), (8, 16, 32, 64), (20, 100, 300))
+
+
 @query()
 def search_page(spark, d):
     """A whole search: title, prefix, semantic and supplement candidates, one page."""

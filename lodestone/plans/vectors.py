@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions import vector as V
-from lodestone.operators import builds, search
+from lodestone.operators import builds, ivfpq, search
 
 QUERIES, SQL = {}, {}
 
@@ -29,8 +29,9 @@ def _one(spark, d, vec_id: int = 0) -> list[float]:
     return [float(x) for x in found["embedding"]] if found else [0.0]
 
 
-def _asks(spark, d, low: int, high: int):
-    return _emb(spark, d).filter(F.col("vec_id").between(low, high - 1)).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+def _asks(spark, d):
+    """The stated query set: vectors whose id is divisible by 100."""
+    return _emb(spark, d).filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
 
 
 _E = "e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
@@ -47,13 +48,13 @@ def vector_topk_filtered(spark, d):
     return search.topk(_emb(spark, d).filter("label = 3"), _one(spark, d), 20)
 
 
-_BATCH = f"""r AS (SELECT q.vec_id AS query_id, e.vec_id, {_COS} AS score FROM e, e q WHERE q.vec_id < 10),
+_BATCH = f"""r AS (SELECT q.vec_id AS query_id, e.vec_id, {_COS} AS score FROM e, e q WHERE q.vec_id % 100 = 0),
 x AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM r)"""
 
 
 @query(f"WITH {_E}, {_BATCH} SELECT query_id, vec_id, score, rank FROM x WHERE rank <= 10")
 def vector_topk_batch(spark, d):
-    return search.topk_batch(_emb(spark, d), _asks(spark, d, 0, 10), 10)
+    return search.topk_batch(_emb(spark, d), _asks(spark, d), 10)
 
 
 _P = "p AS (SELECT vec_id, label, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS pos FROM e)"
@@ -100,11 +101,11 @@ def int8_fidelity(spark, d):
 
 
 @query(f"""WITH {_E}, {_P}, {_SCALE}, {_CODE}, {_DEQ},
-t AS (SELECT q.vec_id AS query_id, e.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, e.vec_id) AS n FROM e, e q WHERE q.vec_id < 10),
-f AS (SELECT q.vec_id AS query_id, z.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(z.v, q.v), 9) DESC, z.vec_id) AS n FROM z, e q WHERE q.vec_id < 10)
+t AS (SELECT q.vec_id AS query_id, e.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, e.vec_id) AS n FROM e, e q WHERE q.vec_id % 100 = 0),
+f AS (SELECT q.vec_id AS query_id, z.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(z.v, q.v), 9) DESC, z.vec_id) AS n FROM z, e q WHERE q.vec_id % 100 = 0)
 SELECT t.query_id, round(count(f.vec_id) / count(*), 6) AS recall FROM t LEFT JOIN f ON f.query_id = t.query_id AND f.vec_id = t.vec_id AND f.n <= 20 WHERE t.n <= 20 GROUP BY t.query_id""")
 def int8_recall_at_20(spark, d):
-    e, asks = _emb(spark, d), _asks(spark, d, 0, 10)
+    e, asks = _emb(spark, d), _asks(spark, d)
     scales = search.fit_scales(e)
     codes = search.decode(search.encode(e, scales), scales)
     return search.recall(search.topk_batch(e, asks, 20), search.topk_batch(codes, asks, 20), 20)
@@ -115,6 +116,7 @@ def strided_truth_sample(spark, d):
     return _emb(spark, d).filter("vec_id % 7 = 0").select("vec_id", "label")
 
 
+_CHECKED = f"WITH {_E}, {_BATCH}, w AS (SELECT x.query_id, x.vec_id, x.rank, e.vec_id % 35 + 1990 AS year, e.label = 3 AS flagged FROM x JOIN e ON e.vec_id = x.vec_id WHERE x.rank <= 10)"
 _LISTS = """l AS (SELECT vec_id, v, list_id FROM (SELECT e.vec_id, e.v, c.vec_id AS list_id,
  row_number() OVER (PARTITION BY e.vec_id ORDER BY round(list_inner_product(e.v, c.v), 9) DESC, c.vec_id) AS n FROM e, e c WHERE c.vec_id < 16) WHERE n = 1)"""
 
@@ -129,22 +131,22 @@ def ivf_assign_fixed_centroids(spark, d):
 
 
 def _probe_sql(n: str) -> str:
-    return f"""near AS (SELECT q.vec_id AS query_id, q.v, c.vec_id AS list_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_inner_product(c.v, q.v), 9) DESC, c.vec_id) AS n FROM e q, e c WHERE q.vec_id BETWEEN 20 AND 24 AND c.vec_id < 16),
+    return f"""near AS (SELECT q.vec_id AS query_id, q.v, c.vec_id AS list_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_inner_product(c.v, q.v), 9) DESC, c.vec_id) AS n FROM e q, e c WHERE q.vec_id % 100 = 0 AND c.vec_id < 16),
 f{n} AS (SELECT * FROM (SELECT query_id, l.vec_id, round(list_inner_product(l.v, near.v), 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(list_inner_product(l.v, near.v), 9) DESC, l.vec_id) AS rank FROM l JOIN near ON l.list_id = near.list_id WHERE near.n <= {n}) WHERE rank <= 10)"""
 
 
 @query(f"WITH {_E}, {_LISTS}, {_probe_sql('4')} SELECT query_id, vec_id, score, rank FROM f4")
 def ivf_probe_search(spark, d):
     lists = search.assign(_emb(spark, d), _centroids(spark, d))
-    return search.probe(lists, _centroids(spark, d), _asks(spark, d, 20, 25), nprobe=4, k=10)
+    return search.probe(lists, _centroids(spark, d), _asks(spark, d), nprobe=4, k=10)
 
 
-_SWEEP = " UNION ALL ".join(f"(WITH {_E}, {_LISTS}, {_probe_sql(str(n))}, t AS (SELECT q.vec_id AS query_id, e.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_inner_product(e.v, q.v), 9) DESC, e.vec_id) AS n FROM e, e q WHERE q.vec_id BETWEEN 20 AND 24) SELECT CAST({n} AS INTEGER) AS nprobe, round(count(f{n}.vec_id) / count(*), 6) AS recall FROM t LEFT JOIN f{n} ON f{n}.query_id = t.query_id AND f{n}.vec_id = t.vec_id WHERE t.n <= 10)" for n in (1, 2, 4, 8))
+_SWEEP = " UNION ALL ".join(f"(WITH {_E}, {_LISTS}, {_probe_sql(str(n))}, t AS (SELECT q.vec_id AS query_id, e.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_inner_product(e.v, q.v), 9) DESC, e.vec_id) AS n FROM e, e q WHERE q.vec_id % 100 = 0) SELECT CAST({n} AS INTEGER) AS nprobe, round(count(f{n}.vec_id) / count(*), 6) AS recall FROM t LEFT JOIN f{n} ON f{n}.query_id = t.query_id AND f{n}.vec_id = t.vec_id WHERE t.n <= 10)" for n in (1, 2, 4, 8))
 
 
 @query(_SWEEP)
 def nprobe_sweep(spark, d):
-    e, asks = _emb(spark, d), _asks(spark, d, 20, 25)
+    e, asks = _emb(spark, d), _asks(spark, d)
     lists = search.assign(e, _centroids(spark, d))
     truth = search.topk_batch(e, asks, 10, score=V.dot).select("query_id", "vec_id")
     out = None
@@ -155,6 +157,31 @@ def nprobe_sweep(spark, d):
     return out
 
 
+@query(f"WITH {_E}, {_BATCH.replace('% 100', '% 7')} SELECT query_id, vec_id, score, rank FROM x WHERE rank <= 20")
+def exact_truth_at_20(spark, d):
+    """The exact 20 of every truth row (each seventh), all in one pass over the vectors."""
+    e = _emb(spark, d)
+    truth = {r["vec_id"]: r["embedding"] for r in e.filter("vec_id % 7 = 0").collect()}  # the stated truth rows
+    return ivfpq.exact(e, truth, 20, row_id="vec_id").select("query_id", F.col("row_id").alias("vec_id"), "score", F.col("rank").cast("int").alias("rank"))
+
+
+@query(f"""WITH {_E}, h AS (SELECT vec_id, vec_id % 5 AS shard, row_number() OVER (PARTITION BY vec_id % 5 ORDER BY sha256('11:' || vec_id), vec_id) AS n FROM e)
+SELECT vec_id AS id, CAST(shard AS INTEGER) AS shard FROM h WHERE n <= 40""")
+def training_sample_by_shard(spark, d):
+    rows = _emb(spark, d).select(F.col("vec_id").alias("id"), (F.col("vec_id") % 5).cast("int").alias("shard"))
+    return ivfpq.sample(rows, 40, 11).select("id", "shard")
+
+
+@query(f"""{_CHECKED} SELECT query_id, bool_or(rank = 1 AND vec_id = query_id) AS first_is, bool_and(year BETWEEN 1990 AND 2024) AS years_within,
+NOT bool_or(rank = 1 AND flagged) AS first_not_flagged, max(rank) = count(*) AS page_consistent, max(rank) <= 10 AS within_pool FROM w GROUP BY query_id""")
+def behaviour_checks_more(spark, d):
+    """The other checks of a run, each query's own row being the wanted one."""
+    e = _emb(spark, d)
+    got = search.topk_batch(e, _asks(spark, d), 10).join(e.select("vec_id", "label"), "vec_id")
+    got = got.withColumns({"year": F.col("vec_id") % 35 + 1990, "flagged": F.col("label") == 3, "wanted": F.col("query_id"), "low": F.lit(1990), "high": F.lit(2024)})
+    return builds.checks(got, page=4, pool=10)
+
+
 @query()
 def ivfpq_trained_search(spark, d):
     e = _emb(spark, d)
@@ -168,11 +195,11 @@ _LABELLED = f"WITH {_E}, {_BATCH}, w AS (SELECT x.*, e.label, q.label AS expecte
 @query(f"{_LABELLED}, b AS (SELECT query_id, type, min(CASE WHEN label = expected THEN rank END) AS best FROM w GROUP BY query_id, type) SELECT type, count(*) AS queries, round(avg(CASE WHEN best <= 2 THEN 1 ELSE 0 END), 6) AS recall_2, round(avg(CASE WHEN best <= 5 THEN 1 ELSE 0 END), 6) AS recall_5, round(avg(CASE WHEN best <= 10 THEN 1 ELSE 0 END), 6) AS recall_10 FROM b GROUP BY type")
 def labelled_recall_by_type(spark, d):
     e = _emb(spark, d)
-    got = search.topk_batch(e, _asks(spark, d, 0, 10), 10).filter("vec_id <> query_id").join(e.select("vec_id", "label"), "vec_id")
-    want = e.filter("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("label").alias("expected"), F.when(F.col("label") < 5, "low").otherwise("high").alias("type"))
+    got = search.topk_batch(e, _asks(spark, d), 10).filter("vec_id <> query_id").join(e.select("vec_id", "label"), "vec_id")
+    want = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("expected"), F.when(F.col("label") < 5, "low").otherwise("high").alias("type"))
     return builds.recall_at(got, want, (2, 5, 10))
 
 
 @query(f"WITH {_E}, {_BATCH}, y AS (SELECT *, lag(score) OVER (PARTITION BY query_id ORDER BY rank) AS before FROM x WHERE rank <= 10) SELECT query_id, bool_and(coalesce(before >= score, true)) AS sorted, count(DISTINCT vec_id) = count(*) AS no_repeats, max(rank) = count(*) AS no_gaps FROM y GROUP BY query_id")
 def behaviour_checks(spark, d):
-    return builds.behaviour(search.topk_batch(_emb(spark, d), _asks(spark, d, 0, 10), 10))
+    return builds.behaviour(search.topk_batch(_emb(spark, d), _asks(spark, d), 10))

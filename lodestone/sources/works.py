@@ -7,15 +7,19 @@ run these steps in parallel and resume from any place.
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
+from lodestone.operators.index import scratch
 
 SNIPPET_CHARS = 1500
 EMBEDDING_CHARS = 2000
 AUTHORS = 8
+#: Most splits whose counts are broadcast.
+MAX_SPLITS = 200_000
 
 RAW = """id string, title string, display_name string, publication_year int,
 publication_date string, cited_by_count bigint, doi string, type string, is_expansion boolean,
@@ -28,10 +32,20 @@ primary_location struct<landing_page_url: string, source: struct<display_name: s
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of plain or gzip files with their explicit place: ``value``, ``file`` and
-    ``line`` (from 0 in each file, however a plain file is split among tasks)."""
+    ``line`` (from 0 in each file, however a plain file is split among tasks).  A first
+    reading counts the lines of every split; a line's number is the sum of the splits
+    before its own and its place in it, so no task sorts a file.  The second reading has
+    the same splits; a line outside its split's count is an error."""
     raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_n"))
-    place = Window.partitionBy("file").orderBy("_start", "_n")
-    return raw.withColumn("line", F.row_number().over(place) - 1).drop("_start", "_n")
+    splits = raw.groupBy("file", "_start").agg(F.min("_n").alias("_first"), F.count("*").alias("_lines"))  # a row a split
+    ahead = Window.partitionBy("file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    path = f"{scratch(spark)}/splits-{uuid.uuid4().hex}"
+    splits.withColumn("_before", F.coalesce(F.sum("_lines").over(ahead), F.lit(0))).write.parquet(path)
+    side = spark.read.parquet(path)
+    side = F.broadcast(side) if side.count() <= MAX_SPLITS else side
+    at = F.col("_n") - F.col("_first")
+    line = F.when((at >= 0) & (at < F.col("_lines")), F.col("_before") + at).otherwise(F.raise_error(F.lit("the files have changed between two readings")).cast("long"))
+    return raw.join(side, ["file", "_start"]).select("value", "file", line.alias("line"))
 
 
 def ordered_scan(spark: SparkSession, path: str) -> DataFrame:
@@ -114,9 +128,11 @@ def sample_size(files: int, target: int) -> tuple[int, int]:
 
 
 def sample_files(files: DataFrame, k: int, weight: str = "record_count", seed: int = 97) -> DataFrame:
-    """k files with probability in proportion to their weight, without replacement."""
-    key = F.pow(F.rand(seed), 1.0 / F.greatest(F.col(weight).cast("double"), F.lit(1e-9)))
-    return files.withColumn("_k", key).orderBy(F.desc("_k")).limit(k).drop("_k")
+    """k files with probability in proportion to their weight, without replacement.  The draw
+    is a hash of the seed and the file's name (column ``file``), so it can be repeated."""
+    drawn = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.col("file").cast("string")), 256), 1, 12), 16, 10).cast("double")
+    key = F.log((drawn + 0.5) / 281474976710656.0) / F.greatest(F.col(weight).cast("double"), F.lit(1e-9))
+    return files.withColumn("_k", key).orderBy(F.desc("_k"), "file").limit(k).drop("_k")
 
 
 def sampled_lines(lines: DataFrame, files: DataFrame, target: int, seed: int = 97) -> DataFrame:
