@@ -104,6 +104,66 @@ def test_passages_exact_runs_by_brute_force(spark):
         assert shared <= covered
 
 
+def test_passages_of_a_large_family_are_one_class(spark):
+    """150 texts of 100 words, 9 of them changed in each: more than CROWD.  Representative
+    pairs and membership hold every pair; texts of their own stay out."""
+    rng = np.random.default_rng(150)
+    common, texts = _words(rng, 100), {}
+    for i in range(150):
+        own = list(common)
+        for at in rng.choice(100, 9, replace=False):
+            own[at] = _words(rng, 1)[0]
+        texts[i] = own
+    texts |= {200 + i: _words(rng, 100) for i in range(20)}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], DOCS)
+    found = passages.repeated_passages(docs).cache()
+    rows = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in passages.passage_classes(found).collect()}
+    assert set(rows) == set(range(150)) and {c for c, _ in rows.values()} == {0}
+    assert {r["doc_id"] for r in found.select("doc_id").distinct().collect()} == set(range(1, 150))
+    alike = [(i, j) for i in range(150) for j in range(i) if sum(x == y for x, y in zip(texts[i], texts[j])) >= 80]
+    assert len(alike) > 10_000 and all(rows[i][0] == rows[j][0] for i, j in alike)
+    assert all(n >= 1 for _, n in rows.values())
+    assert passages.passage_classes(found.limit(0)).collect() == []
+
+
+def test_alignment_by_stretches_equals_word_by_word(monkeypatch):
+    """The look at many words at once against a plain loop over single words."""
+    rng = np.random.default_rng(8)
+
+    def plain(a, b, reach=passages.REACH, agree=4):
+        i = j = 0
+        runs = []
+        while i < len(a) and j < len(b):
+            n = 0
+            while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                n += 1
+            if n:
+                runs.append((i, j, n))
+                i, j = i + n, j + n
+            x, y = a[i : i + reach + agree], b[j : j + reach + agree]
+            if len(x) < agree or len(y) < agree:
+                break
+            wide = min(passages.NEAR + 2, len(x)) if len(y) >= min(len(x), passages.NEAR + 2) else 0
+            again = [q for q in range(wide - 1) if x[q] == y[q] and x[q + 1] == y[q + 1]]
+            if again:
+                i, j = i + again[0], j + again[0]
+                continue
+            meet = [((u + v) * 64 + abs(u - v), u, v) for u in range(len(x) - agree + 1) for v in range(len(y) - agree + 1) if all(x[u + d] == y[v + d] for d in range(agree))]
+            if not meet:
+                break
+            i, j = i + min(meet)[1], j + min(meet)[2]
+        return runs
+
+    for t in range(400):
+        monkeypatch.setattr(passages, "WINDOW", [2048, 9, 33][t % 3])
+        a = rng.integers(0, [3, 12, 1000][t % 3], rng.integers(0, 90)).tolist()
+        b = list(a)
+        for _ in range(rng.integers(0, 12)):
+            at = int(rng.integers(0, len(b) + 1))
+            b[at : at + int(rng.integers(0, 3))] = rng.integers(0, 1050, rng.integers(0, 3)).tolist()
+        assert passages.align(np.array(a, np.uint64), np.array(b, np.uint64)) == plain(a, b)
+
+
 def test_passages_between_all_documents(spark):
     """Fifteen different texts share a passage: each pair is linked, and so are two that
     are only alike where others lie between them.  Equal texts have one row each."""
