@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EPSILON = 1.1920928955078125e-07
 
 
+def literal(values: Iterable[float]) -> Column:
+    """An array of doubles, as one expression rather than one a component."""
+    return F.expr(f"array({', '.join(f'{float(x)!r}D' for x in values)})")
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

@@ -22,6 +22,7 @@ from dataclasses import asdict, dataclass, field
 from functools import cached_property
 from typing import TYPE_CHECKING
 
+import pandas as pd
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +44,8 @@ BUCKETS = (8, 4096, 50_000)
 SHARD_ROWS = 1_000_000
 #: Most keys of one lookup; their buckets go into the plan as literals.
 MAX_KEYS = 10_000
+#: Ids that a fetch puts into its plan as literals; more are joined.
+LITERAL_KEYS = 100
 TABLES = (
     "papers", "titles", "titles_levels", "prefixes", "prefixes_levels", "words", "postings",
     "work_ids", "years", "codes", "row_codes", "ranges", "centroids",
@@ -371,9 +374,14 @@ class Index:
     tuning: Tuning = field(default_factory=Tuning)
     patches: DataFrame | None = None
     supplement: list[dict] = field(default_factory=list)
+    _tables: dict[str, DataFrame] = field(default_factory=dict, repr=False)
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.schema(StructType.fromJson(self.manifest["schemas"][name])).parquet(f"{self.path}/{name}")
+        """A table of the generation; its files, which never change, are listed once."""
+        if name not in self._tables:
+            schema = StructType.fromJson(self.manifest["schemas"][name])
+            self._tables[name] = self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+        return self._tables[name]
 
     @property
     def records(self) -> int:
@@ -449,7 +457,10 @@ class Index:
         files, schema = self.files_of(name, ids), self.table(name).schema
         if not files:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*files).filter(F.col("row_id").isin(sorted(set(ids))))
+        rows, asked = self.spark.read.schema(schema).parquet(*files), sorted(set(ids))
+        if len(asked) <= LITERAL_KEYS:
+            return rows.filter(F.col("row_id").isin(asked))
+        return rows.join(F.broadcast(self.spark.createDataFrame(pd.DataFrame({"row_id": asked}))), "row_id", "left_semi")
 
     def fetch(self, ids: list[int]) -> DataFrame:
         """Papers of row ids, corrections applied; ids out of range are left out."""

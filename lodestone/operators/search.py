@@ -25,7 +25,7 @@ def _broadcast(queries: DataFrame) -> DataFrame:
 
 def topk(vectors: DataFrame, query: list[float], k: int, *, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Exact cosine top-k of one query vector; ties to smaller ids."""
-    q = F.array(*[F.lit(float(x)) for x in query])
+    q = V.literal(query)
     return vectors.select(vec_id, F.round(V.cosine(F.col(vector), q), 9).alias("score")).orderBy(F.desc("score"), vec_id).limit(k)
 
 

@@ -175,7 +175,7 @@ rk AS (SELECT 0 AS query_id, fl.*, sp.scale, sp.floor, (fl.sem + (least(ln(1 + f
 def _candidates(spark, d):
     """Semantic top 100 of vector 0 (its own row left out), united with the rows titled like row 5."""
     rows = P.papers(spark, d)
-    q = F.array(*map(F.lit, _one(spark, d)))
+    q = V.literal(_one(spark, d))
     sem = rows.join(_emb(spark, d).select(F.col("vec_id").alias("row_id"), F.round(V.cosine(F.col("embedding"), q), 9).alias("sem")), "row_id").filter("row_id <> 0")
     pool = sem.orderBy(F.desc("sem"), "row_id").limit(100)
     found = rows.filter("row_id = 5").select("normalized_title").first()

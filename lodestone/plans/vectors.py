@@ -80,7 +80,7 @@ _DEQ = "z AS (SELECT vec_id, list(code * scale ORDER BY pos) AS v FROM c GROUP B
 def int8_scores(spark, d):
     e = _emb(spark, d)
     scales = search.fit_scales(e)
-    q = F.array(*map(F.lit, _one(spark, d)))
+    q = V.literal(_one(spark, d))
     return search.decode(search.encode(e, scales), scales).select("vec_id", F.round(V.cosine(F.col("embedding"), q), 6).alias("score"))
 
 
