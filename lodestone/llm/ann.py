@@ -13,10 +13,10 @@ vector makes one index entry.  A table's buckets are dealt into parts; a bucket
 more than ``PART_ROWS`` vectors is spread over several, and its queries visit all.
 Queries that found too few are run once more against every part.
 
-Defined results: vectors that are null, zero, of another length than most, or hold
-null or non-finite components take no part, nor does a null vec_id; a row repeated
-as a whole counts once; with k candidates or fewer, all are returned; an empty
-table gives an empty result; other columns are ignored.
+Defined results: vectors that are null, zero, or hold null or non-finite components
+take no part, nor does a null vec_id; vectors are compared with those of their own
+length; a row repeated as a whole counts once; with k candidates or fewer, all are
+returned; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,6 +38,8 @@ PROBES = 48
 SEED = 20240917
 #: Vectors that one part of a table holds, about.
 PART_ROWS = 20_000
+#: How far the scores of a matrix product may be from those of single pairs.
+CUT = 1e-12
 
 
 def projections(dim: int, tables: int, hashes: int, width: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -137,8 +139,11 @@ def _rank(k: int, dim: int):
                 some = rows[s : s + 256]
                 score = (q[some] @ v[a:b].T) / (q_norm[some][:, None] * norm[None, a:b])
                 least = np.partition(score, -k, axis=1)[:, -k] if b - a > k else np.full(len(some), -np.inf)
-                r, c = np.nonzero(score >= least[:, None])
-                out.append((asks[some][r], reps[a:b][c], score[r, c]))
+                # A matrix product's last bits depend on its shape: those near the cut stay,
+                # and each pair is scored by itself.
+                r, c = np.nonzero(score >= least[:, None] - CUT)
+                exact = np.einsum("ij,ij->i", q[some][r], v[a:b][c]) / (q_norm[some][r] * norm[a:b][c])
+                out.append((asks[some][r], reps[a:b][c], exact))
         if not out:
             return empty
         return pa.table({"query": np.concatenate([x[0] for x in out]), "rep": np.concatenate([x[1] for x in out]), "score": np.concatenate([x[2] for x in out])})
@@ -154,11 +159,16 @@ def nearest(vectors: DataFrame, queries: Column, *, k: int = 5, vec_id: str = "v
     good = "NOT exists(vec, x -> x IS NULL OR isnan(x) OR abs(x) = double('Infinity')) AND exists(vec, x -> x <> 0)"
     base = base.filter(F.expr(good))
     kind = base.schema["vec"].dataType.simpleString()
-    sizes = base.groupBy(F.size("vec").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
-    if not sizes:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim, rows = sizes[0]["dim"], sizes[0]["count"]
-    base = base.filter(F.size("vec") == dim)
+    # Vectors meet those of their own length; lengths without a query need no search.
+    sizes = base.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n"), F.count_if(queries).alias("asked")).filter("asked > 0").orderBy("dim").collect()  # a row a length
+    out = None
+    for r in sizes:
+        one = _nearest_of_length(base.filter(F.size("vec") == r["dim"]), queries, r["dim"], r["n"], kind, k=k, tables=tables, hashes=hashes, width=width, probes=probes, seed=seed)
+        out = one if out is None else out.unionByName(one)
+    return out if out is not None else spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+
+
+def _nearest_of_length(base: DataFrame, queries: Column, dim: int, rows: int, kind: str, *, k: int, tables: int, hashes: int, width: float, probes: int, seed: int) -> DataFrame:
     # Equal vectors: the k + 1 smallest ids, cut before the shuffle by a group limit.
     first = Window.partitionBy("vec").orderBy("vec_id")
     ranked = base.select("vec_id", "vec", F.dense_rank().over(first).alias("n")).filter(F.col("n") <= k + 1)
