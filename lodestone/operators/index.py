@@ -234,13 +234,18 @@ def _stored(rows: DataFrame, path: str, *by: str) -> DataFrame:
 
 
 def train_centroids(vectors: DataFrame, lists: int, *, seed: int = 4711) -> DataFrame:
-    """(list_id, c): k-means over at most 50,000 or 40 vectors a list, whichever is
-    more, taken by a hash of the id."""
+    """(list_id, c): k-means over about 50,000 or 40 vectors a list, whichever is more,
+    in even parts from all shards of ids.  For tens of thousands of lists build product
+    codes instead: their quantiser has two levels."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    sample = vectors.orderBy(F.xxhash64("vec_id", F.lit(seed))).limit(max(50_000, 40 * lists))
-    model = KMeans(k=lists, seed=seed, featuresCol="f", maxIter=8).fit(sample.select(array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("f")))
+    from lodestone.operators import ivfpq
+
+    rows = vectors.select(F.col("vec_id").alias("id"), F.expr(f"vec_id div {SHARD_ROWS}").alias("shard"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+    shards = rows.select("shard").distinct().count()
+    sample = ivfpq.sample(rows, -(-max(50_000, 40 * lists) // max(shards, 1)), seed)
+    model = KMeans(k=lists, seed=seed, featuresCol="f", maxIter=8).fit(sample.select(array_to_vector("embedding").alias("f")))
     centers = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
     return vectors.sparkSession.createDataFrame(centers, "list_id int, c array<double>")
 
@@ -282,17 +287,19 @@ def build(papers: DataFrame, vectors: DataFrame, out: str, *, records: int | Non
     made["years"] = _stored(P.selective_years(rows).repartition("publication_year").sortWithinPartitions("row_id"), at("years"), "publication_year")
     held = vectors.join(rows.select(F.col("row_id").alias("vec_id")), "vec_id", "left_semi")
     scales = [r["scale"] for r in search.fit_scales(held).orderBy("pos").collect()]
-    if centroids is None:
-        centroids = train_centroids(held, list_count(n))
-    made["centroids"] = _stored(centroids, at("centroids"))
-    lists = search.assign(held, made["centroids"])
-    code = V.quantize(F.col("embedding"), F.array(*map(F.lit, scales)))
-    coded = lists.select(F.col("vec_id").alias("row_id"), "list_id", code.alias("code"))
-    made["codes"] = _stored(coded.repartitionByRange("list_id", "row_id").sortWithinPartitions("list_id", "row_id"), at("codes"), "list_id")
-    made["row_codes"] = _stored(made["codes"].select("row_id", "code").repartitionByRange("row_id").sortWithinPartitions("row_id"), at("row_codes"))
     if pq is not None:
+        # Lists are those of the product codes, of which there may be too many for folders.
         sharded = held.select(F.col("vec_id").alias("id"), F.expr(f"cast(vec_id div {shard_rows} as int)").alias("shard"), "embedding")
         ivfpq.build(sharded, at("pq"), pq)
+        made["centroids"] = _stored(spark.read.parquet(at("pq/lists")).select("list_id", "c"), at("centroids"))
+        lists = held.join(spark.read.parquet(at("pq/codes")).select(F.col("row_id").alias("vec_id"), "list_id"), "vec_id")
+    else:
+        made["centroids"] = _stored(train_centroids(held, list_count(n)) if centroids is None else centroids, at("centroids"))
+        lists = search.assign(held, made["centroids"])
+    code = V.quantize(F.col("embedding"), V.literal(scales))
+    coded = lists.select(F.col("vec_id").alias("row_id"), "list_id", code.alias("code"))
+    made["codes"] = _stored(coded.repartitionByRange("list_id", "row_id").sortWithinPartitions("list_id", "row_id"), at("codes"), *([] if pq is not None else ["list_id"]))
+    made["row_codes"] = _stored(made["codes"].select("row_id", "code").repartitionByRange("row_id").sortWithinPartitions("row_id"), at("row_codes"))
     ranged = [range_rows(made[name], name) for name in ("papers", "row_codes")]
     made["ranges"] = _stored(ranged[0].unionByName(ranged[1]).coalesce(1), at("ranges"))  # a row a file
     stats = rows.agg(F.count_if("is_oa").alias("open_access"), F.max("row_id").alias("top"), F.avg(F.size(T.tokens(F.col("normalized_title")))).alias("mean_title")).first()
@@ -414,6 +421,19 @@ class Index:
         rows.write.parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path)
 
+    @cached_property
+    def _patched_keys(self) -> dict[str, set[str]] | None:
+        """Keys of the corrected papers' titles, where few are corrected."""
+        if self.patched is None or self.patched.count() > MAX_KEYS:
+            return None
+        key = X.normalize_title(F.col("title"))
+        rows = self.patched.select(key.alias("key"), X.prefixes(key).alias("prefixes")).collect()
+        return {"titles": {r["key"] for r in rows}, "prefixes": {p for r in rows for p in r["prefixes"]}}
+
+    def may_be_patched(self, table: str, keys: list[str]) -> bool:
+        """Whether a corrected paper may have one of the keys."""
+        return bool(keys) and (self._patched_keys is None or not self._patched_keys[table].isdisjoint(keys))
+
     @cached_property
     def _ranges(self) -> dict[str, list]:
         """Files of the tables in ranges of row_id: a row a file."""

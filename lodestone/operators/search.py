@@ -15,6 +15,8 @@ from lodestone.functions import vector as V
 #: Most query rows that one job broadcasts.
 MAX_QUERIES = 10_000
 TRAINING_ROWS = 20_000
+#: Most lists whose centroids are broadcast.
+MAX_LISTS = 20_000
 
 
 def _broadcast(queries: DataFrame) -> DataFrame:
@@ -67,7 +69,9 @@ def clip_rate(vectors: DataFrame, scales: DataFrame, *, vector: str = "embedding
 def assign(vectors: DataFrame, centroids: DataFrame, *, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(vec_id, list_id): the centroid of largest inner product, ties to smaller ids.
     Centroids come as (list_id, c) and are packed into one broadcast row, so that a
-    vector is assigned where it lies, without a shuffle."""
+    vector is assigned where it lies, without a shuffle: MAX_LISTS at most."""
+    if centroids.limit(MAX_LISTS + 1).count() > MAX_LISTS:
+        raise ValueError(f"more than {MAX_LISTS} lists; build product codes, whose quantiser has two levels")
     packed = F.broadcast(centroids.groupBy().agg(F.array_sort(F.collect_list(F.struct("list_id", "c"))).alias("lists")))
     best = F.array_max(F.transform("lists", lambda t: F.struct(F.round(V.dot(F.col(vector), t["c"]), 9).alias("s"), (-t["list_id"]).alias("n"))))
     return vectors.crossJoin(packed).select(vec_id, vector, (-best["n"]).cast("int").alias("list_id"))

@@ -80,28 +80,37 @@ def posting_rows(papers: DataFrame) -> DataFrame:
     return each.select("word", "row_id", "size", places.alias("places"), *FIELDS)
 
 
-def spellings(index: Index, table: str, key: str) -> list[str]:
+def gathered(index: Index, keys: list[str]) -> dict[str, dict[str, dict[int, int]]]:
+    """For titles and prefixes, the stored keys with the plain form of one of ``keys``, and
+    how many rows each has by level; one job for both.  A title has few spellings, and a
+    key 63 levels at most."""
+    out: dict[str, dict[str, dict[int, int]]] = {"titles": {}, "prefixes": {}}
+    plains = sorted({plain(k) for k in keys})
+    both = [index.probe(f"{t}_levels", "plain", plains).select(F.lit(t).alias("t"), "key", "level", "n") for t in out]
+    for r in both[0].unionByName(both[1]).collect():
+        out[r["t"]].setdefault(r["key"], {})[r["level"]] = r["n"]
+    return out
+
+
+def spellings(stored: dict[str, dict[int, int]], key: str) -> list[str]:
     """Stored keys that put hyphens in some of ``key``'s gaps, fewest hyphens first.  The
     index finds them by their common plain form, so none has to be guessed."""
     if not 2 <= len(key.split()) <= SPELLED_WORDS:
         return []
-    stored = index.probe(f"{table}_levels", "plain", [plain(key)]).select("key").distinct().collect()  # spellings of one title
-    fits = [s["key"] for s in stored if s["key"] != key and len(s["key"]) == len(key) and all(b == a or (a, b) == (" ", "-") for a, b in zip(key, s["key"], strict=True))]
+    fits = [s for s in stored if s != key and len(s) == len(key) and all(b == a or (a, b) == (" ", "-") for a, b in zip(key, s, strict=True))]
     return sorted(fits, key=lambda s: (s.count("-"), s))[:SPELLINGS]
 
 
-def known(index: Index, table: str, keys: list[str]) -> set[str]:
-    """Which of the keys are stored."""
-    found = index.probe_plain(f"{table}_levels", keys).select("key").distinct()
-    return {r["key"] for r in found.collect()}
-
-
-def most_cited(index: Index, table: str, keys: list[str], filters: P.Filters, limit: int) -> list[tuple[int, int]]:
+def most_cited(index: Index, table: str, keys: list[str], filters: P.Filters, limit: int, stored: dict[str, dict[int, int]] | None = None) -> list[tuple[int, int]]:
     """(effective citations, row_id) of the ``limit`` most cited papers of any of the keys
     that pass the filters; ties to smaller ids.  Corrected papers count with their
-    corrected title and fields."""
-    held = index.probe_plain(f"{table}_levels", keys).groupBy("level").agg(F.sum("n").alias("n")).collect()  # 63 rows
-    levels = sorted(((r["level"], r["n"]) for r in held), reverse=True)
+    corrected title and fields.  ``stored``: what ``gathered`` found of the table."""
+    stored = gathered(index, keys)[table] if stored is None else stored
+    counts: dict[int, int] = {}
+    for key in set(keys):
+        for lv, n in stored.get(key, {}).items():
+            counts[lv] = counts.get(lv, 0) + n
+    levels = sorted(counts.items(), reverse=True)
     best: list[tuple[int, int]] = []
     wanted, patched = 4 * limit, index.patched
     while levels:
@@ -119,7 +128,7 @@ def most_cited(index: Index, table: str, keys: list[str], filters: P.Filters, li
         if len(best) >= limit or least == levels[-1][0]:
             break
         wanted = max(4 * wanted, seen + 1)
-    if patched is not None and keys:
+    if patched is not None and index.may_be_patched(table, keys):
         own = X.normalize_title(F.col("title"))
         fits = own.isin(keys) if table == "titles" else F.exists(X.prefixes(own), lambda p: p.isin(keys))
         extra = patched.filter(fits).filter(filters.column("effective_citations")).orderBy(F.desc("effective_citations"), "row_id").limit(limit)

@@ -16,7 +16,6 @@ from lodestone.operators import backfill, engine, evaluation, ivfpq, search, tit
 from lodestone.operators import index as I
 from lodestone.operators import papers as P
 from lodestone.plans.corpus import _PAPERS, _norm
-from lodestone.plans import vectors
 from lodestone.plans.vectors import _emb, _one
 from lodestone.sources import works
 
@@ -225,7 +224,7 @@ def _pq_index(spark, d) -> I.Index:
     if at not in _PQ:
         out = f"{I.scratch(spark)}/pq-{uuid.uuid4().hex}"
         n = _emb(spark, d).count()
-        I.build(P.papers(spark, d), _emb(spark, d).select("vec_id", "embedding"), out, centroids=vectors._centroids(spark, d).withColumn("c", F.transform("c", lambda x: x.cast("double"))), pq=ivfpq.Settings(max(1, n // 40), parts=16), shard_rows=500)
+        I.build(P.papers(spark, d), _emb(spark, d).select("vec_id", "embedding"), out, pq=ivfpq.Settings(max(1, n // 40), parts=16), shard_rows=500)
         _PQ[at] = out
     return I.open_index(spark, _PQ[at])
 

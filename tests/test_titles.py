@@ -82,7 +82,7 @@ def test_spellings_are_all_that_are_stored(spark, built):
     for key in ("pre training of models", "pre-training of models", "a study of cold water 7", "pre training", "deep", "cold water sea"):
         words = key.split()
         every = {"".join(w + s for w, s in zip(words, (*seps, ""), strict=True)) for seps in itertools.product(" -", repeat=len(words) - 1)} if len(words) > 1 else set()
-        assert titles.spellings(index, "titles", key) == sorted((every & stored) - {key}, key=lambda s: (s.count("-"), s))[: titles.SPELLINGS]
+        assert titles.spellings(titles.gathered(index, [key])["titles"], key) == sorted((every & stored) - {key}, key=lambda s: (s.count("-"), s))[: titles.SPELLINGS]
     exact, _, keys = engine.title_candidates(index, "training pre-of models", P.Filters())
     assert exact and keys
 
