@@ -24,7 +24,7 @@ EDGE = [(1, None), (2, ""), (3, "same line here\nand another one"), (4, "Same Li
 def folder(spark, tmp_path):
     items = [(i, " ".join(f"b{i}x{j}" for j in range(12))) for i in range(3)]
     spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(i, int(i % 5 == 1)) for i in range(300)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     return str(tmp_path)
 
 
@@ -50,9 +50,9 @@ def test_decontamination_stage_drops_holders_of_a_window(spark, folder):
 
 
 def test_toxicity_stage_drops_what_it_learned(spark, folder):
-    rows = [(i, ("nasty vile words here " if i % 2 else "kind and calm words here ") * 3 + f"n{i}") for i in range(300)] + [(1000, None), (1001, "")]
+    rows = [(i, ("nasty vile words here " if i % 5 == 1 else "kind and calm words here ") * 3 + f"n{i}") for i in range(300)] + [(1000, None), (1001, "")]
     got = {r["doc_id"] for r in corpus_pipeline.toxicity_stage(spark, _docs(spark, rows), folder).collect()}
-    assert {1000, 1001} <= got and len([i for i in range(1, 300, 2) if i in got]) < 15 and len([i for i in range(0, 300, 2) if i in got]) > 135
+    assert {1000, 1001} <= got and sum(i in got for i in range(1, 300, 5)) < 6 and sum(i in got for i in range(300) if i % 5 != 1) > 230
 
 
 def test_bpe_stage_counts_tokens(spark, folder):
