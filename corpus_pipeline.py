@@ -31,12 +31,13 @@ def _free(docs: DataFrame, name: str) -> str:
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents whose score reaches their language's threshold.  Null and empty
-    texts are scored and, without a sign of toxicity, stay."""
+    """Drop documents whose score reaches their language's threshold.  A text without a
+    word has no sign of toxicity and stays, whatever the threshold."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     out = _free(docs, "_tox")
     scored = toxicity.score(docs, model, out=out)
-    return scored.filter(F.col(out) < F.col(f"{out}_threshold")).select(*docs.columns)
+    wordless = ~F.rlike(F.coalesce("text", F.lit("")), F.lit(r"[0-9A-Za-z]|[^\x00-\x7F]"))
+    return scored.filter((F.col(out) < F.col(f"{out}_threshold")) | wordless).select(*docs.columns)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ def test_block_compression_equals_a_plain_loop(spark):
 
 def test_behaviour_checks_find_what_is_wrong(spark):
     kinds = "query_id long, rank int, vec_id long, score double, year int, flagged boolean, wanted long, low int, high int"
-    good = [(0, r, r, 1.0 / r, 2000 + r, r == 3, 1, 2000, 2010) for r in range(1, 12)]
+    good = [(0, r, r, 1.0 / r, 2000 + r, r == 3, 1, 2000, 2011) for r in range(1, 12)]
     bad = [(1, 1, 9, 1.0, 1990, True, 8, 2000, 2010), (1, 2, 8, 0.5, 2001, False, 8, 2000, 2010), (1, 7, 7, 0.4, 2001, False, 8, 2000, 2010)]
     free = [(2, 1, 5, 1.0, 1, False, None, None, None)]
     got = {r["query_id"]: tuple(r)[1:] for r in builds.checks(spark.createDataFrame(good + bad + free, kinds), page=5, pool=11).collect()}

@@ -18,7 +18,7 @@ def test_queries_match_their_sql(spark, name):
     if not Path(SMOKE).exists():
         pytest.skip("no test tables")
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "labels", "events"):
+    for t in ("documents", "embeddings", "labels", "events", "lineitem"):
         con.execute(f"create view {t} as select * from '{SMOKE}/{t}.parquet'")
     got, want = catalogue.QUERIES[name](spark, SMOKE).toPandas(), con.execute(catalogue.SQL[name]).df()
     columns = sorted(got.columns)
