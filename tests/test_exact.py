@@ -47,3 +47,10 @@ def test_exact_takes_a_frame_and_no_task_holds_all_pairs(spark, monkeypatch):
     assert "CartesianProduct" in plan._jdf.queryExecution().toString() and "BroadcastNestedLoop" not in plan._jdf.queryExecution().toString()
     want = _set(_plain(rows, _asks(rows), 5, V.cosine))
     assert _set(plan.withColumnRenamed("row_id", "vec_id")) == want
+
+
+def test_more_queries_than_a_broadcast_held(spark):
+    """10,001 queries were refused."""
+    rows = spark.range(20_002).select(F.col("id").alias("vec_id"), F.array(F.cos(F.col("id").cast("double")), F.sin(F.col("id").cast("double"))).alias("embedding"))
+    got = search.topk_batch(rows, rows.filter("vec_id % 2 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 2)
+    assert got.filter("rank = 1 AND vec_id = query_id").count() == 10_001
