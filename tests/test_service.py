@@ -211,3 +211,11 @@ def test_hashing_embedder(spark):
 def test_abstract_keeps_the_order_of_the_map(spark):
     row = spark.range(1).select(works.abstract(F.expr("map('zeta', array(0), 'alpha', array(0, 1))"))).first()
     assert row[0] == "zeta alpha alpha"
+
+
+def test_every_paper_that_passes_is_scored(spark, built):
+    """Neither the number that passes nor the sizes of a search's pool cut any off."""
+    index = I.open_index(spark, built, tuning=I.Tuning(candidates=1, filter_candidates=1, nprobe=1, filter_nprobe=1, selective=1))
+    filters = P.Filters(year_min=2001)
+    assert {r["row_id"] for r in engine.scored_eligible(index, [1.0] * 8, filters).collect()} == {1, 2, 3, 4, 5}
+    assert engine.semantic_candidates(index, [1.0] * 8, filters)[0].count() == 1
