@@ -219,3 +219,11 @@ def test_every_paper_that_passes_is_scored(spark, built):
     filters = P.Filters(year_min=2001)
     assert {r["row_id"] for r in engine.scored_eligible(index, [1.0] * 8, filters).collect()} == {1, 2, 3, 4, 5}
     assert engine.semantic_candidates(index, [1.0] * 8, filters)[0].count() == 1
+
+
+def test_years_too_large_for_their_list_come_from_papers(spark, built, monkeypatch):
+    index = I.open_index(spark, built)
+    monkeypatch.setattr(P, "EXACT_ROWS", 2)
+    assert index.year_ids(2001, 2003) is None
+    assert [r["row_id"] for r in index.all_year_ids(2001, 2003).collect()] == [1, 2, 3]
+    assert [r["row_id"] for r in index.all_year_ids(2002, None).collect()] == [2, 3, 4, 5]
