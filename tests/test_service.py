@@ -11,6 +11,7 @@ from lodestone.functions import text as X
 from lodestone.operators import backfill, engine, evaluation
 from lodestone.operators import index as I
 from lodestone.operators import papers as P
+from lodestone.operators import titles as T
 from lodestone.sources import works
 from lodestone.streaming.ingest import ingest
 
@@ -227,3 +228,27 @@ def test_years_too_large_for_their_list_come_from_papers(spark, built, monkeypat
     assert index.year_ids(2001, 2003) is None
     assert [r["row_id"] for r in index.all_year_ids(2001, 2003).collect()] == [1, 2, 3]
     assert [r["row_id"] for r in index.all_year_ids(2002, None).collect()] == [2, 3, 4, 5]
+
+
+def test_build_makes_each_paper_once(spark, tmp_path):
+    """Dealing by ranges samples its rows; what it samples must not be made for that anew."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(x):
+        made.add(1)
+        return x
+
+    rows = [(i, f"W{i}", f"Title {i} of many", "text", 2000, i, "t", "en", True, "", ["Ann"]) for i in range(40)]
+    papers = spark.createDataFrame(rows, PAPERS).withColumn("title", seen("title")).withColumn("normalized_title", X.normalize_title(F.col("title")))
+    vectors = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(40)], "vec_id long, embedding array<double>")
+    I.build(papers, vectors, str(tmp_path / "one"), centroids=vectors.filter("vec_id < 2").select(F.col("vec_id").cast("int").alias("list_id"), F.col("embedding").alias("c")))
+    assert made.value == 40
+
+
+def test_postings_are_those_of_the_words_one_by_one(spark):
+    titles = [(0, "a b a"), (1, ""), (2, "b"), (3, "é-x é a"), (4, "c c c c")]
+    rows = spark.createDataFrame(titles, "row_id long, normalized_title string").selectExpr("*", "row_id as cited_by_count", "1 as publication_year", "true as is_oa", "'t' as topic", "cast(null as string) as field")
+    got = sorted((r["word"], r["row_id"], r["size"], r["places"], r["cited_by_count"], r["field"]) for r in T.posting_rows(rows).collect())
+    want = [("a", 0, 3, [0, 2], 0, None), ("a", 3, 4, [3], 3, None), ("b", 0, 3, [1], 0, None), ("b", 2, 1, [0], 2, None), ("c", 4, 4, [0, 1, 2, 3], 4, None), ("e", 3, 4, [0, 2], 3, None), ("x", 3, 4, [1], 3, None)]
+    assert got == want
