@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lodestone.operators import builds
+from lodestone.operators import builds, titles
 from lodestone.operators.index import Files, scratch
 from lodestone.sources import works
 from lodestone.sources.manifest import ManifestSource
@@ -39,17 +42,27 @@ RAW_WORKS = [
 _DOC_WORDS = "string_split(coalesce(text, ''), ' ')"
 
 
+def _inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (doc_id, n_chars, words): doc_id, n_chars, and the places of each word."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            row, words, places = titles.word_places(part.column("w"))
+            ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=part.num_rows))])
+            index = pa.MapArray.from_arrays(pa.array(ends, pa.int32()), words, places)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("n_chars").cast(pa.int64()), index], names=["doc_id", "n_chars", "abstract_inverted_index"])
+
+
 def _manifest_of_documents(spark, d):
     """``documents`` as lines of nested JSON in four files, with lines that are no work, and
     the manifest of these files."""
     base = f"{scratch(spark)}/works-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "n_chars")
-    words = docs.select("doc_id", F.posexplode(F.split("text", " ")).alias("at", "word"))
-    index = words.groupBy("doc_id", "word").agg(F.sort_array(F.collect_list("at")).alias("at"))
-    index = index.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "at"))).alias("abstract_inverted_index"))
+    # A document's index is made where the document lies: no word is shuffled.
+    held = docs.select("doc_id", "n_chars", F.split("text", " ").alias("w")).mapInArrow(_inverted, "doc_id long, n_chars long, abstract_inverted_index map<string, array<int>>")
     title = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("  Work   "), "doc_id"))
     work = F.struct(F.concat(F.lit("https://x.example/"), F.when(F.col("doc_id") % 11 == 0, "A").otherwise("W"), "doc_id").alias("id"), title.alias("title"), F.concat(F.lit("Other "), "doc_id").alias("display_name"), (F.col("n_chars") - 300).alias("cited_by_count"), (F.col("doc_id") % 13 == 0).alias("is_expansion"), "abstract_inverted_index")
-    lines = docs.join(index, "doc_id").select("doc_id", F.to_json(work).alias("value"))
+    lines = held.select("doc_id", F.to_json(work).alias("value"))
     odd = docs.filter("doc_id % 5 = 0").select("doc_id", F.when(F.col("doc_id") % 2 == 0, "").otherwise('{"id": broken').alias("value"))
     part = (F.col("doc_id") % 4).alias("part")
     lines.unionByName(odd).select("doc_id", "value", part).repartition("part").sortWithinPartitions("part", "doc_id", "value").select("value", "part").write.partitionBy("part").text(f"{base}/lines")

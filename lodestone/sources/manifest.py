@@ -34,6 +34,8 @@ from pyspark.sql.types import StructType
 
 SCHEMA = "file_rank int, line bigint, value string, file string"
 READ_BYTES, ROWS = 1 << 20, 4096
+#: Most parts of one file.
+MOST_PARTS = 16
 #: Tries of one part, and the longest pause between two, in seconds.
 ATTEMPTS, LONGEST_PAUSE = 5, 10.0
 
@@ -71,9 +73,27 @@ def entries(options: dict[str, str]) -> tuple[str, list[Entry]]:
     return root, out
 
 
-def lines(stream: pa.NativeFile) -> Iterator[bytes]:
-    """Lines of a stream of bytes, cut at ``\\n`` alone; a last one without it counts."""
-    rest = b""
+def lines(stream: pa.NativeFile, skip: int = 0) -> Iterator[bytes | int]:
+    """Lines of a stream of bytes, cut at ``\\n`` alone; a last one without it counts.  The
+    first ``skip`` are only counted, block by block: how many of them there were comes first."""
+    rest, left = b"", skip
+    while left:
+        block = stream.read(READ_BYTES)
+        if not block:
+            yield skip - left + bool(rest)
+            return
+        n = block.count(b"\n")
+        if n < left:
+            left -= n
+            rest = block[block.rfind(b"\n") + 1 :] if n else rest + block[:1]  # only whether it is empty counts
+            continue
+        at = -1
+        for _ in range(left):
+            at = block.index(b"\n", at + 1)
+        left, rest = 0, block[at + 1 :]
+    yield skip
+    *whole, rest = rest.split(b"\n")
+    yield from whole
     while True:
         block = stream.read(READ_BYTES)
         if not block:
@@ -104,6 +124,9 @@ class _Reading:
             if last is not None and first >= last and not (to_end and first == last == 0):
                 continue
             step = self.part_lines or (max(1, last - first) if last is not None else 0)
+            if last is not None and step:
+                # Each part reads from the file's begin, so their number must not grow with it.
+                step = max(step, -(-(last - first) // MOST_PARTS))
             if last is None or not step:
                 out.append(Part(e, first, last, False))
                 continue
@@ -140,13 +163,13 @@ class _Reading:
 
         seen, more = 0, False
         with self._open(p.entry.path) as f:
-            for line in lines(f):
+            found = lines(f, at)
+            seen = next(found)
+            for line in found:
                 if p.last is not None and seen >= p.last:
                     more = True
                     break
                 seen += 1
-                if seen <= at:
-                    continue
                 held.append(line.decode("utf-8", "replace"))
                 if len(held) == ROWS:
                     yield batch()

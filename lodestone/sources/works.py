@@ -66,7 +66,8 @@ def abstract(index: Column) -> Column:
 def parse(lines: DataFrame, *, id_prefix: str, value: str = "value", include_expansion: bool = False) -> DataFrame:
     """Typed works; blank, malformed and non-object lines, foreign ids, works of the
     expansion set and empty titles are left out."""
-    raw = lines.withColumn("_r", F.from_json(F.col(value), RAW)).filter(F.col("_r").isNotNull() & F.col("_r.id").isNotNull())
+    # Behind an explode a filter on a field doesn't parse the whole line again.
+    raw = lines.select("*", F.explode(F.array(F.from_json(F.col(value), RAW))).alias("_r")).filter(F.col("_r").isNotNull() & F.col("_r.id").isNotNull())
     raw = raw.withColumn("_positions", F.expr("transform_values(coalesce(_r.abstract_inverted_index, cast(map() as map<string, variant>)), (k, v) -> try_variant_get(v, '$', 'array<int>'))"))
     title = F.coalesce(F.nullif(X.clean(F.col("_r.title")), F.lit("")), X.clean(F.col("_r.display_name")))
     names = F.slice(F.filter(F.transform(F.coalesce("_r.authorships", F.array()), lambda a: X.clean(a["author"]["display_name"])), lambda n: n != ""), 1, AUTHORS)

@@ -1,6 +1,7 @@
 """The manifest source: order, retries inside a part, resume, streams; and numbering."""
 
 import gzip
+import io
 import json
 
 import pyarrow as pa
@@ -159,3 +160,25 @@ def test_numbers_from_0_in_an_order(spark):
     assert sorted(r["pos"] for r in numbering.numbered(rows, "k").collect()) == list(range(1000))
     assert numbering.numbered(rows.limit(0), "k").collect() == []
     assert isinstance(pa.array(got), pa.Array)
+
+
+def test_parts_of_a_file_do_not_grow_with_it(tmp_path):
+    """Each part reads from the file's begin: a part for every five lines is a reading of the
+    whole file for every ten."""
+    (tmp_path / "a").write_bytes(b"".join(b"line %d\n" % i for i in range(5000)))
+    (tmp_path / "manifest").write_text(json.dumps({"entries": [{"url": "a", "meta": {"record_count": 5000}}]}))
+    reading = manifest._Reading({"manifest": (tmp_path / "manifest").as_uri(), "lines_per_part": "5"})
+    parts = reading.parts((0, 0), None)
+    assert len(parts) <= 16
+    got = [v for p in parts for b in reading.read(p) for v in zip(b.column("line").to_pylist(), b.column("value").to_pylist(), strict=True)]
+    assert got == [(i, f"line {i}") for i in range(5000)]
+
+
+def test_skipped_lines_are_counted(monkeypatch):
+    monkeypatch.setattr(manifest, "READ_BYTES", 4)
+    for text in (b"", b"a", b"a\n", b"a\nbcdefghij\n\n\nk", b"\n\n\nabcdefgh\n"):
+        whole = list(manifest.lines(io.BytesIO(text)))[1:]
+        assert whole == [x for x in text.split(b"\n")][: len(text.split(b"\n")) - (not text.split(b"\n")[-1])]
+        for skip in range(len(whole) + 3):
+            found = list(manifest.lines(io.BytesIO(text), skip))
+            assert found[0] == min(skip, len(whole)) and found[1:] == whole[skip:]
